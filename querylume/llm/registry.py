@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from querylume.llm.block_naming import OP3_SQL, op3_block_naming
 from querylume.llm.mixing import op10_mix_sources
 
-_OPS = (op10_mix_sources,)
+_OPS = (op3_block_naming, op10_mix_sources)
 
 
 def queries() -> dict:
@@ -12,4 +13,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_block_naming": OP3_SQL}
