@@ -5,8 +5,9 @@ from __future__ import annotations
 from querylume.llm.block_naming import OP3_SQL, op3_block_naming
 from querylume.llm.mixing import op10_mix_sources
 from querylume.llm.ngram_join import op9_ngram_jaccard_join
+from querylume.llm.toxicity import op6_toxicity
 
-_OPS = (op3_block_naming, op9_ngram_jaccard_join, op10_mix_sources)
+_OPS = (op3_block_naming, op6_toxicity, op9_ngram_jaccard_join, op10_mix_sources)
 
 
 def queries() -> dict:
