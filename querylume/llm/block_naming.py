@@ -88,12 +88,12 @@ def name_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one for each normalised text, with all their columns."""
-    named = name_blocks(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_n")).distinct()
+    named = name_blocks(docs, id_col, text_col).where("kept")
+    named = named.select(F.col(id_col).alias("_q_id"), F.col("text_sha256").alias("_q_sha"), F.col("n_chars").alias("_q_n")).distinct()
     text = F.coalesce(docs[text_col], F.lit(""))
-    same = docs[id_col].eqNullSafe(named["_id"]) & (F.sha2(normalised(text), 256) == named["_sha"]) & (F.char_length(text) == named["_n"])
-    kept = docs.join(named, same, "inner")
-    first = F.row_number().over(W.partitionBy("_id", "_sha", "_n").orderBy(F.lit(0)))
-    return kept.withColumn("_row", first).where("_row = 1").drop("_row", "_id", "_sha", "_n")
+    same = docs[id_col].eqNullSafe(named["_q_id"]) & (F.sha2(normalised(text), 256) == named["_q_sha"]) & (F.char_length(text) == named["_q_n"])
+    first = F.row_number().over(W.partitionBy("_q_id", "_q_sha", "_q_n").orderBy(F.lit(0)))
+    return docs.join(named, same).withColumn("_q_row", first).where("_q_row = 1").select(docs.columns)
 
 
 def op3_block_naming(spark, sf_dir: str) -> DataFrame:

@@ -145,6 +145,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return chosen.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), repeats.alias("repeats"), (repeats * F.col("_size")).alias("taken"))
 
 
+def take_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, each as many times as the mix takes it, with all their columns. Rows with one id, source and
+    text length are interchangeable; should the mix take them unequally, their repeats are evened out."""
+    own = ["_q_id", "_q_source", "_q_size"]
+    mixed = mix_sources(docs, id_col, text_col, source_col, **options)
+    mixed = mixed.select(F.col(id_col).alias("_q_id"), F.col(source_col).alias("_q_source"), F.col("size").alias("_q_size"), "repeats")
+    mixed = mixed.groupBy(*own).agg(F.sum("repeats").alias("_q_all"), F.count("*").alias("_q_rows")).where("_q_all > 0")
+    same = docs[id_col].eqNullSafe(mixed["_q_id"]) & docs[source_col].eqNullSafe(mixed["_q_source"]) & (word_count(docs[text_col]) == mixed["_q_size"])
+    met = docs.join(mixed, same).withColumn("_q_row", F.row_number().over(W.partitionBy(*own).orderBy(F.lit(0))) - 1)
+    times = F.floor(F.col("_q_all") / F.col("_q_rows")) + F.when(F.col("_q_row") < F.col("_q_all") % F.col("_q_rows"), 1).otherwise(0)
+    met = met.withColumn("_q_times", times.cast("int")).where("_q_times > 0")
+    return met.withColumn("_q_time", F.explode(F.sequence(F.lit(1), F.col("_q_times")))).select(*[met[c] for c in docs.columns])
+
+
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
     """Mixes all ``documents``: doc_id, size, source_size, target, taken, then source and repeats."""
     out = mix_sources(table(spark, sf_dir, "documents"))
