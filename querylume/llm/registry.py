@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from querylume.llm.block_naming import OP3_SQL, op3_block_naming
+from querylume.llm.language_id import op7_language_id
 from querylume.llm.mixing import op10_mix_sources
 from querylume.llm.ngram_join import op9_ngram_jaccard_join
 from querylume.llm.sentencepiece_codec import op8_sentencepiece
 from querylume.llm.toxicity import op6_toxicity
 
-_OPS = (op3_block_naming, op6_toxicity, op8_sentencepiece, op9_ngram_jaccard_join, op10_mix_sources)
+_OPS = (op3_block_naming, op6_toxicity, op7_language_id, op8_sentencepiece, op9_ngram_jaccard_join, op10_mix_sources)
 
 
 def queries() -> dict:
