@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from querylume.llm.block_naming import OP3_SQL, op3_block_naming
+from querylume.llm.fingerprints import op2_fingerprints
 from querylume.llm.html_text import op1_html_text
 from querylume.llm.language_id import op7_language_id
 from querylume.llm.mixing import op10_mix_sources
@@ -10,7 +11,7 @@ from querylume.llm.ngram_join import op9_ngram_jaccard_join
 from querylume.llm.sentencepiece_codec import op8_sentencepiece
 from querylume.llm.toxicity import op6_toxicity
 
-_OPS = (op1_html_text, op3_block_naming, op6_toxicity, op7_language_id, op8_sentencepiece, op9_ngram_jaccard_join, op10_mix_sources)
+_OPS = (op1_html_text, op2_fingerprints, op3_block_naming, op6_toxicity, op7_language_id, op8_sentencepiece, op9_ngram_jaccard_join, op10_mix_sources)
 
 
 def queries() -> dict:
