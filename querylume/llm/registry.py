@@ -9,9 +9,10 @@ from querylume.llm.language_id import op7_language_id
 from querylume.llm.mixing import op10_mix_sources
 from querylume.llm.ngram_join import op9_ngram_jaccard_join
 from querylume.llm.sentencepiece_codec import op8_sentencepiece
+from querylume.llm.token_files import op4_token_files
 from querylume.llm.toxicity import op6_toxicity
 
-_OPS = (op1_html_text, op2_fingerprints, op3_block_naming, op6_toxicity, op7_language_id, op8_sentencepiece, op9_ngram_jaccard_join, op10_mix_sources)
+_OPS = (op1_html_text, op2_fingerprints, op3_block_naming, op4_token_files, op6_toxicity, op7_language_id, op8_sentencepiece, op9_ngram_jaccard_join, op10_mix_sources)
 
 
 def queries() -> dict:
