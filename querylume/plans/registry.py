@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from querylume.plans import relational, schema
+
+MODULES = (relational, schema)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
