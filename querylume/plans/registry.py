@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querylume.plans import relational, schema
+from querylume.plans import linking, relational, schema, texts
 
-MODULES = (relational, schema)
+MODULES = (relational, schema, linking, texts)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
