@@ -31,8 +31,12 @@ def word_count(text: Column) -> Column:
 def phrases(question: Column, longest: int) -> Column:
     """Distinct runs of 1 to ``longest`` words, lower-cased, punctuation deleted."""
     w = words(F.regexp_replace(F.lower(question), r"(?U)[^\w\s]", ""))
-    runs = [F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]
-    return F.array_distinct(F.flatten(F.array(*runs)))
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
+        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, longest + 1)])))
 
 
 def gold_tokens(sql: Column) -> Column:

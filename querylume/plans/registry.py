@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querylume.plans import linking, relational, schema, texts
+from querylume.plans import evaluation, linking, relational, schema, texts
 
-MODULES = (relational, schema, linking, texts)
+MODULES = (relational, schema, linking, texts, evaluation)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
