@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querylume.plans import evaluation, linking, relational, schema, texts
+from querylume.plans import evaluation, linking, relational, reports, runs, schema, texts
 
-MODULES = (relational, schema, linking, texts, evaluation)
+MODULES = (relational, schema, linking, texts, evaluation, reports, runs)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return runs.flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

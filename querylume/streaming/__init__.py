@@ -1 +1,2 @@
-
+"""No operator of the engine is a streaming one: the workloads are batches of questions. The subpackage is kept for
+incremental sinks, should one be needed."""
