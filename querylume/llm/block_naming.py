@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from querylume.llm.common import freeze, join_hot, ranked, table
+from querylume.llm.common import freeze, fresh, join_hot, ranked, table
 
 BLOCK_CHARS = 4096
 WHITE_SPACE = " \t\n\x0b\f\r"
@@ -88,12 +88,13 @@ def name_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one for each normalised text, with all their columns."""
-    named = name_blocks(docs, id_col, text_col).where("kept")
-    named = named.select(F.col(id_col).alias("_q_id"), F.col("text_sha256").alias("_q_sha"), F.col("n_chars").alias("_q_n")).distinct()
+    id_, sha, n, row = fresh(docs, "_q_id", "_q_sha", "_q_n", "_q_row")
+    named = name_blocks(docs.select(id_col, text_col), id_col, text_col).where("kept")
+    named = named.select(F.col(id_col).alias(id_), F.col("text_sha256").alias(sha), F.col("n_chars").alias(n)).distinct()
     text = F.coalesce(docs[text_col], F.lit(""))
-    same = docs[id_col].eqNullSafe(named["_q_id"]) & (F.sha2(normalised(text), 256) == named["_q_sha"]) & (F.char_length(text) == named["_q_n"])
-    first = F.row_number().over(W.partitionBy("_q_id", "_q_sha", "_q_n").orderBy(F.lit(0)))
-    return docs.join(named, same).withColumn("_q_row", first).where("_q_row = 1").select(docs.columns)
+    same = docs[id_col].eqNullSafe(named[id_]) & (F.sha2(normalised(text), 256) == named[sha]) & (F.char_length(text) == named[n])
+    first = F.row_number().over(W.partitionBy(id_, sha, n).orderBy(F.lit(0)))
+    return docs.join(named, same).withColumn(row, first).where(F.col(row) == 1).select(docs.columns)
 
 
 def op3_block_naming(spark, sf_dir: str) -> DataFrame:

@@ -181,14 +181,16 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     placed = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    out = freeze(placed.mapInPandas(_stream, f"id {kind}, {_SCHEMA}, _edge int, _pid int, _text string"), "fingerprints")
+    placed = placed.withColumn("id", F.col("id").cast("string"))  # as text: pandas has no null integers
+    out = freeze(placed.mapInPandas(_stream, f"id string, {_SCHEMA}, _edge int, _pid int, _text string"), "fingerprints")
     pids = sorted(r["_pid"] for r in out.where("_edge = 0").select("_pid").collect())  # one number a partition
     follows = docs.sparkSession.createDataFrame(list(zip(pids, pids[1:] + pids[:1])), "_pid int, _next int")
     last = out.where("_edge = 1").select("id", "_pid", F.col("_text").alias("text"), F.col("fingerprint").alias("mark"))
     first = out.where("_edge = 0").select(F.col("_pid").alias("_next"), F.col("_text").alias("next_text"), F.col("fingerprint").alias("next_mark"))
     met = last.join(F.broadcast(follows), "_pid").join(first, "_next").select("id", "text", "mark", "next_text", "next_mark")
-    met = met.mapInPandas(_meet, f"id {kind}, {_SCHEMA}")
-    return out.where("_edge = -1").select(met.columns).unionByName(met).withColumnRenamed("id", id_col)
+    met = met.mapInPandas(_meet, f"id string, {_SCHEMA}")
+    both = out.where("_edge = -1").select(met.columns).unionByName(met)
+    return both.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 def op2_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -259,10 +259,10 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null or empty html, and a page without main text, give an empty text. Text outside any markup is main text. Rows
     that repeat are extracted each. Other columns are ignored. An empty table gives an empty result."""
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = rows.mapInPandas(_extract, f"id {kind['id']}, url {kind['url']}, text string")
-    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
+    kind, url = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
+    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))  # as text: pandas has no null integers
+    out = rows.mapInPandas(_extract, f"id string, url {url}, text string")
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op1_html_text(spark, sf_dir: str) -> DataFrame:

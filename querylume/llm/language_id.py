@@ -152,10 +152,10 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "do
 
     A text that is null or has no letters is UNKNOWN with score 0, and so is every text where nothing was learned. Of
     languages at one distance the first by name is taken. Other columns are ignored."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInPandas(_predict(profiles), f"id {kind}, lang_pred string, score double")
-    return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))  # as text: pandas has no null integers
+    out = rows.mapInPandas(_predict(profiles), "id string, lang_pred string, score double")
+    return out.select(F.col("id").cast(kind).alias(id_col), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from querylume.llm.common import freeze, ranked, table
+from querylume.llm.common import freeze, fresh, ranked, table
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -148,15 +148,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def take_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it, with all their columns. Rows with one id, source and
     text length are interchangeable; should the mix take them unequally, their repeats are evened out."""
-    own = ["_q_id", "_q_source", "_q_size"]
-    mixed = mix_sources(docs, id_col, text_col, source_col, **options)
-    mixed = mixed.select(F.col(id_col).alias("_q_id"), F.col(source_col).alias("_q_source"), F.col("size").alias("_q_size"), "repeats")
-    mixed = mixed.groupBy(*own).agg(F.sum("repeats").alias("_q_all"), F.count("*").alias("_q_rows")).where("_q_all > 0")
-    same = docs[id_col].eqNullSafe(mixed["_q_id"]) & docs[source_col].eqNullSafe(mixed["_q_source"]) & (word_count(docs[text_col]) == mixed["_q_size"])
-    met = docs.join(mixed, same).withColumn("_q_row", F.row_number().over(W.partitionBy(*own).orderBy(F.lit(0))) - 1)
-    times = F.floor(F.col("_q_all") / F.col("_q_rows")) + F.when(F.col("_q_row") < F.col("_q_all") % F.col("_q_rows"), 1).otherwise(0)
-    met = met.withColumn("_q_times", times.cast("int")).where("_q_times > 0")
-    return met.withColumn("_q_time", F.explode(F.sequence(F.lit(1), F.col("_q_times")))).select(*[met[c] for c in docs.columns])
+    id_, source, size, total, rows, row, times, time = fresh(docs, "_q_id", "_q_source", "_q_size", "_q_all", "_q_rows", "_q_row", "_q_times", "_q_time")
+    mixed = mix_sources(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, **options)
+    mixed = mixed.select(F.col(id_col).alias(id_), F.col(source_col).alias(source), F.col("size").alias(size), "repeats")
+    mixed = mixed.groupBy(id_, source, size).agg(F.sum("repeats").alias(total), F.count("*").alias(rows)).where(F.col(total) > 0)
+    same = docs[id_col].eqNullSafe(mixed[id_]) & docs[source_col].eqNullSafe(mixed[source]) & (word_count(docs[text_col]) == mixed[size])
+    met = docs.join(mixed, same).withColumn(row, F.row_number().over(W.partitionBy(id_, source, size).orderBy(F.lit(0))) - 1)
+    each = F.floor(F.col(total) / F.col(rows)) + F.when(F.col(row) < F.col(total) % F.col(rows), 1).otherwise(0)
+    met = met.withColumn(times, each.cast("int")).where(F.col(times) > 0)
+    return met.withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -180,8 +180,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bands, rows = choose_bands(threshold, recall, max_hashes)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("_at"))
     kind = base.schema["id"].dataType.simpleString()
-    sig = base.mapInPandas(_signatures(n, bands, rows), f"id {kind}, _at long, _grams long, _set binary, _bands array<long>")
-    sig = freeze(sig, "join-signatures")
+    sig = base.withColumn("id", F.col("id").cast("string"))  # as text: pandas has no null integers
+    sig = sig.mapInPandas(_signatures(n, bands, rows), "id string, _at long, _grams long, _set binary, _bands array<long>")
+    sig = freeze(sig.withColumn("id", F.col("id").cast(kind)), "join-signatures")
     full = sig.where("_grams > 0")
     per = full.groupBy("_set").agg(F.min(F.struct("id", "_at")).alias("_rep"), F.count("*").alias("_n"), F.first("_bands").alias("_bands"), F.first("_grams").alias("_grams"))
     classes = ranked(per, [F.col("_set")], "_class", "join-classes")
