@@ -58,13 +58,12 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int, seed: int, d
             left -= more * lengths[i]
     budget -= sum(t * n for t, n in zip(take, lengths))
     # Bounded knapsack: items of a length are grouped by powers of two; bit s of `sums` says that s words can be had.
-    # Sums may pass the budget by the longest single step that could bring them nearer.
-    shortest = min(n for n, c, t in zip(lengths, counts, take) if n > 0 and c > t)
-    mask = (1 << (budget + min(shortest, budget + 1) + 1)) - 1
+    # Sums may pass the budget, by less than the budget itself, by which the empty sum falls short.
+    mask = (1 << (2 * budget + 1)) - 1
     sums, stages = 1, []
     for i in order:
         spare, step = counts[i] - take[i], 1
-        while spare > 0 and lengths[i] > 0 and lengths[i] * step <= budget + shortest:
+        while spare > 0 and 0 < lengths[i] * step <= 2 * budget:
             step = min(step, spare)
             stages.append((i, step, sums))
             sums = (sums | (sums << (lengths[i] * step))) & mask
