@@ -29,7 +29,7 @@ MAX_MODEL_MB = 64
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-_BATCH_CHARS = 8_000_000
+_BATCH_CHARS = 2_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
