@@ -16,6 +16,8 @@ per lane its 64-bit state; words; crc32 of all before.
 
 from __future__ import annotations
 
+import functools
+import os
 import struct
 import uuid
 import zlib
@@ -31,11 +33,13 @@ from querylume.llm.common import drop_frozen, freeze, shared_dir, table
 from querylume.llm.word_encoder import WordEncoder, slices
 
 END_ID = 0
-SCALE_BITS = 22
+SCALE_BITS = 20
 LANE_TOKENS = 512
 CHECKPOINT = 64
 BLOCK_TOKENS = 1 << 20
-MAX_VOCABULARY = 1 << 20
+MAX_VOCABULARY = 1 << 19
+#: Distinct words whose ids a worker keeps.
+KEPT_WORDS = 500_000
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sHIQQI")
 _MARK = struct.Struct("<QII")
@@ -73,7 +77,8 @@ class Coder:
     @property
     def symbol(self) -> np.ndarray:
         if self._symbol is None:
-            self._symbol = np.repeat(np.arange(len(self.freq), dtype=np.int32), self.freq.astype(np.int64))
+            kind = np.uint16 if len(self.freq) <= 1 << 16 else np.int32  # the smaller, the better it fits a cache
+            self._symbol = np.repeat(np.arange(len(self.freq), dtype=kind), self.freq.astype(np.int64))
         return self._symbol
 
     def encode(self, ids: np.ndarray, lengths: list[int]) -> bytes:
@@ -98,7 +103,8 @@ class Coder:
             words.append((x[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
             owners.append(group[at])
             x = np.where(over, x >> np.uint64(32), x)
-            state[live] = ((x // f) << self.bits) + x % f + self.start[s]
+            times = x // f
+            state[live] = (times << self.bits) + (x - times * f) + self.start[s]
         flat = np.concatenate(words)[::-1] if words else np.zeros(0, np.uint32)
         owner = np.concatenate(owners)[::-1] if owners else np.zeros(0, np.int64)
         order = np.argsort(owner, kind="stable")
@@ -162,8 +168,10 @@ class Coder:
         return (flat[: n if only is None else int(size.sum())] if only is None else np.concatenate([grid[i, : size[i]] for i in range(width)]) if width else flat), lengths
 
 
+@functools.lru_cache(maxsize=2)  # a worker keeps it from task to task
 def tokenizer_encoder(path: str) -> tuple[WordEncoder, int]:
     """The encoder of a byte-level BPE file and its vocabulary size. Strings of special tokens in a text are text."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the threads here
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(path)
@@ -173,7 +181,7 @@ def tokenizer_encoder(path: str) -> tuple[WordEncoder, int]:
     for piece, i in vocabulary.items():
         starts[i] = piece.startswith("Ġ")
     encode = lambda texts: [e.ids for e in tk.encode_batch_fast(texts, add_special_tokens=False)]
-    return WordEncoder(encode, starts, " ", True), len(starts)
+    return WordEncoder(encode, starts, " ", True, KEPT_WORDS), len(starts)
 
 
 def _tokenise(path: str):
@@ -200,8 +208,8 @@ def _tally(width: int, size: int):
         kind, total = (np.uint16 if width == 2 else np.uint32), np.zeros(size, np.int64)
         for batch in batches:
             data = batch.column("ids")
-            flat = np.frombuffer(b"".join(data.to_pylist()), kind)
-            total += np.bincount(flat, minlength=size)
+            for a in range(0, len(data), 500):
+                total += np.bincount(np.frombuffer(b"".join(data.slice(a, 500).to_pylist()), kind), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"token": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -11,7 +12,9 @@ import pyarrow.compute as pc
 #: A space before or behind other white space, or at an end: there single spaces don't delimit words.
 _ODD = r"^ | $|[ ][\s\v\x1c-\x1f\x85\p{Z}]|[\s\v\x1c-\x1f\x85\p{Z}][ ]"
 _GROUP = 1000
-_BATCH_CHARS = 16_000_000
+_BATCH_CHARS = 8_000_000
+#: Distinct words that an encoder keeps with their ids for later batches: the first that it meets.
+_KEPT_WORDS = 100_000
 
 
 def slices(texts: pa.Array, most: int = _BATCH_CHARS) -> list[tuple[int, int]]:
@@ -33,8 +36,25 @@ class WordEncoder:
 
     Only right for tokenizers none of whose tokens goes on beyond a space between two other characters."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], starts: np.ndarray, prefix: str, head_differs: bool):
-        self.encode, self.starts, self.prefix, self.head_differs = encode, starts, prefix, head_differs
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], starts: np.ndarray, prefix: str, head_differs: bool, kept_words: int = _KEPT_WORDS):
+        self.encode, self.starts, self.prefix, self.head_differs, self.kept_words = encode, starts, prefix, head_differs, kept_words
+        self.known: dict[str, int] = {}
+        self.flat, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids in a row, where each word's begin, how many each has)"""
+        at = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        flat, lens = self._distinct([words[i] for i in new])
+        kept = len(self.lens)
+        at[new] = kept + np.arange(len(new))
+        flat, lens = np.concatenate([self.flat, flat]), np.concatenate([self.lens, lens])
+        begin = np.cumsum(lens) - lens
+        if room := min(self.kept_words - kept, len(new)):
+            self.known.update((words[i], kept + k) for k, i in enumerate(new[:room].tolist()))
+            self.lens = lens[: kept + room].copy()
+            self.flat = flat[: int(self.lens.sum())].copy()
+        return flat, begin[at], lens[at]
 
     def _distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has."""
@@ -66,15 +86,15 @@ class WordEncoder:
         alone = [t if w else "" for t, w in zip(texts.to_pylist(), whole)] if whole.any() else [""] * n
         if "" in words:
             words[words.index("")] = "x"  # stands for texts that go whole; its ids are not used
-        flat, lens = self._distinct(words)
+        flat, begin, lens = self._ids(words)
         if self.head_differs:
             alone = [a if w else words[i] for a, w, i in zip(alone, whole, index[first])]
         single = self.encode(alone)
         more = np.asarray([x for s in single for x in s], np.int32)
         sole = np.fromiter(map(len, single), np.int64, n)
         index[first] = np.where(whole | self.head_differs, len(words) + np.arange(n), index[first])
-        flat, lens = np.concatenate([flat, more]), np.concatenate([lens, sole])
-        begin = np.cumsum(lens) - lens
+        begin, lens = np.concatenate([begin, len(flat) + np.cumsum(sole) - sole]), np.concatenate([lens, sole])
+        flat = np.concatenate([flat, more])
         took = lens[index]
         ends = np.cumsum(took)
         ids = flat[np.repeat(begin[index] - ends + took, took) + np.arange(ends[-1] if n else 0)]
