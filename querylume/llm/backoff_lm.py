@@ -31,8 +31,9 @@ from querylume.llm.ngram_join import _WORD, _mix, _WordHash
 ORDER = 3
 ALPHA = 0.4
 #: Words in a chunk, unless a single document has more; n-grams (distinct in their chunk) in a hash partition.
-CHUNK_WORDS = 2_500_000
-PARTITION_GRAMS = 4_000_000
+CHUNK_WORDS = 1_500_000
+PARTITION_GRAMS = 2_000_000
+_SLICE_WORDS = 250_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,7 +90,8 @@ def _explode(order: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(p << 64) // parts for p in range(parts)], np.uint64)
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 for n, (h, _) in enumerate(_grams(r["vocabulary"], r["codes"], np.asarray(r["lens"], np.int64), order), 1):
                     keys, counts = np.unique(h, return_counts=True)
                     cuts = np.append(np.searchsorted(keys, edges), len(keys))
@@ -113,40 +115,57 @@ def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": pdf["chunk"], "n": pdf["n"], "part": pdf["part"], "totals": [_pack(t) for t in np.split(totals, sizes[:-1])]})
 
 
+def _others(r: dict, n: int, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Counts of n-grams ``h`` in other documents than their own, in slices that end with a document."""
+    keys = np.unique(h)
+    found = [_unpack(t["totals"]) for t in sorted((t for t in r["got"] if t["n"] == n), key=lambda t: t["part"])]
+    got = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    if len(got) != len(keys):
+        raise ValueError("totals don't fit their chunk")
+    at = 0
+    while at < len(h):
+        to = int(np.searchsorted(doc, doc[min(at + _SLICE_WORDS, len(h)) - 1], side="right"))
+        place = np.searchsorted(keys, h[at:to])
+        _, own_inv, own = np.unique((doc[at:to] - doc[at]) * len(keys) + place, return_inverse=True, return_counts=True)
+        yield slice(at, to), got[place].astype(np.float64) - own[own_inv]
+        at = to
+
+
 def _score(order: int, alpha: float, words_in_all: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, r in enumerate(batch.to_pylist()):
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 lens = np.asarray(r["lens"], np.int64)
                 doc = np.repeat(np.arange(len(lens)), lens)
                 total = len(doc)
-                seen = np.zeros((order + 1, total))  # of the n-gram that ends here, in other documents; -1: none ends here
-                seen[1:] = -1
-                for n, (h, at) in enumerate(_grams(r["vocabulary"], r["codes"], lens, order), 1):
-                    if not len(h):
-                        continue
-                    keys, inv = np.unique(h, return_inverse=True)
-                    got = np.concatenate([_unpack(t["totals"]) for t in sorted((t for t in r["got"] if t["n"] == n), key=lambda t: t["part"])])
-                    if len(got) != len(keys):
-                        raise ValueError("totals don't fit their chunk")
-                    _, own_inv, own = np.unique(doc[at] * len(keys) + inv, return_inverse=True, return_counts=True)
-                    seen[n, at] = got[inv].astype(np.float64) - own[own_inv]
-                others = (words_in_all - lens[doc]).astype(np.float64)
-                out = np.full(total, np.nan)
-                penalty = np.zeros(total)
-                for n in range(order, 1, -1):
-                    context = np.append(0.0, seen[n - 1, :-1])[:total]
-                    use = np.isnan(out) & (seen[n] > 0)
-                    out[use] = np.log(seen[n, use] / context[use]) + penalty[use]
-                    penalty += np.where(seen[n] >= 0, math.log(alpha), 0.0)
-                use = np.isnan(out)
-                out[use] = np.log(np.where(seen[1, use] > 0, seen[1, use] / np.maximum(others[use], 1), 1 / (others[use] + 1))) + penalty[use]
-                sums = np.bincount(doc, out, len(lens))
-                yield pa.RecordBatch.from_pydict({"id": batch.column("ids")[i].values, "n_words": pa.array(lens, pa.int64()), "score": pa.array(sums, pa.float64())})
+                seen = np.full((order, total), -1.0)  # of the n-gram that ends here, in other documents; -1: none ends here
+                for n, (h, at) in enumerate(_grams(r["vocabulary"], r["codes"], lens, order)):
+                    for part, counts in _others(r, n + 1, h, doc[at]):
+                        seen[n, at[part]] = counts
+                out, at = np.zeros(len(lens)), 0
+                while at < total:
+                    to = int(np.searchsorted(doc, doc[min(at + _SLICE_WORDS, total) - 1], side="right"))
+                    out += np.bincount(doc[at:to], _logs(seen[:, at:to], (words_in_all - lens[doc[at:to]]).astype(np.float64), alpha), len(lens))
+                    at = to
+                yield pa.RecordBatch.from_pydict({"id": batch.column("ids")[i].values, "n_words": pa.array(lens, pa.int64()), "score": pa.array(out, pa.float64())})
 
     return run
 
 
+def _logs(seen: np.ndarray, others: np.ndarray, alpha: float) -> np.ndarray:
+    """The logarithm of each word's score, for whole documents."""
+    out, penalty = np.full(seen.shape[1], np.nan), np.zeros(seen.shape[1])
+    for n in range(len(seen) - 1, 0, -1):
+        context = np.append(0.0, seen[n - 1, :-1])[: seen.shape[1]]
+        use = np.isnan(out) & (seen[n] > 0)
+        out[use] = np.log(seen[n, use] / context[use]) + penalty[use]
+        penalty += np.where(seen[n] >= 0, math.log(alpha), 0.0)
+    use = np.isnan(out)
+    out[use] = np.log(np.where(seen[0, use] > 0, seen[0, use] / np.maximum(others[use], 1), 1 / (others[use] + 1))) + penalty[use]
+    return out
+
+
 def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
     """One row per row of ``docs``: id_col, n_words, score (sum of natural logarithms), mean_score (per word).
 
