@@ -44,6 +44,8 @@ DROPPED_WORDS = frozenset("""ad ads adv advert adverts advertisement advertiseme
 nav navbar navigation menu menus topnav subnav sidenav breadcrumb breadcrumbs pagination pager toolbar header masthead footer sidebar sidebars aside rail
 widget widgets related recommended recommendations social share sharing sharebar follow cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login
 comment comments commentlist disqus replies reply respond discussion form search skip legal copyright disclaimer""".split())
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template html head".split())
 _TAG = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _LOOSE = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>]|$)", re.S | re.I)
@@ -88,6 +90,8 @@ def parse(page: str) -> Node:
         if lt < 0:
             lt = n
         if lt > at:
+            if cur.tag == "head" and not page[at:lt].isspace():
+                cur, depth = cur.parent, depth - 1
             cur.kids.append(html.unescape(page[at:lt]))
         if lt == n:
             break
@@ -119,6 +123,10 @@ def parse(page: str) -> Node:
                 cur.kids.append(Node("br", cur, False))
         elif tag:
             tag = tag.lower()
+            if cur.tag == "head" and tag not in IN_HEAD:
+                cur, depth = cur.parent, depth - 1
+            elif tag == "body" and cur.tag == "noscript" and cur.parent.tag == "head":
+                cur, depth = cur.parent.parent, depth - 2
             if tag in ("html", "body", "head") and any(x.tag == tag for x in (cur, root) if x.tag != "html" or tag == "html"):
                 continue
             ends, scope = (frozenset(["p"]), BLOCK - frozenset(["p"])) if tag in ENDS_P else (frozenset(), frozenset())

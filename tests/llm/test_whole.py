@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from querylume.llm import toxicity
+from querylume.llm import html_text, toxicity
 
 
 def test_training_rows_that_are_no_copies_all_count(spark):
@@ -13,3 +13,9 @@ def test_training_rows_that_are_no_copies_all_count(spark):
     weights = toxicity.learn(docs, labels).weights
     assert "=scum" in weights  # short texts that end in a full stop
     assert "=vermin" not in weights  # 80 copies are one row
+
+
+def test_a_head_without_end_is_ended():
+    for start in ("<body>", "", "<noscript><link href=x><body>"):
+        assert html_text.extract(f"<html><head><title>T</title><meta charset=utf-8>\n{start}<p>Text of the page.</p>") == "Text of the page."
+    assert html_text.extract("<head><title>T</title>Bare text.") == "Bare text."
