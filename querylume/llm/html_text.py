@@ -5,8 +5,10 @@ density is its characters per tag, adjusted by the share of link characters and
 node the densities of its children are summed; the node with the largest sum is the core. The body-path threshold is
 the least density on the path from the core up to the body. From the core upwards, a parent joins while its density reaches
 it, what it adds is not mostly links and not more than what there is; the last is the main content, unless the page
-marks an article or main element with as much text. Blocks within it that are menus, headers, footers, sidebars, notices, adverts, forms or reader
-comments, by tag, role or class name, are left out before densities are taken, and so are scripts and styles.
+marks an article or main element with as much text. Blocks within it that are menus, headers, footers, sidebars, adverts, forms or reader
+comments, by tag, role or a whole class name or id, are left out before densities are taken, and so are scripts and
+styles. Names cut no block that holds an h1 or main element or all of the text, and names that articles use as well
+(DOUBTFUL_WORDS) only cut a block that is mostly links.
 
 Scale: one map over the pages; a page is parsed once, in time linear in its length.
 """
@@ -37,7 +39,7 @@ IMPLIED = {
     "tbody": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th"]), frozenset(["table"])), "thead": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th"]), frozenset(["table"])), "tfoot": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th"]), frozenset(["table"])),
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
 }
-DROPPED = frozenset("script style noscript nav footer aside form button select textarea iframe object embed svg canvas template head title dialog menu input audio video map math noframes noembed applet search".split())
+DROPPED = frozenset("script style noscript nav footer aside form button select textarea iframe object embed svg canvas template head title dialog menu input audio video map annotation annotation-xml noframes noembed applet search".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist advertisement".split())
 #: Words of class names and ids that mark what isn't main text.
 DROPPED_WORDS = frozenset("""ad ads adv advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored sponsors promo promos promotion banner banners
@@ -46,6 +48,10 @@ widget widgets related recommended recommendations social share sharing sharebar
 comment comments commentlist disqus replies reply respond discussion form search skip legal copyright disclaimer""".split())
 #: What may stand in a head; anything else ends it.
 IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template html head".split())
+#: Words that articles use as well: a block with such a name goes only if it is mostly links.
+DOUBTFUL_WORDS = frozenset("related social sponsor sponsors sponsored promotion header notice notices alert alerts overlay subscription respond reply replies discussion form search skip legal copyright disclaimer recommended recommendations".split())
+#: What may stand beside such words in a name.
+NEUTRAL_WORDS = frozenset("site global left right top bottom box bar list links".split())
 _TAG = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _LOOSE = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>]|$)", re.S | re.I)
@@ -56,10 +62,10 @@ _DEEPEST = 5000
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "drop", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop, self.kids = tag, parent, drop, []
+        self.tag, self.parent, self.drop, self.kids, self.named = tag, parent, drop, [], 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -75,11 +81,53 @@ def _drops(tag: str, attrs: str, depth_article: bool) -> bool:
             return True
         if name == "role" and value.strip().lower() in DROPPED_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "main", "article") and any(w.lower() in DROPPED_WORDS for w in _NAME_PARTS.findall(value)):
-            return True
     return False
 
 
+def _named(tag: str, attrs: str) -> int:
+    """2 if a whole class name or id says that a block isn't main text, 1 if that is in doubt, else 0."""
+    found = 0
+    if attrs and tag not in ("body", "html", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"):
+        for name, value in _ATTR.findall(attrs):
+            if name.lower() in ("class", "id"):
+                for one in html.unescape(value.strip("\"'")).split():
+                    words = {w.lower() for w in _NAME_PARTS.findall(one)}
+                    if marks := words & DROPPED_WORDS:
+                        if words <= DROPPED_WORDS | NEUTRAL_WORDS:
+                            found = max(found, 1 if marks <= DOUBTFUL_WORDS else 2)
+    return found
+
+
+def _cut_named(root: Node) -> None:
+    """Cuts named blocks, but none that holds an h1 or main element or all of the page's text, and doubtful ones only
+    if more than half of their text is in links."""
+    nodes = _ordered(root)
+    if not any(x.named for x in nodes):
+        return
+    size: dict[Node, list[int]] = {}
+    for x in reversed(nodes):  # children first: characters, those in links, and whether an h1 or main is in it
+        own = [sum(len("".join(k.split())) for k in x.kids if isinstance(k, str)), 0, x.tag in ("h1", "main")]
+        for k in x.kids:
+            if not isinstance(k, str) and not k.drop:
+                own = [a + b for a, b in zip(own, size[k])]
+        if x.tag == "a":
+            own[1] = own[0]
+        size[x] = own
+    cut, gone, todo = [], 0, [root]
+    while todo:
+        x = todo.pop()
+        chars, linked, holds = size[x]
+        if x.named and not holds and (x.named == 2 or 2 * linked > chars):
+            cut.append(x)
+            gone += chars
+        else:
+            todo.extend(k for k in x.kids if not isinstance(k, str) and not k.drop)
+    if gone == size[root][0]:  # no text but in named blocks: the largest is kept
+        cut.remove(max(cut, key=lambda x: size[x][0])) if cut else None
+    for x in cut:
+        x.drop = True
+
+
 def parse(page: str) -> Node:
     """The tree under an 'html' root. Children are nodes and decoded strings."""
     root = cur = Node("html", None, False)
@@ -143,6 +191,7 @@ def parse(page: str) -> Node:
                         cur, depth = cur.parent, depth - 1
                     cur, depth = cur.parent, depth - 1
             node = Node(tag, cur, _drops(tag, attrs, in_article > 0))
+            node.named = _named(tag, attrs)
             cur.kids.append(node)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -150,6 +199,7 @@ def parse(page: str) -> Node:
             elif tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK) and depth < _DEEPEST:
                 cur, depth = node, depth + 1
                 in_article += tag in ("article", "main")
+    _cut_named(root)
     return root
 
 

@@ -19,3 +19,13 @@ def test_a_head_without_end_is_ended():
     for start in ("<body>", "", "<noscript><link href=x><body>"):
         assert html_text.extract(f"<html><head><title>T</title><meta charset=utf-8>\n{start}<p>Text of the page.</p>") == "Text of the page."
     assert html_text.extract("<head><title>T</title>Bare text.") == "Bare text."
+
+
+def test_names_of_blocks_cut_no_article_text():
+    part = "A sentence of the article, with some words, that ought to stay. " * 3
+    for name in ("content has-sidebar", "no-sidebar", "sidebar"):
+        assert html_text.extract(f"<body><div class='{name}'><h1>Head</h1><p>{part}</p></div></body>") == f"Head\n{part.strip()}"
+    body = f"<div class=entry-header><h1>Head</h1></div><section id=discussion><h2 id=search-methods>Search</h2><p>{part}</p></section><section id=related-work><p>{part}</p><math><mi>x</mi></math></section>"
+    got = html_text.extract(f"<body><main>{body}<div class=comments><p>{part}</p></div><div class=related><a href=x>Other</a></div></main></body>")
+    assert got == f"Head\nSearch\n{part.strip()}\n{part.strip()}\nx"
+    assert html_text.extract(f"<body><div class=comments><p>{part}</p></div></body>") == part.strip()
