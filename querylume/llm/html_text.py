@@ -3,9 +3,10 @@
 The whole page is parsed into a tree as browsers do, with the implied ends of unclosed blocks. Every node's composite
 density is its characters per tag, adjusted by the share of link characters and link tags against the body's. Of every
 node the densities of its children are summed; the node with the largest sum is the core. The body-path threshold is
-the least density on the path from the core up to the body. From the core upwards, a parent joins while its density reaches
-it, what it adds is not mostly links and not more than what there is; the last is the main content, unless the page
-marks an article or main element with as much text. Blocks within it that are menus, headers, footers, sidebars, adverts, forms or reader
+the least density on the path from the core up to the body. The main content is the core and every block of the body
+beside that path whose density reaches the threshold, unless the page marks an article or main element with at least
+half as much text. A thinner block stays if it isn't mostly links and lies between blocks that stay, is a heading before
+one, or has a parent on the path, below the body, that adds little else than text. Blocks within it that are menus, headers, footers, sidebars, adverts, forms or reader
 comments, by tag, role or a whole class name or id, are left out before densities are taken, and so are scripts and
 styles. Names cut no block that holds an h1 or main element or all of the text, and names that articles use as well
 (DOUBTFUL_WORDS) only cut a block that is mostly links.
@@ -62,12 +63,13 @@ _DEEPEST = 5000
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "drop", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "drop", "named", "chars", "tags", "link_chars", "link_tags", "density", "total", "blocks")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool):
         self.tag, self.parent, self.drop, self.kids, self.named = tag, parent, drop, [], 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.blocks = tag in BLOCK
 
 
 def _drops(tag: str, attrs: str, depth_article: bool) -> bool:
@@ -214,7 +216,8 @@ def _ordered(root: Node) -> list[Node]:
     return out
 
 
-def _measure(nodes: list[Node]) -> None:
+def _measure(nodes: list[Node]) -> float:
+    """Sets densities and their sums; returns the share of link characters in the page."""
     for node in nodes:
         node.chars = sum(len("".join(k.split())) for k in node.kids if isinstance(k, str))
     for node in reversed(nodes):
@@ -228,20 +231,81 @@ def _measure(nodes: list[Node]) -> None:
     root = nodes[0]
     share = root.link_chars / max(1, root.chars)
     for node in nodes:
-        c, t = max(1, node.chars), max(1, node.tags)
-        lc, lt = max(1, node.link_chars), max(1, node.link_tags)
-        plain = max(1, node.chars - node.link_chars)
-        base = max(1.05, math.log(c * node.link_chars / plain + share * c + math.e))
-        node.density = (node.chars / t) * max(0.0, math.log(max(1.0001, (c / lc) * (t / lt)), base)) if node.chars else 0.0
+        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, share)
     for node in reversed(nodes):
-        if node.parent is not None:
-            node.parent.total += node.density
+        if (up := node.parent) is not None:
+            up.total += node.density
+            up.blocks = up.blocks or node.blocks
+    return share
+
+
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    c, t, lc, lt = max(1, chars), max(1, tags), max(1, link_chars), max(1, link_tags)
+    base = max(1.05, math.log(c * link_chars / max(1, chars - link_chars) + share * c + math.e))
+    return (chars / t) * max(0.0, math.log(max(1.0001, (c / lc) * (t / lt)), base)) if chars else 0.0
+
+
+def _parts(node: Node, held: set[Node]) -> list[list[Node | str]]:
+    """Each block among the children, and each run of text and inline elements between blocks."""
+    out: list[list[Node | str]] = []
+    run = False
+    for k in node.kids:
+        if not isinstance(k, str) and k.drop:
+            continue
+        inline = isinstance(k, str) or not (k.blocks or k in held)
+        if inline and run:
+            out[-1].append(k)
+        else:
+            out.append([k])
+        run = inline
+    return out
+
+
+def _sizes(part: list[Node | str]) -> tuple[int, int, int, int]:
+    if len(part) == 1 and not isinstance(part[0], str):
+        return part[0].chars, part[0].tags, part[0].link_chars, part[0].link_tags
+    inner = [k for k in part if not isinstance(k, str)]
+    chars = sum(len("".join(k.split())) for k in part if isinstance(k, str)) + sum(k.chars for k in inner)
+    return chars, sum(k.tags + 1 for k in inner), sum(k.link_chars for k in inner), sum(k.link_tags for k in inner)
+
+
+def _thin(path: list[Node], share: float) -> int:
+    """Takes out of the body the blocks beside the core's path that are thinner than the threshold, and returns how
+    many characters stay. ``path`` leads from the core to the body."""
+    core, top, held, least = path[0], path[-1], set(path), min(x.density for x in path)
+    strict, loose = False, set()
+    for inner, node in zip(path, path[1:]):
+        more, linked = node.chars - inner.chars, node.link_chars - inner.link_chars
+        strict = strict or node is top or 3 * linked > more
+        if not strict:
+            loose.add(node)
+    stay, todo = core.chars, [top]
+    while todo:
+        node = todo.pop()
+        if node is core:
+            continue
+        parts = _parts(node, held)
+        sizes = [_sizes(x) for x in parts]
+        on_path = [x[0] in held for x in parts]
+        good = [on or n[0] > 0 and (x[0].density if len(x) == 1 and not isinstance(x[0], str) else _density(*n, share)) >= least for on, x, n in zip(on_path, parts, sizes)]
+        dense = [i for i, x in enumerate(good) if x]
+        for i, (x, n) in enumerate(zip(parts, sizes)):
+            if not good[i] and 3 * n[2] <= n[0]:  # short text without links belongs to what lies around it
+                follows = not isinstance(x[0], str) and x[0].tag in ("h1", "h2", "h3", "h4", "h5", "h6") and bool(dense) and i < dense[-1]
+                good[i] = node in loose or follows or bool(dense) and dense[0] < i < dense[-1]
+        node.kids = [k for i, x in enumerate(parts) if good[i] for k in x]
+        for i, x in enumerate(parts):
+            if good[i] and on_path[i]:
+                todo.append(x[0])
+            elif good[i]:
+                stay += sizes[i][0]
+    return stay
 
 
 def main_node(root: Node) -> Node | None:
     """The subtree with the main text, or none if there is no text."""
     nodes = _ordered(root)
-    _measure(nodes)
+    share = _measure(nodes)
     body = next((x for x in nodes if x.tag == "body"), root)
     if not root.chars:
         return None
@@ -253,23 +317,19 @@ def main_node(root: Node) -> Node | None:
         if node is body:
             break
         node = node.parent
-    least = min(x.density for x in path)
-    best = core
-    for node in path[1:]:  # up to, but not including, the body, while what joins is no thinner than the threshold
-        more, linked = node.chars - best.chars, node.link_chars - best.link_chars
-        if node is body or node.density < least or more > best.chars or 3 * linked > more:
-            break
-        best = node
     marked = [x for x in nodes if x.tag in ("article", "main")]
     if marked:
         # authors who mark the main text mark all of it
         own = next((x for x in (marked if core is body or core is root else path) if x.tag in ("article", "main")), None)
         if own is None:
             own = max(marked, key=lambda x: x.chars)
-        if own.chars * 2 >= best.chars or best is body:
-            same = [x for x in marked if x.parent is own.parent]
-            best = own if len(same) == 1 or max(x.chars for x in same) == own.chars and own.chars * 2 > sum(x.chars for x in same) else own.parent
-    return best
+        same = [x for x in marked if x.parent is own.parent]
+        best = own if len(same) == 1 or max(x.chars for x in same) == own.chars and own.chars * 2 > sum(x.chars for x in same) else own.parent
+        if core is body or core is root or own.chars * 2 >= _thin(path, share):
+            return best
+    else:
+        _thin(path, share)
+    return path[-1]
 
 
 def text_of(node: Node) -> str:

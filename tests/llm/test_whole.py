@@ -29,3 +29,13 @@ def test_names_of_blocks_cut_no_article_text():
     got = html_text.extract(f"<body><main>{body}<div class=comments><p>{part}</p></div><div class=related><a href=x>Other</a></div></main></body>")
     assert got == f"Head\nSearch\n{part.strip()}\n{part.strip()}\nx"
     assert html_text.extract(f"<body><div class=comments><p>{part}</p></div></body>") == part.strip()
+
+
+def test_all_like_sections_of_a_page_are_main_text():
+    para = "<p>" + "word " * 33 + "words</p>"
+    sections = "".join(f"<div><h2>Part {i}</h2>{para * 10}</div>" for i in range(4))
+    links = "<div>" + "".join(f"<p><a href=/{i}>Other page {i}</a></p>" for i in range(8)) + "</div>"
+    for body in (f"<div>{sections}</div>", f"{links}<div><h1>Head</h1>{sections}</div>{links}", f"{links}{sections}{links}", f"{links}<div>{links}{sections}</div>"):
+        got = html_text.extract(f"<html><body>{body}</body></html>")
+        assert got.count("word ") == 4 * 10 * 33 and all(f"Part {i}" in got for i in range(4))
+        assert ("Head" in got) == ("Head" in body) and "Other" not in got
