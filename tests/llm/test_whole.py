@@ -39,3 +39,18 @@ def test_all_like_sections_of_a_page_are_main_text():
         got = html_text.extract(f"<html><body>{body}</body></html>")
         assert got.count("word ") == 4 * 10 * 33 and all(f"Part {i}" in got for i in range(4))
         assert ("Head" in got) == ("Head" in body) and "Other" not in got
+
+
+def lexicon_of(*words):
+    tri = {}
+    for w in words:
+        for i in range(len(w) + 1):
+            tri[("^^" + w + "$")[i : i + 3]] = 100
+    return toxicity.Lexicon({"=pathetic": 5.0, "=idiot": 4.0}, -2.0, -4.0, toxicity.CharModel(tri))
+
+
+def test_long_tokens_are_decoded():
+    lexicon = lexicon_of("pathetic", "idiot", "plain", "words", "here")
+    for token in ("idi" + "o" * 60 + "t", "_".join(["plain", "words", "here"] * 40 + ["p4thet1c"]), "plain_words_here_" * 2 + "plain_here_p@thetic_" + "words_" * 2, "-".join(["words"] * 30) + ".p.a.t.h.e.t.i.c"):
+        assert len(token) > 48 and lexicon.weight(token) > 0
+    assert toxicity.restore("i.d.i.o.t." * 20_000, lexicon.model).startswith("idiot")
