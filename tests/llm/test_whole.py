@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
+
 from querylume.llm import html_text, toxicity
 
 
@@ -54,3 +58,14 @@ def test_long_tokens_are_decoded():
     for token in ("idi" + "o" * 60 + "t", "_".join(["plain", "words", "here"] * 40 + ["p4thet1c"]), "plain_words_here_" * 2 + "plain_here_p@thetic_" + "words_" * 2, "-".join(["words"] * 30) + ".p.a.t.h.e.t.i.c"):
         assert len(token) > 48 and lexicon.weight(token) > 0
     assert toxicity.restore("i.d.i.o.t." * 20_000, lexicon.model).startswith("idiot")
+
+
+def test_masked_letters_and_all_words_of_a_spaced_run():
+    lexicon = lexicon_of("pathetic", "idiot", "plain", "words", "here")
+    assert toxicity.restore("id**t", lexicon.model) == "idiot" and toxicity.restore("p*th**ic", lexicon.model) == "pathetic"
+    assert toxicity.restore("plain***words", lexicon.model).split() == ["plain", "words"]
+    odds = []
+    for text in ("idiot pathetic", "i d i o t - p a t h e t i c", "w o r d s - " * 60 + "i d i o t - " + "h e r e - " * 60 + "p a t h e t i c"):
+        got = next(toxicity._scores(lexicon)(iter([pd.DataFrame({"text": [text]})])))["score"][0]
+        odds.append(round(math.log(got / (1 - got)), 6))
+    assert odds == [7.0] * 3
