@@ -1,17 +1,21 @@
 """SentencePiece models on the tokenizers library.
 
 The model file's protobuf is parsed here; its normaliser, metaspace marker, pieces with scores and byte fallback are
-rebuilt as a tokenizers pipeline, for unigram and BPE models. Batches are encoded and decoded by the library's threads;
-where no piece spans the start of a word, each distinct word of a batch is encoded once.
-Parity is verified for every text: the sentencepiece library encodes it too, and a text on which the two differ
-takes the ids of the latter, and is reported.
-
-Scale: one map over the documents without a shuffle. The model path is a parameter; its bytes (under MAX_MODEL_MB)
-travel with the task.
+rebuilt as a tokenizers pipeline, for unigram and BPE models. All ids, and the texts that they decode to, are this
+pipeline's. Batches are encoded by THREADS threads of the library; where no piece spans the start of a word, each distinct
+word of a batch is encoded once, unless a text holds the marker itself.
+Parity is verified for every text: the sentencepiece library encodes all that the pipeline encodes, word by word or the
+whole text, and a text on which the two differ is reported. A text whose words agree agrees, as no piece spans the start
+of a word; that its words' ids are put together rightly, its decoding shows, which goes over whole texts, one at a time.
+
+Scale: one map over the documents without a shuffle, in slices of _BATCH_CHARS characters. The model path is a parameter;
+its bytes (under MAX_MODEL_MB) travel with the task, and a worker rebuilds a model once.
 """
 
 from __future__ import annotations
 
+import functools
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,6 +33,8 @@ MAX_MODEL_MB = 64
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Threads of the tokenizers library in each worker, beside the worker's own.
+THREADS = 2
 _BATCH_CHARS = 2_000_000
 
 
@@ -123,13 +129,15 @@ def rebuild(model: Model):
         # no piece spans the start of a word, so words can be encoded one by one
         out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
     out.add_tokens([AddedToken(p, normalized=False) for p, _, k in model.pieces if k == USER_DEFINED])
-    ends = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+    ends = [decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " ")]  # one replacement a text, not one a piece
     out.decoder = decoders.Sequence(ends + ([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []))
     return out
 
 
 class Codec:
     def __init__(self, data: bytes):
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # else a thread, and its memory, for each core in each worker
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         import sentencepiece
 
         model = Model(data)
@@ -138,30 +146,38 @@ class Codec:
         self.words = None
         if self.fast.pre_tokenizer is not None and model.dummy_prefix and not model.charsmap and not any(k == USER_DEFINED for _, _, k in model.pieces):
             starts = np.array([p.startswith(MARK) for p, _, _ in model.pieces])
-            self.words = WordEncoder(self._whole, starts, "", False)
+            self.words = WordEncoder(self._whole, starts, "", False, whole=MARK, check=self.plain.encode)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.fast.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[list[np.ndarray], list[bool]]:
+        """The rebuilt tokenizer's ids of each text, and whether they are the sentencepiece library's."""
         if self.words is None:
-            return [np.asarray(x, np.int32) for x in self._whole(texts.to_pylist())]
-        ids, n = self.words(texts)
-        return np.split(ids, np.cumsum(n)[:-1])
+            part = texts.to_pylist()
+            got = self._whole(part)
+            return [np.asarray(x, np.int32) for x in got], [self.plain.encode(t) == x for t, x in zip(part, got)]
+        ids, n, same = self.words.checked(texts)
+        return np.split(ids, np.cumsum(n)[:-1]), same.tolist()
+
+    def decode(self, ids: list[int]) -> str:
+        return self.fast.decode(ids, skip_special_tokens=False)
 
     def run(self, texts: pa.Array) -> tuple[list[np.ndarray], list[bool], list[bool]]:
         """For each text its ids, parity of the two libraries, and whether decoding gives the text back."""
-        part = texts.to_pylist()
-        wanted = self.plain.encode(part, num_threads=1)
-        ids = [np.asarray(x, np.int32) for x in wanted]
-        same = [np.array_equal(a, b) for a, b in zip(self.encode(texts), ids)]
-        back = self.fast.decode_batch(wanted, skip_special_tokens=False)
-        return ids, same, [a == b for a, b in zip(back, part)]
+        ids, same = self.encode(texts)
+        back = [self.decode(own.tolist()) == text.as_py() for text, own in zip(texts, ids)]
+        return ids, same, back
+
+
+@functools.lru_cache(maxsize=2)  # a worker keeps it from task to task
+def codec_of(data: bytes) -> Codec:
+    return Codec(data)
 
 
 def _encode(data: bytes, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(data)
+        codec = codec_of(data)
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             for a, b in slices(texts, _BATCH_CHARS):
