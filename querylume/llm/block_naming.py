@@ -2,14 +2,15 @@
 
 A normalised text is cut into blocks of BLOCK_CHARS characters. The distinct blocks are put in order and numbered;
 a text becomes a sequence of integers. Then adjacent pairs of names are numbered in their order, again and again,
-until each text has a single name. Two texts have one name if and only if they have equal blocks all along.
+until each text has a single name. Two texts have one name if and only if they have equal blocks all along, and only
+names say which documents are equal.
 
 The SHA-256 of a block serves as the key by which its text is shuffled, never as proof of equality: every key's set of
 distinct contents is gathered and must have one member, else the query stops with an error. So no collision can pass.
 
-Scale: block contents are shuffled once, behind a map-side union of equal ones; everything later moves keys or integers.
-Documents with one key sequence are pre-aggregated before naming, so that naming sees each distinct text once, and come
-back by a join that broadcasts the few hot sequences (see join_hot).
+Scale: block contents are shuffled once, behind a map-side union of equal ones; everything later moves keys or integers,
+one for each BLOCK_CHARS characters of text, and half as many from level to level. A block, a pair or a group that very
+many documents share is joined by join_hot: the few hot ones are broadcast, and their documents stay where they are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from querylume.llm.common import freeze, fresh, join_hot, ranked, table
+from querylume.llm.common import drop_frozen, freeze, fresh, join_hot, ranked, table
 
 BLOCK_CHARS = 4096
 WHITE_SPACE = " \t\n\x0b\f\r"
@@ -37,9 +38,9 @@ def _key(block: Column) -> Column:
     return F.unhex(F.sha2(block, 256))
 
 
-def _named(rows: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
+def _named(rows: DataFrame, names: DataFrame, on: list[str], total: int) -> DataFrame:
     """(_sid, _pos, *on) to (_sid, _names): the names in the order of positions."""
-    met = rows.join(names.select(*on, "_name"), on)
+    met = join_hot(rows, names.select(*on, "_name", "_n"), on, "_n", total)
     listed = met.groupBy("_sid").agg(F.array_sort(F.collect_list(F.struct("_pos", "_name"))).alias("_l"))
     return listed.select("_sid", F.transform("_l", lambda x: x["_name"]).alias("_names"))
 
@@ -54,34 +55,36 @@ def name_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), F.char_length(text).cast("long").alias("n_chars"), normalised(F.col(text_col)).alias("_t"))
     keys = F.when(F.col("_t") == "", F.array().cast("array<binary>")).otherwise(F.transform(_blocks(F.col("_t")), _key))
-    members = freeze(base.select("id", "n_chars", F.sha2("_t", 256).alias("text_sha256"), keys.alias("_seq")), "naming-members")
+    members = base.select("id", "n_chars", F.sha2("_t", 256).alias("text_sha256"), keys.alias("_seq"))
+    members = freeze(members.withColumn("_sid", F.monotonically_increasing_id()), "naming-members")
+    total, n_blocks, longest = members.agg(F.count("*"), F.coalesce(F.sum(F.size("_seq")), F.lit(0)), F.coalesce(F.max(F.size("_seq")), F.lit(0))).first()
 
     blocks = base.where("_t <> ''").select(F.explode(_blocks(F.col("_t"))).alias("_b")).select(_key(F.col("_b")).alias("_key"), "_b")
-    held = blocks.groupBy("_key").agg(F.collect_set("_b").alias("_c"))
+    held = blocks.groupBy("_key").agg(F.collect_set("_b").alias("_c"), F.count("*").alias("_n"))
     sure = F.when(F.size("_c") == 1, F.col("_key")).otherwise(F.raise_error(F.lit("two different blocks share a SHA-256 key")).cast("binary"))
-    names = ranked(held.select(sure.alias("_key")), [F.col("_key")], "_name", "naming-blocks")
-
-    best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("id"))).alias("_best")
-    seqs = members.groupBy("_seq").agg(best, F.count("*").alias("_n"))
-    seqs = freeze(seqs.withColumn("_sid", F.monotonically_increasing_id()), "naming-sequences")
-    at0 = seqs.select("_sid", F.posexplode("_seq").alias("_pos", "_key"))
-    cur = freeze(_named(at0, names, ["_key"]), "naming-0")
-    empty = seqs.where(F.size("_seq") == 0).select("_sid", F.lit(-1).alias("level"), F.lit(0).cast("long").alias("name"))
+    names = ranked(held.select(sure.alias("_key"), "_n"), [F.col("_key")], "_name", "naming-blocks")
+    at0 = members.select("_sid", F.posexplode("_seq").alias("_pos", "_key"))
+    cur = freeze(_named(at0, names, ["_key"], n_blocks), "naming-0")
+    drop_frozen(names)
+    empty = members.where(F.size("_seq") == 0).select("_sid", F.lit(-1).alias("level"), F.lit(0).cast("long").alias("name"))
     done = empty.union(cur.where(F.size("_names") == 1).select("_sid", F.lit(0), F.col("_names")[0]))
-    longest, level = cur.agg(F.max(F.size("_names"))).first()[0] or 0, 0
+    used, level = [cur], 0
     while longest > 1:
         level, longest = level + 1, (longest + 1) // 2
         many = cur.where(F.size("_names") > 1)
         at = F.sequence(F.lit(0), F.floor((F.size("_names") - 1) / 2).cast("int"))
         pair = lambda i: F.struct(F.get("_names", i * 2).alias("a"), F.coalesce(F.get("_names", i * 2 + 1), F.lit(-1).cast("long")).alias("b"))  # noqa: E731, B023
         pairs = many.select("_sid", F.posexplode(F.transform(at, pair)).alias("_pos", "_p")).select("_sid", "_pos", "_p.a", "_p.b")
-        names = ranked(pairs.select("a", "b").distinct(), [F.col("a"), F.col("b")], "_name", f"naming-pairs-{level}")
-        cur = freeze(_named(pairs, names, ["a", "b"]), f"naming-{level}")
+        names = ranked(pairs.groupBy("a", "b").agg(F.count("*").alias("_n")), [F.col("a"), F.col("b")], "_name", f"naming-pairs-{level}")
+        cur = freeze(_named(pairs, names, ["a", "b"], n_blocks), f"naming-{level}")
+        drop_frozen(names)
+        used.append(cur)
         done = done.union(cur.where(F.size("_names") == 1).select("_sid", F.lit(level), F.col("_names")[0]))
-    groups = done.join(seqs.drop("_seq"), "_sid").groupBy("level", "name").agg(F.min("_best").alias("_best"), F.sum("_n").alias("group_size"))
-    found = seqs.select("_sid", "_seq", "_n").join(done, "_sid").join(groups, ["level", "name"])
-    total = members.count()
-    out = join_hot(members, freeze(found.drop("_sid"), "naming-groups"), ["_seq"], "_n", total)
+    named = freeze(members.drop("_seq").join(done, "_sid").drop("_sid"), "naming-named")
+    drop_frozen(members, *used)
+    best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("id"))).alias("_best")
+    groups = named.groupBy("level", "name").agg(best, F.count("*").alias("group_size"))
+    out = join_hot(named, freeze(groups, "naming-groups"), ["level", "name"], "group_size", total)
     kept = F.col("id").eqNullSafe(F.col("_best.id")) & (F.col("n_chars") == -F.col("_best.c"))
     return out.select(F.col("id").alias(id_col), F.col("_best.id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "n_chars", "level", "name")
 
