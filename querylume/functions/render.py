@@ -64,11 +64,11 @@ def table_ddl(selected: DataFrame, catalog: DataFrame, edges: DataFrame) -> Data
     return blocks.groupBy("q_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["text"]), "\n").alias("ddl"))
 
 
-def few_shot_block(examples: DataFrame) -> DataFrame:
-    """(q_id, place, question, sql) to q_id, block."""
+def few_shot_block(examples: DataFrame, keys: tuple[str, ...] = ("q_id",)) -> DataFrame:
+    """(keys, place, question, sql) to keys, block."""
     one = F.concat(F.lit("-- Example "), F.col("place").cast("string"), F.lit("\n-- Q: "), "question", F.lit("\n-- A:\n"), F.trim("sql"), F.lit("\n"))
-    listed = examples.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("ord"), one.alias("text")))).alias("e"))
-    return listed.select("q_id", F.concat(F.lit("### Examples\n\n"), F.array_join(F.transform("e", lambda x: x["text"]), "\n"), F.lit("\n")).alias("block"))
+    listed = examples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("ord"), one.alias("text")))).alias("e"))
+    return listed.select(*keys, F.concat(F.lit("### Examples\n\n"), F.array_join(F.transform("e", lambda x: x["text"]), "\n"), F.lit("\n")).alias("block"))
 
 
 def prompt(question: Column, ddl: Column, block: Column) -> Column:

@@ -14,13 +14,14 @@ DIMENSIONS = 64
 _BLOCK = 512
 
 
-def dot(a: Column, b: Column) -> Column:
+def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """In double precision; 0 where a vector has no length."""
-    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+def unit(a: Column | str) -> Column:
+    """The vector in double precision, of length 1; zeros stay zeros. The product of two is their cosine."""
+    norm = F.sqrt(dot(a, a))
+    return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
 
 
 def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:

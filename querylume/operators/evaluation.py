@@ -6,7 +6,7 @@ travel with the task. A gold query that doesn't parse is an error; a prediction
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from querylume.functions import sqlcompare as C
 from querylume.functions.sqlparse import Schema, parse, try_parse
+from querylume.operators.storage import frozen, numbered
 
 PAIR_SCHEMA = "idx long, db_id string, level string, parsed boolean, exact boolean, part string, gold_total int, pred_total int, score int"
 
@@ -104,15 +105,44 @@ def exact_by_level(parts: DataFrame) -> DataFrame:
     return out.select(F.when(F.col("_g") == 1, "all").otherwise(F.col("level")).alias("level"), "count", "exact")
 
 
+ETYPES = ("all", "exec", "match")
+
+
 def pair_lines(gold_lines: DataFrame, pred_lines: DataFrame) -> DataFrame:
     """Gold and prediction texts (line_no, value) to (idx, db_id, gold, pred). Blank lines are dropped first, then lines
     are paired by what is left; the longer file's rest has no partner."""
-    from pyspark.sql import Window as W
 
     def kept(df: DataFrame) -> DataFrame:
-        # a file's lines are numbered where they were read; this is one window over a benchmark's lines
-        return df.where(F.trim("value") != "").withColumn("idx", F.row_number().over(W.orderBy("line_no")) - 1)
+        return numbered(df.where(F.trim("value") != ""), "idx", "line_no")
 
     g = kept(gold_lines).select("idx", F.split(F.trim("value"), "\t").alias("g"))
     p = kept(pred_lines).select("idx", F.split(F.trim("value"), "\t")[0].alias("pred"))
-    return g.join(p, "idx").select(F.col("idx").cast("long").alias("idx"), F.col("g")[1].alias("db_id"), F.col("g")[0].alias("gold"), "pred")
+    return g.join(p, "idx").select("idx", F.col("g")[1].alias("db_id"), F.col("g")[0].alias("gold"), "pred")
+
+
+def evaluate(pairs: DataFrame, catalog: DataFrame, etype: str = "all", execute: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Scores of all pairs (idx, db_id, gold, pred): level ('easy' to 'extra', and 'all'), metric, part, value.
+
+    Metrics are count; with etype all or exec, execution accuracy (exec); with all or match, exact match (exact) and for
+    each of the ten parts accuracy, recall and f1. ``execute`` maps the pairs to (idx, exec); it runs both queries. Levels
+    without a pair have no row. A gold query that doesn't parse or run is an error."""
+    if etype not in ETYPES:
+        raise ValueError(f"etype is one of {ETYPES}")
+    parts = frozen(compare(pairs, catalog), "evaluation-parts")
+    per_pair = parts.select("idx", "level", F.col("exact").cast("double").alias("exact")).distinct()
+    metrics = [F.count("*").cast("double").alias("count")]
+    if etype != "match":
+        if execute is None:
+            raise ValueError("execution accuracy needs a way to run the queries")
+        per_pair = per_pair.join(execute(pairs), "idx")
+        metrics.append(F.avg(F.col("exec").cast("double")).alias("exec"))
+    if etype != "exec":
+        metrics.append(F.avg("exact").alias("exact"))
+    names = ["count", *(["exec"] if etype != "match" else []), *(["exact"] if etype != "exec" else [])]
+    whole = per_pair.rollup("level").agg(F.grouping_id("level").alias("_g"), *metrics)
+    level = F.when(F.col("_g") == 1, "all").otherwise(F.col("level")).alias("level")
+    out = whole.where("_g = 0 or count > 0").select(level, *names).unpivot(["level"], names, "metric", "value").select("level", "metric", F.lit("").alias("part"), F.round("value", 6).alias("value"))
+    if etype != "exec":
+        scored = rollup_scores(parts).select("level", "part", "accuracy", "recall", "f1").unpivot(["level", "part"], ["accuracy", "recall", "f1"], "metric", "value")
+        out = out.unionByName(scored.select("level", "metric", "part", "value"))
+    return out

@@ -1,19 +1,26 @@
 """Execution match: both queries are run, and their results compared column by column.
 
-A column's key is its unit in the select list without the outer aggregate; of columns with one key the last counts.
-Order counts only where the gold query has ORDER BY, since Spark promises none otherwise; then rows are compared as
-lists, at most MAX_ORDERED of them, else as multisets, in Spark.
+A column's key is its unit in the select list without the outer aggregate, foreign key columns by their group; of columns
+with one key the last counts, and ``*`` stands for the first column. Order counts only where the gold query has ORDER BY,
+since Spark promises none otherwise; then rows are compared as lists, at most MAX_ORDERED of them, else as multisets, in
+Spark: the two sides are united with opposite signs, and the rows whose signs don't add up to zero are counted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querylume.functions import sqlcompare as C
 from querylume.functions.dialect import to_spark_sql
 from querylume.functions.sqlparse import Query, Schema, try_parse
 
 MAX_ORDERED = 1_000_000
+#: Pairs whose comparisons are one Spark job.
+BATCH = 16
 
 
 def _keys(q: Query) -> list:
@@ -26,47 +33,104 @@ def run_sql(spark: SparkSession, text: str, tables: dict[str, list[str]]) -> Dat
     return spark.sql(to_spark_sql(text, whole, names))
 
 
-def _chosen(df: DataFrame, q: Query) -> dict:
-    last: dict = {}
-    for i, k in enumerate(_keys(q)):
-        last[k] = i
-    return last
-
-
-def matches(spark: SparkSession, gold: str, pred: str, tables: dict[str, list[str]]) -> bool:
-    """False where the prediction fails; an error where the gold query does."""
+def _prepared(spark: SparkSession, gold: str, pred: str, tables: dict[str, list[str]], keys: dict[str, str]) -> tuple[DataFrame, DataFrame, bool] | bool:
+    """Both results' columns in one order, and whether rows are in order; or what the match is without running them."""
     schema = Schema(tables)
     want, got = try_parse(gold, schema), try_parse(pred, schema)
-    right = run_sql(spark, gold, tables)
     if want is None:
         raise ValueError("the gold query isn't in the accepted subset")
+    right = run_sql(spark, gold, tables)
+    right.schema  # noqa: B018  analysis; an error of the gold query is an error
     if got is None:
         return False
     try:
         left = run_sql(spark, pred, tables)
-        left.schema  # noqa: B018  analysis
-    except Exception:  # whatever is wrong with a prediction, it is no match
+        left.schema  # noqa: B018
+    except PySparkException:  # whatever is wrong with a prediction, it is no match
         return False
-    a, b = _chosen(left, got), _chosen(right, want)
+    normal = lambda q: _keys(C.canonical(q, C.usable_columns(q.tables, schema), keys))
+    a, b = ({k: i for i, k in enumerate(normal(q))} for q in (got, want))
     if a.keys() != b.keys():
         return False
-    names = [f"c{i}" for i in range(len(b))]
-    star = len(right.columns) != len(want.select)
-    pick = (lambda df, at: df) if star else (lambda df, at: df.toDF(*[f"x{i}" for i in range(len(df.columns))]).select(*[F.col(f"x{at[k]}").alias(n) for k, n in zip(b, names)]))
+    pick = lambda df, at: df.toDF(*[f"x{i}" for i in range(len(df.columns))]).select(*[F.col(f"x{at[k]}").alias(f"c{j}") for j, k in enumerate(b)])
     left, right = pick(left, a), pick(right, b)
-    if len(left.columns) != len(right.columns):
+    kinds = [(x, y) for (_, x), (_, y) in zip(left.dtypes, right.dtypes)]
+    if any((x == "string") != (y == "string") for x, y in kinds):
         return False
+    if any(x != y for x, y in kinds):
+        left, right = (df.select(*[F.col(c).cast("double" if x != y else x).alias(c) for c, (x, y) in zip(df.columns, kinds)]) for df in (left, right))
+    return left, right, bool(want.order)
+
+
+def _in_order(left: DataFrame, right: DataFrame) -> bool:
+    rows = right.limit(MAX_ORDERED + 1).collect()
+    if len(rows) > MAX_ORDERED:
+        raise ValueError("an ordered result with more rows than MAX_ORDERED")
+    try:
+        return [tuple(r) for r in left.limit(MAX_ORDERED + 1).collect()] == [tuple(r) for r in rows]
+    except PySparkException:
+        return False
+
+
+def _unlike(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row: how many different rows one side has more often than the other."""
+    both = left.withColumn("_s", F.lit(1)).union(right.withColumn("_s", F.lit(-1)))
+    return both.groupBy(*left.columns).agg(F.sum("_s").alias("_d")).where("_d <> 0").agg(F.count("*").alias("n"))
+
+
+def _as_sets(left: DataFrame, right: DataFrame) -> bool:
     try:
-        if want.order:
-            rows = right.limit(MAX_ORDERED + 1).collect()
-            if len(rows) > MAX_ORDERED:
-                raise ValueError("an ordered result with more rows than MAX_ORDERED")
-            return [tuple(r) for r in left.limit(MAX_ORDERED + 1).collect()] == [tuple(r) for r in rows]
-        kinds = [(l, r) for (_, l), (_, r) in zip(left.dtypes, right.dtypes)]
-        if any(l != r for l, r in kinds):
-            left, right = (df.select(*[F.col(c).cast("string" if "string" in k else "double").alias(c) for c, k in zip(df.columns, kinds)]) for df in (left, right))
-        return not left.exceptAll(right).limit(1).count() and not right.exceptAll(left).limit(1).count()
-    except Exception as e:
-        if isinstance(e, ValueError):
-            raise
+        return _unlike(left, right).first()["n"] == 0
+    except PySparkException:
+        right.write.format("noop").mode("overwrite").save()  # an error of the gold query is raised here
         return False
+
+
+def matches(spark: SparkSession, gold: str, pred: str, tables: dict[str, list[str]], keys: dict[str, str] | None = None) -> bool:
+    """False where the prediction fails, as it is analysed or as it runs; an error where the gold query does. ``keys``
+    has the canonical ids of foreign key columns."""
+    found = _prepared(spark, gold, pred, tables, keys or {})
+    return found if isinstance(found, bool) else _in_order(*found[:2]) if found[2] else _as_sets(*found[:2])
+
+
+def match_all(pairs: DataFrame, databases: dict[str, tuple[dict[str, list[str]], dict[str, str]]], use: Callable[[str], None] | None = None) -> DataFrame:
+    """(idx, db_id, gold, pred) to (idx, exec). ``databases`` has each database's tables and keys, as schemas_of gives
+    them; ``use`` makes a database's tables the session's.
+
+    Queries can only be planned on the driver, so the pairs, a benchmark's texts, come there; their results stay in Spark.
+    BATCH comparisons are one job. A batch in which a query fails is run again pair by pair."""
+    spark, out = pairs.sparkSession, []
+    by_db: dict[str, list] = {}
+    for r in pairs.select("idx", "db_id", "gold", "pred").orderBy("idx").collect():
+        by_db.setdefault(r["db_id"], []).append(r)
+    for db, rows in by_db.items():
+        if use:
+            use(db)
+        tables, keys = databases[db]
+        waiting: list[tuple[int, DataFrame, DataFrame]] = []
+
+        def run(some: list[tuple[int, DataFrame, DataFrame]]) -> None:
+            if not some:
+                return
+            one = None
+            for idx, left, right in some:
+                row = _unlike(left, right).select(F.lit(idx).cast("long").alias("idx"), (F.col("n") == 0).alias("same"))
+                one = row if one is None else one.union(row)
+            try:
+                out.extend((r["idx"], r["same"]) for r in one.collect())
+            except PySparkException:
+                out.extend((idx, _as_sets(left, right)) for idx, left, right in some)
+
+        for r in rows:
+            found = _prepared(spark, r["gold"], r["pred"], tables, keys)
+            if isinstance(found, bool):
+                out.append((r["idx"], found))
+            elif found[2]:
+                out.append((r["idx"], _in_order(*found[:2])))
+            else:
+                waiting.append((r["idx"], *found[:2]))
+                if len(waiting) == BATCH:
+                    run(waiting)
+                    waiting = []
+        run(waiting)
+    return spark.createDataFrame(out, "idx long, exec boolean")

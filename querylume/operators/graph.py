@@ -7,11 +7,12 @@ paths the lexicographically smallest is taken. All joins are keyed by database,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querylume.operators.storage import frozen
-
 OWN, FOREIGN = "belongs_to_pk", "foreign_key"
 _PAIR = ["db_id", "u", "v"]
 
@@ -65,31 +66,35 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return there.union(edges.where("u <> v").select("db_id", F.col("v").alias("src"), F.col("u").alias("dst"), *rest))
 
 
-def all_shortest_paths(edges: DataFrame, most_hops: int = 1000) -> DataFrame:
+def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Breadth-first search from every node of a database's graph, a row a database; results go out node by node."""
+    for pdf in batches:
+        for db, steps in zip(pdf["db_id"], pdf["steps"]):
+            near: dict[str, list[str]] = {}
+            for s in steps:
+                near.setdefault(s["src"], []).append(s["dst"])
+            for src in near:
+                best, frontier, rows = {src: [src]}, [src], []
+                while frontier:
+                    found: dict[str, list[str]] = {}
+                    for node in frontier:
+                        for to in near[node]:
+                            if to not in best and (to not in found or best[node] < found[to]):
+                                found[to] = best[node]
+                    frontier = list(found)
+                    for to, path in found.items():
+                        best[to] = [*path, to]
+                        rows.append((db, src, to, len(path), best[to]))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["db_id", "src", "dst", "hops", "path"])
+
+
+def all_shortest_paths(edges: DataFrame) -> DataFrame:
     """db_id, src, dst, hops, path for all pairs of different nodes that are connected. Schemas don't depend on
-    questions, so this is computed once. Each round extends the frontier by one edge, drops what was reached before and
-    keeps the smallest path; the smallest of the shortest paths to a node extends one to its predecessor."""
-    steps = frozen(both_ways(edges).where("src <> dst").select("db_id", "src", "dst").distinct(), "graph-steps")
-    frontier = steps.select("db_id", "src", "dst", F.lit(1).alias("hops"), F.array("src", "dst").alias("path"))
-    found = []
-    hops = 1
-    while True:
-        frontier = frozen(frontier, "graph-frontier")
-        if hops > most_hops or not frontier.limit(1).count():
-            break
-        found.append(frontier)
-        seen = found[0]
-        for f in found[1:]:
-            seen = seen.union(f)
-        nxt = frontier.join(steps.select("db_id", F.col("src").alias("dst"), F.col("dst").alias("to")), ["db_id", "dst"]).where("src <> to")
-        nxt = nxt.select("db_id", "src", F.col("to").alias("dst"), F.concat("path", F.array("to")).alias("path"))
-        nxt = nxt.join(seen.select("db_id", "src", "dst"), ["db_id", "src", "dst"], "left_anti")
-        hops += 1
-        frontier = nxt.groupBy("db_id", "src", "dst").agg(F.min("path").alias("path")).select("db_id", "src", "dst", F.lit(hops).alias("hops"), "path")
-    out = frontier
-    for f in found:
-        out = out.union(f)
-    return out
+    questions, so this is computed once. A database's graph is one row, as large as its schema, and is searched in one
+    task; a node's smallest shortest path extends the smallest to one of its predecessors."""
+    steps = both_ways(edges).where("src <> dst").groupBy("db_id").agg(F.collect_set(F.struct("src", "dst")).alias("steps"))
+    return steps.mapInPandas(_search, "db_id string, src string, dst string, hops int, path array<string>")
 
 
 def path_relations(paths: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from querylume.functions.vectors import cosine, rank_within
+from querylume.functions.vectors import dot, rank_within, unit
 
 THRESHOLD = 0.35
 
 
 def score(phrases: DataFrame, elements: DataFrame) -> DataFrame:
     """Equi join by database, then similarity: the columns of both sides but the vectors, and score. Phrases have
-    (q_id, db_id, phrase, emb), elements (db_id, name, ord, ..., emb)."""
-    met = phrases.withColumnRenamed("emb", "_p").join(elements.withColumnRenamed("emb", "_e"), "db_id")
-    return met.withColumn("score", F.round(cosine("_p", "_e"), 9)).drop("_p", "_e")
+    (q_id, db_id, phrase, emb), elements (db_id, name, ord, ..., emb). Vectors are brought to length 1 before they meet, so
+    that a pair costs one product."""
+    met = phrases.withColumn("_p", unit("emb")).drop("emb").join(elements.withColumn("_e", unit("emb")).drop("emb"), "db_id")
+    return met.withColumn("score", F.round(dot("_p", "_e"), 9)).drop("_p", "_e")
 
 
 def candidate_tables(scored: DataFrame, k: int) -> DataFrame:

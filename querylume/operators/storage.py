@@ -6,18 +6,48 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
 def frozen(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to ``spark.checkpoint.dir`` and read back. Where that is unset (local tests), a temporary folder
     is set for the session."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._frozen_at = path
+    return out
+
+
+def thaw(*tables: DataFrame) -> None:
+    """Deletes frozen tables that nothing will read again."""
+    for t in tables:
+        p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._frozen_at)
+        p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def numbered(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Adds ``name``: 0, 1, 2, ... in the order of ``keys``, or without keys in the order of partitions and the rows in
+    them, which for one text file is that of its lines. Only the row counts of partitions come to the driver."""
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
+    placed = frozen(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", _ROW_BITS)
+    sizes = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    before, starts = 0, []
+    for p, n in sizes:
+        starts.append((p, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(starts, "_p long, _before long")
+    out = placed.withColumn("_p", part).join(F.broadcast(offsets), "_p")  # a row a partition
+    out = out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))).drop("_p", "_before", "_at")
+    out._frozen_at = placed._frozen_at
+    return out

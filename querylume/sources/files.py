@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querylume.operators.storage import numbered
+
 SQL_NAMES, LEVEL_NAMES = ("query", "sql_query", "sql"), ("difficulty", "hardness", "level")
 
 
@@ -25,8 +27,8 @@ def found_column(df: DataFrame, names: tuple[str, ...]) -> str | None:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no, value."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
+    """line_no, value. The file is read in splits; lines are numbered in their order."""
+    return numbered(spark.read.text(path), "line_no")
 
 
 def gold_path(folder: str) -> str:
@@ -37,7 +39,7 @@ def gold_path(folder: str) -> str:
 
 def sample_indices(n: int, ratio: float, seed: int = 42) -> list[int]:
     """Places of a seeded sample without replacement of max(1, n * ratio) of n rows, in order."""
-    return sorted(int(i) for i in np.random.RandomState(seed).choice(n, max(1, int(n * ratio)), replace=False)) if n else []
+    return sorted(int(i) for i in np.random.default_rng(seed).choice(n, size=max(1, int(n * ratio)), replace=False)) if n else []
 
 
 def sample(questions: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
@@ -52,9 +54,11 @@ def write_lines(df: DataFrame, path: str, text: str, order: str = "idx") -> None
 
 
 def write_csv(df: DataFrame, path: str, digits: dict[str, int], order: list[str]) -> None:
+    """One file with a header, rows in order, numbers rounded."""
     cols = [F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns]
     df.orderBy(*order).select(*cols).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
+    """One JSON object a line."""
     df.write.mode("overwrite").json(path)
