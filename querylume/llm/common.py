@@ -78,42 +78,55 @@ def ranked(df: DataFrame, keys: list[Column], name: str, what: str) -> DataFrame
     return out
 
 
-def join_hot(big: DataFrame, small: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], count: str, total: int, any_hot: bool | None = None) -> DataFrame:
     """Inner equi join to a side with one row a key whose column ``count`` says how many rows of ``big`` have it.
     Keys with more than HOT_SHARE of ``total`` rows, of which there are at most 1 / HOT_SHARE, are broadcast: their
-    rows in ``big`` stay where they are. The others are shuffled. ``count`` is kept."""
-    least = max(1000, int(total * HOT_SHARE))
+    rows in ``big`` stay where they are. The others are shuffled. ``count`` is kept. Whether there are such keys is
+    looked up, unless ``any_hot`` says so."""
+    least = hot_from(total)
     hot, rest = small.where(F.col(count) > least), small.where(F.col(count) <= least)
-    if not hot.limit(1).count():
+    if not (hot.limit(1).count() if any_hot is None else any_hot):
         return big.join(small, keys)
     listed = F.broadcast(hot.select(*keys))
     return big.join(F.broadcast(hot), keys).unionByName(big.join(listed, keys, "left_anti").join(rest, keys))
 
 
+def hot_from(total: int) -> int:
+    """Keys of more than so many of ``total`` rows are hot."""
+    return max(100, int(total * HOT_SHARE))  # at most 1 / HOT_SHARE keys have more, whatever the total
+
+
 def components(edges: DataFrame, what: str) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): one row (node, root) for each node that has an edge, root
-    being the component's smallest node. Large-star and small-star steps in turn; each aggregates and joins by node,
-    so nothing is gathered, and a node with very many neighbours keeps only the smallest of them in a pre-aggregate."""
+    being the component's smallest node. Large-star and small-star steps in turn; each aggregates and joins by node, so
+    nothing is gathered. A node with very many neighbours keeps only the smallest of them in a pre-aggregate, and is
+    joined to them by join_hot, so that they stay where they are."""
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def state(e: DataFrame) -> tuple:
+        """Rows, a sum that changes with them, and the most neighbours that a smaller node has."""
+        per = e.groupBy("b").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        return tuple(per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.coalesce(F.max("n"), F.lit(0))).first())
+
     cur = freeze(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{what}-edges")
-    marks = None
+    marks = state(cur)
     while True:
         # large star: every larger neighbour of a node is tied to the smallest of the node and its neighbours
-        near = both(cur)
+        near, total = both(cur), 2 * marks[0]
         low = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = near.where("b > a").join(low.drop("n"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = join_hot(near.where("b > a"), low, ["a"], "n", total, marks[2] > hot_from(total))
+        large = large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: every smaller neighbour of a node, and the node, are tied to the smallest neighbour
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         nxt = freeze(small.where("a <> b").distinct(), f"{what}-edges")
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = state(nxt)
         drop_frozen(cur)
         cur = nxt
-        if tuple(now) == marks:
+        if now == marks:
             break
-        marks = tuple(now)
+        marks = now
     roots = cur.select("b").distinct()
     out = cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
     out._frozen_at = cur._frozen_at

@@ -8,9 +8,12 @@ Pairs are never listed. Buckets give star edges, their components are the groups
 others, or, beyond PACK_GRAMS n-grams, split into chunks, of which those pairs are compared that share a bucket. A
 comparison task holds two chunks at most, counts intersections with an inverted index, and returns for each class its
 count of links and one edge of a spanning forest: as many rows as classes, however dense the group.
+Chunks grow with their group, up to MAX_CHUNK_GRAMS n-grams, so that a group has CHUNKS of them and its texts are sent
+that often at most, unless it is larger than CHUNKS of the largest chunks.
 
 Scale: the corpus is shuffled once, as text, to bring candidates to their group; band hashes are shuffled twice.
-Copies are pre-aggregated into their class first, and rejoin at the end by join_hot.
+Copies are pre-aggregated into their class first. A set, a bucket, a node or a group that very many rows share is joined
+by join_hot.
 """
 
 from __future__ import annotations
@@ -23,15 +26,18 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from querylume.llm.common import components, freeze, join_hot, ranked, table
+from querylume.llm.common import components, drop_frozen, freeze, fresh, join_hot, ranked, table
 
 NGRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 MAX_HASHES = 150
-PACK_GRAMS = 400_000
+PACK_GRAMS = 100_000
+MAX_CHUNK_GRAMS = 4_000_000
+CHUNKS = 64
 _SEED = 11
 _WORD = re.compile(r"\w+")
 _CACHE_WORDS = 500_000
@@ -177,6 +183,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text, or one without words, has no links and is its own class. Rows that repeat are documents of their own.
     A null id comes first where the smallest is sought. Other columns are ignored. An empty table gives an empty
     result."""
+    out = _joined(docs, id_col, text_col, n, threshold, recall, max_hashes)
+    return out.select(F.col("id").alias(id_col), "class_id", "n_links", "rep_id", "n_copies", "n_grams")
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> DataFrame:
+    """What jaccard_join returns, the id as ``id``, with the hash of the text (_at) and that of the class_id's (_class_at)."""
     bands, rows = choose_bands(threshold, recall, max_hashes)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("_at"))
     kind = base.schema["id"].dataType.simpleString()
@@ -188,55 +200,68 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = ranked(per, [F.col("_set")], "_class", "join-classes")
 
     meets = classes.select("_class", F.explode("_bands").alias("_h"))
-    buckets = meets.groupBy("_h").agg(F.min("_class").alias("_low"), F.count("*").alias("_m")).where("_m > 1").drop("_m")
-    met = freeze(meets.join(buckets, "_h"), "join-buckets")
+    buckets = freeze(meets.groupBy("_h").agg(F.min("_class").alias("_low"), F.count("*").alias("_m")).where("_m > 1"), "join-heads")
+    met = freeze(join_hot(meets, buckets, ["_h"], "_m", bands * classes.count()).drop("_m"), "join-buckets")
     groups = components(met.select(F.col("_class").alias("a"), F.col("_low").alias("b")), "join-candidates")
     cand = groups.select(F.col("node").alias("_class"), F.col("root").alias("_root")).join(classes.select("_class", "_rep", "_n", "_grams", F.col("_bands")[0].alias("_first")), "_class")
     cand = freeze(cand, "join-grouped")
+    total = cand.count()
 
     # chunks of large groups: by the first band's hash, which similar texts tend to share, and where one hash has too
     # much, by a hash of the class
-    weight = cand.groupBy("_root").agg(F.sum("_grams").alias("_w"))
-    parts = weight.select("_root", F.ceil(F.col("_w") / PACK_GRAMS).alias("_parts"), "_w")
-    large = parts.where("_parts > 1")
-    small_words = parts.where("_parts = 1").agg(F.sum("_w")).first()[0] or 0
-    packs = max(1, math.ceil(small_words / PACK_GRAMS))
-    placed = cand.join(parts.drop("_w"), "_root")
-    heavy = cand.join(large.select("_root"), "_root").groupBy("_root", "_first").agg(F.ceil(F.sum("_grams") / PACK_GRAMS).alias("_sub"))
-    placed = placed.join(heavy, ["_root", "_first"], "left")
-    chunk = F.pmod(F.xxhash64("_first"), F.col("_parts")) * F.lit(1 << 20) + F.pmod(F.xxhash64("_class"), F.coalesce("_sub", F.lit(1)))
-    placed = freeze(placed.withColumn("_chunk", F.when(F.col("_parts") > 1, chunk).otherwise(F.lit(0).cast("long"))), "join-chunks")
-    big = placed.where("_parts > 1").select("_class", "_root", "_chunk")
-    seen = met.select("_h", "_class").join(big, "_class").select("_h", "_root", "_chunk").distinct()
-    listed = seen.groupBy("_h", "_root").agg(F.array_sort(F.collect_list("_chunk")).alias("_c"))
+    weight = cand.groupBy("_root").agg(F.sum("_grams").alias("_w"), F.count("*").alias("_m"))
+    target = F.least(F.greatest(F.col("_w") / CHUNKS, F.lit(PACK_GRAMS)), F.lit(max(PACK_GRAMS, MAX_CHUNK_GRAMS)))
+    parts = freeze(weight.select("_root", "_w", "_m", target.alias("_target"), F.ceil(F.col("_w") / target).alias("_parts")), "join-weights")
+    packs = max(1, math.ceil((parts.where("_parts = 1").agg(F.sum("_w")).first()[0] or 0) / PACK_GRAMS))
+    placed = join_hot(cand, parts, ["_root"], "_m", total).drop("_m", "_w")
+    heavy = placed.where("_parts > 1").groupBy("_root", "_first").agg(F.ceil(F.sum("_grams") / F.first("_target")).alias("_sub"), F.count("*").alias("_m"))
+    large = join_hot(placed.where("_parts > 1"), freeze(heavy, "join-heavy"), ["_root", "_first"], "_m", total).drop("_m")
+    chunk = F.pmod(F.xxhash64("_first"), F.col("_parts")) * F.lit(1 << 20) + F.pmod(F.xxhash64("_class"), F.col("_sub"))
+    names = ["_class", "_root", "_n", "_rep", "_chunk"]
+    big = freeze(large.withColumn("_chunk", chunk).select(names), "join-chunks")
+    seen = met.select("_h", "_class").join(big.select("_class", "_root", "_chunk"), "_class").select("_h", "_root", "_chunk").distinct()
+    listed = seen.groupBy("_h", "_root").agg(F.array_sort(F.collect_list("_chunk")).alias("_c"))  # at most a group's chunks
     first = listed.select("_root", "_c", F.explode("_c").alias("_i"))
     tiles = first.select("_root", "_i", F.explode(F.filter("_c", lambda c: c >= F.col("_i"))).alias("_j")).distinct()
     ends = tiles.select("_root", F.array_distinct(F.array("_i", "_j")).alias("_e"), "_i", "_j")
     ends = ends.select("_root", F.explode("_e").alias("_chunk"), F.concat_ws("-", F.lit("t"), "_root", "_i", "_j").alias("_tile"), (F.col("_i") != F.col("_j")).alias("_cross"))
-    one = placed.where("_parts = 1").withColumn("_tile", F.concat_ws("-", F.lit("p"), F.pmod(F.xxhash64("_root"), F.lit(packs)))).withColumn("_cross", F.lit(False))
-    dealt = placed.where("_parts > 1").join(ends, ["_root", "_chunk"]).select(one.columns).union(one)
-    dealt = dealt.select("_class", "_root", "_chunk", "_n", "_tile", "_cross", F.col("_rep.id").alias("_id"), F.col("_rep._at").alias("_x"))
+    ends = ends.groupBy("_root", "_chunk").agg(F.collect_list(F.struct("_tile", "_cross")).alias("_to"))  # as many as the group has chunks
+    sizes = big.groupBy("_root", "_chunk").agg(F.count("*").alias("_m"))
+    tiled = join_hot(big, freeze(ends.join(sizes, ["_root", "_chunk"]), "join-tiles"), ["_root", "_chunk"], "_m", total).select(*names, F.inline("_to"))
+    one = placed.where("_parts = 1").select(*names[:-1], F.lit(0).cast("long").alias("_chunk"), F.concat_ws("-", F.lit("p"), F.pmod(F.xxhash64("_root"), F.lit(packs))).alias("_tile"), F.lit(False).alias("_cross"))
+    dealt = tiled.union(one).select("_class", "_root", "_chunk", "_n", "_tile", "_cross", F.col("_rep.id").alias("_id"), F.col("_rep._at").alias("_x"))
     texts = base.join(dealt, base["id"].eqNullSafe(dealt["_id"]) & base["_at"].eqNullSafe(dealt["_x"]))
     texts = texts.select("_tile", "_class", "_root", "_chunk", "_cross", "_n", "text")
     links = freeze(texts.groupBy("_tile").applyInPandas(_links(n, threshold), "_class long, _to long, _links long"), "join-links")
 
     joined = components(links.select(F.col("_class").alias("a"), F.col("_to").alias("b")), "join-classes-linked")
-    joined = joined.select(F.col("node").alias("_class"), "root")
-    facts = classes.select("_set", "_class", F.col("_rep.id").alias("rep_id"), F.col("_n"))
-    facts = facts.join(joined, "_class", "left").join(links.groupBy("_class").agg(F.sum("_links").alias("_links")), "_class", "left")
+    facts = classes.select("_set", "_class", "_rep", "_n")
+    facts = facts.join(joined.select(F.col("node").alias("_class"), "root"), "_class", "left").join(links.groupBy("_class").agg(F.sum("_links").alias("_links")), "_class", "left")
     facts = freeze(facts.withColumn("root", F.coalesce("root", "_class")), "join-facts")
-    lows = facts.groupBy("root").agg(F.min("rep_id").alias("class_id"))
-    facts = freeze(facts.join(lows, "root").select("_set", "class_id", "rep_id", F.col("_n"), (F.coalesce("_links", F.lit(0)) + F.col("_n") - 1).alias("n_links")), "join-facts")
-    out = join_hot(full.select("id", "_set", "_grams"), facts, ["_set"], "_n", sig.count())
-    out = out.select(F.col("id").alias(id_col), "class_id", "n_links", "rep_id", F.col("_n").alias("n_copies"), F.col("_grams").alias("n_grams"))
-    bare = sig.where("_grams = 0").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("rep_id"), F.lit(1).cast("long").alias("n_copies"), F.col("_grams").alias("n_grams"))
+    lows = freeze(facts.groupBy("root").agg(F.min("_rep").alias("_low"), F.count("*").alias("_m")), "join-lows")
+    facts = join_hot(facts, lows, ["root"], "_m", classes.count())
+    facts = freeze(facts.select("_set", "_low", "_rep", "_n", (F.coalesce("_links", F.lit(0)) + F.col("_n") - 1).alias("n_links")), "join-facts")
+    drop_frozen(classes, buckets, met, groups, cand, parts, big, links, joined, lows)
+    out = join_hot(full.select("id", "_at", "_set", "_grams"), facts, ["_set"], "_n", sig.count())
+    out = out.select("id", F.col("_low.id").alias("class_id"), "n_links", F.col("_rep.id").alias("rep_id"), F.col("_n").alias("n_copies"), F.col("_grams").alias("n_grams"), "_at", F.col("_low._at").alias("_class_at"))
+    own = F.col("id")
+    bare = sig.where("_grams = 0").select("id", own.alias("class_id"), F.lit(0).cast("long").alias("n_links"), own.alias("rep_id"), F.lit(1).cast("long").alias("n_copies"), F.col("_grams").alias("n_grams"), "_at", F.col("_at").alias("_class_at"))
     return out.unionByName(bare)
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is its group's class_id, with all their columns."""
-    stays = jaccard_join(docs, id_col, text_col, **options).where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(stays, docs[id_col].eqNullSafe(stays["_id"]), "left_semi")
+    """One row of each group that links connect, with all columns: that with the group's class_id, and where different
+    texts of the group have that id, the one whose text has the smallest hash. Of rows that repeat one stays, any.
+
+    Null texts and texts without words have no links: all such rows stay. A null id comes first where the smallest is
+    sought. Columns may have any names. An empty table gives an empty result."""
+    id_, at, bare, row = fresh(docs, "_q_id", "_q_at", "_q_bare", "_q_row")
+    found = _joined(docs.select(id_col, text_col), id_col, text_col, **options)
+    stays = found.where(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("_at") == F.col("_class_at")))
+    stays = stays.select(F.col("id").alias(id_), F.col("_at").alias(at), (F.col("n_grams") == 0).alias(bare)).distinct()
+    met = docs.join(stays, docs[id_col].eqNullSafe(stays[id_]) & (F.xxhash64(docs[text_col]) == stays[at]))
+    met = met.withColumn(row, F.row_number().over(W.partitionBy(id_, at).orderBy(F.lit(0))))
+    return met.where(F.col(bare) | (F.col(row) == 1)).select(docs.columns)
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
