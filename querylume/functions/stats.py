@@ -20,6 +20,13 @@ def fit(y: str, x: str) -> list[Column]:
     return [F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept"), F.round(F.corr(y, x), 6).alias("r"), F.count(F.when(F.col(y).isNotNull() & F.col(x).isNotNull(), 1)).alias("n")]
 
 
+def fitted(df: DataFrame, y: str, x: str) -> DataFrame:
+    """One row: slope, intercept, r, n, and the two-sided p-value of r."""
+    one = df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r"), F.count(F.when(F.col(y).isNotNull() & F.col(x).isNotNull(), 1)).alias("n"))
+    p = F.udf(lambda r, n: None if r is None else p_value(r, n), "double")  # of one row
+    return one.select(*[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r")], "n", F.round(p("r", "n"), 6).alias("p"))
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function, by Lentz's method."""
     tiny = 1e-300

@@ -215,3 +215,14 @@ ORACLE["evaluate"] = f"""{_PART_SQL}, {_ROLLUP}, {_PAIR_SQL[5:].replace('v(', 'p
 c AS (SELECT coalesce(level, 'all') AS level, count(*) AS count, round(avg(exec::INT), 6) AS exec, round(avg(exact::INT), 6) AS exact FROM pairs GROUP BY GROUPING SETS ((level), ()))
 SELECT level, 'count' AS metric, '' AS part, count::DOUBLE AS value FROM c UNION ALL SELECT level, 'exec', '', exec FROM c UNION ALL SELECT level, 'exact', '', exact FROM c
 UNION ALL SELECT level, 'accuracy', part, accuracy FROM r UNION ALL SELECT level, 'recall', part, recall FROM r UNION ALL SELECT level, 'f1', part, f1 FROM r"""
+
+
+@_keep
+def hardness_dist(spark, d):
+    """Gold queries by level, all four levels in their order, those without a query with 0."""
+    levels = spark.createDataFrame(list(enumerate(C.LEVELS)), "place int, level string")
+    found = evaluation.parse_all(pairs(spark).withColumnRenamed("gold", "sql"), catalog.declared(spark)).groupBy("level").agg(F.count("*").alias("n"))
+    return levels.join(found, "level", "left").select("place", "level", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+ORACLE["hardness_dist"] = f"{_PAIR_SQL}, {_literal('place, level', list(enumerate(C.LEVELS))).replace('v(', 'levels(', 1)} SELECT place, levels.level, count(v.idx) AS n FROM levels LEFT JOIN v USING (level) GROUP BY 1, 2"

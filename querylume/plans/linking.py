@@ -28,10 +28,10 @@ q AS (SELECT * FROM e WHERE vec_id % 100 = 0),
 s AS (SELECT q.label AS q_id, q.vec_id AS phrase, e.vec_id AS name, e.vec_id % 7 AS tbl, round(list_cosine_similarity(q.v, e.v), 9) AS score FROM q JOIN e ON q.label = e.label AND q.vec_id <> e.vec_id)"""
 
 
-def _scored(spark, d):
-    """Phrases (every vector whose id is divisible by 100) against the columns of their database."""
+def _scored(spark, d, every=100):
+    """Phrases (every vector whose id is divisible by ``every``) against the columns of their database."""
     e = table(spark, d, "embeddings").select(F.col("label").alias("db_id"), "vec_id", F.col("embedding").alias("emb"))
-    phrases = e.where("vec_id % 100 = 0").select("db_id", F.col("db_id").alias("q_id"), F.col("vec_id").alias("phrase"), "emb")
+    phrases = e.where(f"vec_id % {every} = 0").select("db_id", F.col("db_id").alias("q_id"), F.col("vec_id").alias("phrase"), "emb")
     items = e.select("db_id", F.col("vec_id").alias("name"), (F.col("vec_id") % 7).alias("table"), F.col("vec_id").alias("ord"), "emb")
     return linking.score(phrases, items).where("phrase <> name")
 
@@ -57,9 +57,9 @@ def maxpool_topk(spark, d):
     return _tables(_scored(spark, d), 3).select("q_id", F.col("name").alias("tbl"), F.round("score", 6).alias("score"), "rank")
 
 
-@_query(_SQL + ", b AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY score DESC, name) AS r FROM s) SELECT phrase, name FROM b WHERE r = 1 AND score > 0.35")
+@_query(_SQL.replace("% 100", "% 5") + ", b AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY score DESC, name) AS r FROM s) SELECT phrase, name FROM b WHERE r = 1 AND score > 0.35")
 def threshold_argmax(spark, d):
-    best = rank_within(_scored(spark, d), ["phrase"], 1, ["name"])
+    best = rank_within(_scored(spark, d, 5), ["phrase"], 1, ["name"])
     return best.where(F.col("score") > linking.THRESHOLD).select("phrase", "name")
 
 
@@ -117,11 +117,16 @@ def sweep_best(spark, d):
     return _sweep(spark, d).orderBy(F.desc("f6"), "kt", "kc").limit(1).select("kt", "kc", "f6")
 
 
-_RP = [(1, ["a", "b"], ["a", "c"]), (2, [], ["x"]), (3, ["t", "c"], None), (4, ["a", "b", "c"], ["c", "b", "a"])]
+_NAMES = "list_distinct(list('c' || {} % 5) FILTER (WHERE {}))"
 
 
-@_query("SELECT * FROM (VALUES (1, 0.5, 0.5), (2, 1.0, 1.0), (3, 0.0, 0.0), (4, 1.0, 1.0)) v(q_id, recall, precision)")
+@_query(f"""WITH r AS (SELECT l_orderkey AS q_id, {_NAMES.format('l_partkey', 'l_quantity > 25')} AS g, {_NAMES.format('l_suppkey', 'l_quantity < 20')} AS r FROM lineitem GROUP BY 1),
+n AS (SELECT q_id, coalesce(g, []) AS g, coalesce(r, []) AS r FROM r)
+SELECT q_id, round(CASE WHEN len(g) = 0 THEN 1 ELSE len(list_intersect(g, r)) / len(g) END, 6) AS recall, round(CASE WHEN len(g) = 0 THEN 1 WHEN len(r) = 0 THEN 0 ELSE len(list_intersect(g, r)) / len(r) END, 6) AS precision FROM n""")
 def linking_recall_precision(spark, d):
-    gold = spark.createDataFrame([(i, g) for i, g, _ in _RP], "q_id int, elements array<string>")
-    found = spark.createDataFrame([(i, r) for i, _, r in _RP if r is not None], "q_id int, elements array<string>")
-    return linking.recall_precision(gold, found).select("q_id", F.col("recall").cast("decimal(2,1)").alias("recall"), F.col("precision").cast("decimal(2,1)").alias("precision"))
+    """Orders stand for questions, some without gold elements and some for which nothing is retrieved."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("q_id"), "l_quantity", *[F.concat(F.lit("c"), (F.col(c) % 5).cast("string")).alias(c) for c in ("l_partkey", "l_suppkey")])
+    of = lambda c, where: F.collect_set(F.when(where, F.col(c))).alias("elements")
+    gold = rows.groupBy("q_id").agg(of("l_partkey", F.col("l_quantity") > 25))
+    found = rows.groupBy("q_id").agg(of("l_suppkey", F.col("l_quantity") < 20)).where(F.size("elements") > 0)
+    return linking.recall_precision(gold, found).select("q_id", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))

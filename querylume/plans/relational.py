@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querylume.operators.relational import not_in
 from querylume.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -40,10 +41,37 @@ def not_like(spark, d):
     return table(spark, d, "part").where(~F.col("p_type").ilike("%S%")).select("p_partkey")
 
 
-@_query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
+@_query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def not_in_subquery(spark, d):
-    rich = table(spark, d, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return table(spark, d, "customer").join(rich, "c_custkey", "left_anti").select("c_custkey", "c_name")
+    rich = table(spark, d, "orders").where("o_totalprice > 400000").select("o_custkey")
+    return not_in(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", rich)
+
+
+_MAYBE = "SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer"
+
+
+@_query(f"WITH c AS ({_MAYBE}) SELECT c_custkey, k FROM c WHERE k NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
+def not_in_with_null_left(spark, d):
+    """A null is neither in a list nor not in it."""
+    left = table(spark, d, "customer").select("c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("k"))
+    return not_in(left, "k", table(spark, d, "supplier").where("s_acctbal < 0").select("s_nationkey"))
+
+
+@_query(f"SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT k FROM ({_MAYBE}))")
+def not_in_with_null_right(spark, d):
+    """Nothing is not in a list with a null."""
+    right = table(spark, d, "customer").select(F.nullif("c_nationkey", F.lit(3)))
+    return not_in(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", right).select("s_suppkey")
+
+
+@_query("SELECT p_partkey, p_brand FROM part WHERE nullif(p_size, 7) IS NULL")
+def is_null(spark, d):
+    return table(spark, d, "part").where(F.nullif("p_size", F.lit(7)).isNull()).select("p_partkey", "p_brand")
+
+
+@_query("SELECT p_brand, count(*) AS n FROM part WHERE nullif(p_size, 7) IS NOT NULL GROUP BY p_brand")
+def is_not_null(spark, d):
+    return table(spark, d, "part").where(F.nullif("p_size", F.lit(7)).isNotNull()).groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
 @_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)")
@@ -128,9 +156,9 @@ def set_intersect(spark, d):
     return table(spark, d, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").select("s_nationkey"))
 
 
-@_query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@_query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000")
 def set_except(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").select("o_custkey"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").where("o_totalprice > 400000").select("o_custkey"))
 
 
 @_query("(SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region) INTERSECT SELECT c_nationkey FROM customer")

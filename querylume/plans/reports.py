@@ -45,9 +45,22 @@ def schema_corr(spark, d):
     return one.select(F.explode("x").alias("x")).select("x.*")
 
 
-@_query(schema._with(_PER_TABLE) + "SELECT round(regr_slope(n_fk, n_columns), 6) AS slope, round(regr_intercept(n_fk, n_columns), 6) AS intercept, round(corr(n_fk, n_columns), 6) AS r, count(*) AS n FROM t")
+#: Two-sided p-value of a correlation: Student's density, integrated by Simpson's rule.
+_P_VALUE = """f AS (SELECT *, abs(r) * sqrt((n - 2) / (1 - r * r)) AS t, n - 2 AS v FROM fit),
+x AS (SELECT *, t * i / 2000 AS z, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM f, range(0, 2001) s(i)),
+y AS (SELECT slope, intercept, r, n, round(1 - 2 * any_value(t) / 6000 * sum(w * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * pow(1 + z * z / v, -(v + 1) / 2)), 6) AS p FROM x GROUP BY 1, 2, 3, 4)"""
+
+
+@_query(schema._with(_PER_TABLE, "fit AS (SELECT regr_slope(n_fk, n_columns) AS slope, regr_intercept(n_fk, n_columns) AS intercept, corr(n_fk, n_columns) AS r, count(*) AS n FROM t)", _P_VALUE) + "SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r, 6) AS r, n, p FROM y")
 def tables_fk_fit(spark, d):
-    return _per_table(spark).agg(*stats.fit("n_fk", "n_columns"))
+    return stats.fitted(_per_table(spark), "n_fk", "n_columns")
+
+
+@_query(f"WITH w AS (SELECT item_id % 10 AS g, {_WORDS.format('text')} AS n_words, len(text) AS n_chars FROM benchmark), t AS (SELECT avg(n_words) AS x, avg(n_chars / n_words) AS y FROM w GROUP BY g), fit AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, corr(y, x) AS r, count(*) AS n FROM t), {_P_VALUE} SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r, 6) AS r, n, p FROM y")
+def word_length_fit(spark, d):
+    """Whether longer questions have longer words, over ten groups of them, with the p-value."""
+    w = table(spark, d, "benchmark").select((F.col("item_id") % 10).alias("g"), T.word_count(F.col("text")).alias("n"), F.length("text").alias("c"))
+    return stats.fitted(w.groupBy("g").agg(F.avg("n").alias("x"), F.avg(F.col("c") / F.col("n")).alias("y")), "y", "x")
 
 
 @_query("SELECT lang, " + _DESCRIBE.format("n_chars") + " FROM documents GROUP BY lang")
@@ -67,6 +80,12 @@ def rank_top_dbs(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(5)
 
 
+@_query(schema._with() + "SELECT db_id, count(DISTINCT tbl) AS n_tables FROM catalog WHERE tbl <> 'ALL' GROUP BY 1 ORDER BY n_tables DESC, db_id LIMIT 15")
+def top_dbs_by_tables(spark, d):
+    real = catalog.declared(spark).where("table <> 'ALL'")
+    return real.groupBy("db_id").agg(F.count_distinct("table").alias("n_tables")).orderBy(F.desc("n_tables"), "db_id").limit(15)
+
+
 @_query("SELECT (SELECT count(DISTINCT source) FROM documents) AS n_train, (SELECT count(DISTINCT source) FROM documents JOIN labels USING (doc_id)) AS n_dev, (SELECT count(*) FROM (SELECT source FROM documents INTERSECT SELECT source FROM documents JOIN labels USING (doc_id))) AS n_both")
 def train_dev_overlap(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
@@ -106,9 +125,12 @@ _BUDGET = f"""{_TOKENS}, s AS (SELECT source, count(DISTINCT lang) * 20 AS flat,
 b AS (SELECT doc_id, quality, {SYSTEM_TOKENS} + flat + f + q AS t_flat, {SYSTEM_TOKENS} + graph + f + q AS t_graph, out FROM t LEFT JOIN s USING (source), few)"""
 
 
+def _schema_tokens(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg((F.count_distinct("lang") * 20).alias("flat"), (F.count_distinct("lang") * 28).alias("graph"))
+
+
 def _budget(spark, d):
-    t = _tokens(spark, d)
-    s = table(spark, d, "documents").groupBy("source").agg((F.count_distinct("lang") * 20).alias("flat"), (F.count_distinct("lang") * 28).alias("graph"))
+    t, s = _tokens(spark, d), _schema_tokens(spark, d)
     few = t.agg(((F.avg("q") + F.avg("out")) * SHOTS).alias("f"))
     b = t.join(s, "source", "left").crossJoin(F.broadcast(few))  # one row
     base = F.lit(SYSTEM_TOKENS) + F.col("f") + F.col("q")
@@ -127,6 +149,22 @@ def token_by_difficulty(spark, d):
     return _budget(spark, d).groupBy("quality").agg(F.round(F.avg("t_flat"), 4).alias("t_flat"), F.round(F.avg("t_graph"), 4).alias("t_graph"), F.count("*").alias("n"))
 
 
+@_query(f"""WITH {_BUDGET}, a AS (SELECT avg(flat) AS fl, avg(graph) AS gr, avg(q) AS q, any_value(f) AS few FROM t LEFT JOIN s USING (source), few),
+c AS (SELECT 'system' AS component, {SYSTEM_TOKENS}::DOUBLE AS flat, {SYSTEM_TOKENS}::DOUBLE AS graph FROM a UNION ALL SELECT 'schema', fl, gr FROM a UNION ALL SELECT 'few-shot', few, few FROM a UNION ALL SELECT 'question', q, q FROM a),
+w AS (SELECT * FROM c UNION ALL SELECT 'total', sum(flat), sum(graph) FROM c)
+SELECT component, round(flat, 4) AS flat, round(graph, 4) AS graph, round(graph - flat, 4) AS delta, round((graph - flat) / flat * 100, 4) AS delta_pct FROM w""")
+def token_composition(spark, d):
+    """Mean tokens of a prompt by component, with flat and graph schemas, and their sums."""
+    t, s = _tokens(spark, d), _schema_tokens(spark, d)
+    one = t.join(s, "source", "left").agg(F.avg("flat").alias("fl"), F.avg("graph").alias("gr"), F.avg("q").alias("q"), ((F.avg("q") + F.avg("out")) * SHOTS).alias("few"))
+    system = F.lit(float(SYSTEM_TOKENS))
+    parts = [("system", system, system), ("schema", F.col("fl"), F.col("gr")), ("few-shot", F.col("few"), F.col("few")), ("question", F.col("q"), F.col("q"))]
+    total = ("total", sum((f for _, f, _ in parts[1:]), system), sum((g for _, _, g in parts[1:]), system))
+    rows = one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("component"), f.alias("f"), g.alias("g")) for n, f, g in [*parts, total]])))
+    f, g = F.col("f"), F.col("g")
+    return rows.select("component", F.round(f, 4).alias("flat"), F.round(g, 4).alias("graph"), F.round(g - f, 4).alias("delta"), F.round((g - f) / f * 100, 4).alias("delta_pct"))
+
+
 @_query(f"WITH {_BUDGET}, a AS (SELECT round(avg(t_flat), 4) AS t_flat, round(avg(t_graph), 4) AS t_graph, round(avg(out), 4) AS t_out FROM b) UNPIVOT a ON COLUMNS(*) INTO NAME part VALUE tokens")
 def melt_tokens(spark, d):
     wide = _budget(spark, d).agg(*[F.round(F.avg(c), 4).alias(n) for c, n in (("t_flat", "t_flat"), ("t_graph", "t_graph"), ("out", "t_out"))])
@@ -165,11 +203,3 @@ def fewshot_availability(spark, d):
 @_query("SELECT count(*) AS n_docs, count(DISTINCT source) AS n_sources, round(avg(n_chars), 4) AS mean_chars, round(stddev_samp(n_chars), 4) AS std_chars, round(avg((lang = 'en')::INT) * 100, 4) AS pct_en, median(n_chars) AS median_chars FROM documents")
 def eda_summary(spark, d):
     return table(spark, d, "documents").agg(F.count("*").alias("n_docs"), F.count_distinct("source").alias("n_sources"), F.round(F.avg("n_chars"), 4).alias("mean_chars"), F.round(F.stddev_samp("n_chars"), 4).alias("std_chars"), F.round(F.avg((F.col("lang") == "en").cast("int")) * 100, 4).alias("pct_en"), F.median("n_chars").alias("median_chars"))
-
-
-@_query("SELECT level, coalesce(n, 0) AS n FROM (VALUES ('de'), ('en'), ('xx')) v(level) LEFT JOIN (SELECT lang AS level, count(*) AS n FROM documents GROUP BY 1) USING (level)")
-def hardness_dist(spark, d):
-    """Counts by a fixed list of levels; those that don't occur count 0."""
-    levels = spark.createDataFrame([("de",), ("en",), ("xx",)], "level string")
-    n = table(spark, d, "documents").groupBy(F.col("lang").alias("level")).agg(F.count("*").alias("n"))
-    return levels.join(n, "level", "left").select("level", F.coalesce("n", F.lit(0)).alias("n"))

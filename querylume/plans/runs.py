@@ -243,15 +243,19 @@ def ablation(questions: DataFrame, examples: DataFrame, catalog: DataFrame, cfg:
     return summary(ablation_rows(questions, examples, catalog, cfg, ks, modes), "mode", "k").drop("f1", "f6").orderBy("mode", "k")
 
 
-def comparison(questions: DataFrame, examples: DataFrame | None, catalog: DataFrame, cfg: Config) -> DataFrame:
-    """Column mode with examples beside table mode without, on the same questions, and the differences."""
-    a = summary(run(questions, examples, catalog, replace(cfg, table_mode=False)))
-    b = summary(run(questions, None, catalog, replace(cfg, table_mode=True)))
+def compared(graph_run: DataFrame, base_run: DataFrame) -> DataFrame:
+    """One row: means of both runs, and the differences."""
     names = ["avg_recall", "avg_precision", "avg_prompt_tokens", "n_samples"]
+    a, b = summary(graph_run), summary(base_run)
     both = a.select(*[F.col(c).alias(f"graph_{c}") for c in names]).crossJoin(b.select(*[F.col(c).alias(f"base_{c}") for c in names]))  # one row each
     return both.withColumns({f"delta_{c}": F.col(f"graph_{c}") - F.col(f"base_{c}") for c in names[:3]})
 
 
+def comparison(questions: DataFrame, examples: DataFrame | None, catalog: DataFrame, cfg: Config) -> DataFrame:
+    """Column mode with examples beside table mode without, on the same questions, and the differences."""
+    return compared(run(questions, examples, catalog, replace(cfg, table_mode=False)), run(questions, None, catalog, replace(cfg, table_mode=True)))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text as a question on the star schema: its hits, expanded along join paths, as a prompt."""
     from querylume.plans.questions import star_examples

@@ -24,21 +24,38 @@ def _query(sql: str | None):
     return keep
 
 
+#: A query for each part of the table ``part``: the one of its number, with its brand for '#' and its size for '@'.
 SQLS = [
-    (1, "SELECT name FROM customer WHERE c_acctbal > 10"),
-    (2, "SELECT T1.c_name, count(*) FROM customer AS T1 JOIN orders AS T2 ON T1.c_custkey = T2.o_custkey GROUP BY T1.c_name HAVING count(*) > 3"),
-    (3, "SELECT DISTINCT p_brand FROM part ORDER BY p_brand LIMIT 5"),
-    (4, "SELECT max(p_size), min(p_size), avg(p_size), sum(p_size) FROM part WHERE p_type LIKE '%steel%'"),
-    (5, "SELECT s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem)"),
-    (6, "SELECT n_name FROM nation INTERSECT SELECT c_name FROM customer"),
-    (7, "SELECT n_name FROM nation EXCEPT SELECT c_name FROM customer UNION SELECT r_name FROM region"),
-    (8, "select o_orderkey from orders where o_orderstatus = 'F' and o_totalprice between 5 and 100"),
+    "SELECT name FROM customer WHERE c_acctbal > @",
+    "SELECT T1.c_name, count(*) FROM customer AS T1 JOIN orders AS T2 ON T1.c_custkey = T2.o_custkey GROUP BY T1.c_name HAVING count(*) > @",
+    "SELECT DISTINCT p_brand FROM part ORDER BY p_brand LIMIT @",
+    "SELECT max(p_size), min(p_size), avg(p_size), sum(p_size) FROM part WHERE p_type LIKE '%#%'",
+    "SELECT s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity<@)",
+    "SELECT n_name FROM nation INTERSECT SELECT c_name FROM customer WHERE .c_mktsegment = \"#\"",
+    "SELECT n_name FROM nation EXCEPT SELECT c_name FROM customer UNION SELECT r_name FROM region",
+    "select o_orderkey from orders where o_orderstatus = 'F@' and o_clerk='#' and o_totalprice between 5 and @00",
+    "SELECT a.x, b.y FROM a JOIN b ON a.id = b.id JOIN c ON c.id = b.id WHERE a.z = '#'",
 ]
-_LITERAL = "sqls(id, sql) AS (VALUES " + ", ".join(f"({i}, '{s.replace(chr(39), chr(39) * 2)}')" for i, s in SQLS) + ")"
 
 
-def _sqls(spark):
-    return spark.createDataFrame(SQLS, "id int, sql string")
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _filled_sql(templates: list[str], name: str) -> str:
+    return f"SELECT p_partkey AS id, replace(replace(([{', '.join(map(_text, templates))}])[1 + p_partkey % {len(templates)}], '#', p_brand), '@', p_size::VARCHAR) AS {name} FROM part"
+
+
+def _filled(spark, d, templates: list[str], name: str):
+    one = F.element_at(F.array(*map(F.lit, templates)), (F.col("p_partkey") % len(templates) + 1).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.replace(F.replace(one, F.lit("#"), F.col("p_brand")), F.lit("@"), F.col("p_size").cast("string")).alias(name))
+
+
+_LITERAL = f"sqls AS ({_filled_sql(SQLS, 'sql')})"
+
+
+def _sqls(spark, d):
+    return _filled(spark, d, SQLS, "sql")
 
 
 @_query(r"""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+'), lambda x: x <> '') AS w FROM benchmark),
@@ -55,12 +72,12 @@ def word_counts(spark, d):
 @_query("WITH " + _LITERAL + r""", t AS (SELECT id, unnest(regexp_split_to_array(lower(sql), '[\s\(\),;=<>!"'']+')) AS t FROM sqls)
 SELECT DISTINCT id, ltrim(t, '.') AS token FROM t WHERE t <> '' AND t NOT IN (""" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")")
 def gold_tokens(spark, d):
-    return _sqls(spark).select("id", F.explode(T.gold_tokens(F.col("sql"))).alias("token"))
+    return _sqls(spark, d).select("id", F.explode(T.gold_tokens(F.col("sql"))).alias("token"))
 
 
 @_query("WITH " + _LITERAL + r" SELECT id, array_to_string(regexp_extract_all(sql, '''([^'']*)''', 1), '|') AS strings, array_to_string(regexp_extract_all(sql, '\d+'), '|') AS numbers FROM sqls")
 def quoted_numbers(spark, d):
-    return _sqls(spark).select("id", F.array_join(T.quoted(F.col("sql")), "|").alias("strings"), F.array_join(T.numbers(F.col("sql")), "|").alias("numbers"))
+    return _sqls(spark, d).select("id", F.array_join(T.quoted(F.col("sql")), "|").alias("strings"), F.array_join(T.numbers(F.col("sql")), "|").alias("numbers"))
 
 
 _FEATURES = ", ".join(f"regexp_matches(upper(sql), '{p}') AS {n}" for n, p in T.CLAUSES.items())
@@ -69,7 +86,7 @@ _FEATURES += r", len(regexp_extract_all(upper(sql), 'SELECT')) > 1 AS has_subque
 
 @_query(f"WITH {_LITERAL} SELECT id, {_FEATURES} FROM sqls")
 def sql_features(spark, d):
-    return _sqls(spark).select("id", *[c.alias(n) for n, c in T.sql_features(F.col("sql")).items()])
+    return _sqls(spark, d).select("id", *[c.alias(n) for n, c in T.sql_features(F.col("sql")).items()])
 
 
 _SCORE = "has_join::INT + n_joins * 0.5 + 2 * has_subquery::INT + has_having::INT + 2 * has_intersect::INT + 2 * has_except::INT + has_union::INT"
@@ -77,29 +94,35 @@ _SCORE = "has_join::INT + n_joins * 0.5 + 2 * has_subquery::INT + has_having::IN
 
 @_query(f"WITH {_LITERAL}, f AS (SELECT id, {_FEATURES} FROM sqls), s AS (SELECT id, {_SCORE} AS s FROM f) SELECT id, CASE WHEN s = 0 THEN 'easy' WHEN s <= 1 THEN 'medium' WHEN s <= 3 THEN 'hard' ELSE 'extra' END AS level FROM s")
 def hardness_proxy(spark, d):
-    return _sqls(spark).select("id", T.hardness_proxy(T.sql_features(F.col("sql"))).alias("level"))
+    return _sqls(spark, d).select("id", T.hardness_proxy(T.sql_features(F.col("sql"))).alias("level"))
 
 
 @_query(f"WITH {_LITERAL}, f AS (SELECT id, {_FEATURES} FROM sqls), m AS (UNPIVOT (SELECT " + ", ".join(f"round(avg({n}::INT) * 100, 4) AS {n}" for n in (*T.CLAUSES, "has_subquery")) + " FROM f) ON COLUMNS(*) INTO NAME clause VALUE share) SELECT clause, share FROM m")
 def clause_freq(spark, d):
     f = {n: c for n, c in T.sql_features(F.col("sql")).items() if n.startswith("has_")}
-    wide = _sqls(spark).agg(*[F.round(F.avg(c.cast("int")) * 100, 4).alias(n) for n, c in f.items()])
+    wide = _sqls(spark, d).agg(*[F.round(F.avg(c.cast("int")) * 100, 4).alias(n) for n, c in f.items()])
     return wide.unpivot([], list(f), "clause", "share").orderBy(F.desc("share"), "clause")
 
 
+#: Answers as models give them, and what is left of them, by hand.
 RAW_ANSWERS = [
-    (1, "```sql\nSELECT T1.name FROM singer AS T1 WHERE T1.age > 20;\n``` and that is it"),
-    (2, "Sure: SELECT a.x, b.y FROM a AS a JOIN b AS b ON a.id = b.id ORDER BY a.x NULLS LAST"),
-    (3, "SELECT name FROM people WHERE name ILIKE '%x%' AND age::text = '3'"),
-    (4, ""),
-    (5, "SELECT x FROM t WHERE y IN (SELECT y FROM u)"),
-    (6, "select  count(*)   as n from   t1 as a,  t2 group by z"),
+    ("```sql\nSELECT T1.name FROM singer AS T1 WHERE T1.age > @;\n``` and that is it", "SELECT name FROM singer WHERE T1.age > @"),
+    ("Sure: SELECT a.x, b.y FROM a AS a JOIN b AS b ON a.id = b.id WHERE b.z = '#' ORDER BY a.x NULLS LAST", "SELECT a.x, b.y FROM a AS a JOIN b AS b ON a.id = b.id WHERE b.z = '#' ORDER BY a.x"),
+    ("SELECT name FROM people WHERE name ILIKE '%#%' AND age::text = '@'", "SELECT name FROM people WHERE name LIKE '%#%' AND age = '@'"),
+    ("", "SELECT 1"),
+    ("SELECT x FROM t WHERE y IN (SELECT y FROM u WHERE z = @)", "SELECT x FROM t WHERE y IN (SELECT y FROM u WHERE z = @)"),
+    ("select  count(*)   as n from   t1 as a,  t2 group by z@", "select count(*) FROM t1 group by z@"),
+    ("`SELECT joined@ FROM t AS x`", "SELECT joined@ FROM t AS x"),
+    ("no query at all, #", "no query at all, #"),
+    ("SELECT a FROM t WHERE b = 'x;y' AND c = @", "SELECT a FROM t WHERE b = 'x"),
+    ("SELECT u.a, u.b.c FROM u ORDER BY u.a NULLS FIRST LIMIT @", "SELECT a, c FROM u ORDER BY u.a LIMIT @"),
+    ("SELECT a FROM t EXCEPT SELECT a FROM u AS v;", "SELECT a FROM t EXCEPT SELECT a FROM u AS v"),
 ]
 
 
-@_query(None)
+@_query(_filled_sql([clean for _, clean in RAW_ANSWERS], "sql"))
 def clean_sql(spark, d):
-    return spark.createDataFrame(RAW_ANSWERS, "id int, raw string").select("id", T.clean_sql(F.col("raw")).alias("sql"))
+    return _filled(spark, d, [raw for raw, _ in RAW_ANSWERS], "raw").select("id", T.clean_sql(F.col("raw")).alias("sql"))
 
 
 @_query(schema._with(schema._NODES, schema._EDGES) + r"""SELECT q_id, string_agg(block, chr(10) ORDER BY first) AS ddl FROM (
@@ -127,19 +150,12 @@ def ddl_table(spark, d):
     return render.table_ddl(chosen, cat, graph.table_edges(cat))
 
 
-_SHOTS = [(1, 1, "How many?", "SELECT count(*) FROM t "), (1, 2, "Which?", "SELECT a FROM t"), (2, 1, "Who?", " SELECT b FROM u")]
-
-
-@_query("SELECT q_id, '### Examples' || chr(10) || chr(10) || string_agg('-- Example ' || place || chr(10) || '-- Q: ' || q || chr(10) || '-- A:' || chr(10) || trim(s) || chr(10), chr(10) ORDER BY place) || chr(10) AS block FROM (VALUES " + ", ".join(map(str, _SHOTS)) + ") v(q_id, place, q, s) GROUP BY q_id")
+@_query("SELECT q_id, '### Examples' || chr(10) || chr(10) || string_agg('-- Example ' || place || chr(10) || '-- Q: ' || q || chr(10) || '-- A:' || chr(10) || trim(s) || chr(10), chr(10) ORDER BY place) || chr(10) AS block FROM (SELECT conv_id AS q_id, turn AS place, text AS q, ' SELECT ' || role || ' ' AS s FROM conversations) GROUP BY q_id")
 def fewshot_block(spark, d):
-    return render.few_shot_block(spark.createDataFrame(_SHOTS, "q_id int, place int, question string, sql string"))
-
-
-def _sql_text(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+    return render.few_shot_block(table(spark, d, "conversations").select(F.col("conv_id").alias("q_id"), F.col("turn").alias("place"), F.col("text").alias("question"), F.concat(F.lit(" SELECT "), "role", F.lit(" ")).alias("sql")))
 
 
-@_query(f"SELECT item_id, {_sql_text(render.PROMPT_HEAD)} || 'CREATE TABLE t (' || chr(10) || '    a text' || chr(10) || ');' || chr(10) || chr(10) || '### Question' || chr(10) || text || {_sql_text(render.PROMPT_TAIL)} AS prompt FROM benchmark")
+@_query(f"SELECT item_id, {_text(render.PROMPT_HEAD)} || 'CREATE TABLE t (' || chr(10) || '    a text' || chr(10) || ');' || chr(10) || chr(10) || '### Question' || chr(10) || text || {_text(render.PROMPT_TAIL)} AS prompt FROM benchmark")
 def prompt_text(spark, d):
     return table(spark, d, "benchmark").select("item_id", render.prompt(F.col("text"), F.lit("CREATE TABLE t (\n    a text\n);\n"), F.lit(None).cast("string")).alias("prompt"))
 

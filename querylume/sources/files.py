@@ -31,6 +31,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered(spark.read.text(path), "line_no")
 
 
+def existing(folder: str, names: tuple[str, ...]) -> dict[str, bool]:
+    """Which of the files are there."""
+    return {name: os.path.exists(os.path.join(folder, name)) for name in names}
+
+
+def one_file(path: str) -> str:
+    """The part file of a folder that was written as one part."""
+    return next(f.path for f in sorted(os.scandir(path), key=lambda f: f.name) if f.name.startswith("part-"))
+
+
 def gold_path(folder: str) -> str:
     """dev_gold.sql, or dev_gold where only that exists."""
     first = os.path.join(folder, "dev_gold.sql")

@@ -110,10 +110,10 @@ def test_question_files(spark, tmp_path):
 
 
 def test_end_to_end(spark):
-    from querylume.plans import runs
+    from querylume.plans import questions, runs
 
-    out = runs.run(runs.star_questions(spark), runs.star_examples(spark), catalog.declared(spark), runs.Config(generate=lambda df: df.withColumn("raw", F.col("sql")))).collect()
-    assert len(out) == 4 and all("CREATE TABLE" in r["prompt"] and "### Examples" in r["prompt"] and 0 <= r["recall"] <= 1 for r in out)
+    out = runs.run(questions.star_questions(spark), questions.star_examples(spark), catalog.declared(spark), runs.Config(generate=lambda df: df.withColumn("raw", F.col("sql")))).collect()
+    assert len(out) == len(questions.QUESTIONS) and all("CREATE TABLE" in r["prompt"] and "### Examples" in r["prompt"] and 0 <= r["recall"] <= 1 for r in out)
     assert next(r for r in out if r["q_id"] == 2)["pred_sql"] == "SELECT p_brand, p_size FROM part ORDER BY p_retailprice"
 
 
