@@ -3,9 +3,14 @@ stand hot keys, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A map function that gives its memory back at the end of a task, for workers outlive tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def freeze(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back. Lineage ends there, lost executors cost only the
     tasks that they ran, and values that depend on row placement stay as they are."""
@@ -37,12 +59,15 @@ def freeze(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     return back
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_frozen(*tables: DataFrame) -> None:
     """Deletes frozen tables that nothing will read again."""
     for t in tables:
-        spark, path = t.sparkSession, t._frozen_at
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        delete(t.sparkSession, t._frozen_at)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -24,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from querylume.llm.common import components, drop_frozen, freeze, fresh, join_hot, ranked, table
+from querylume.llm.common import components, drop_frozen, freeze, fresh, join_hot, ranked, table, tidy
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -40,7 +41,7 @@ MAX_CHUNK_GRAMS = 4_000_000
 CHUNKS = 64
 _SEED = 11
 _WORD = re.compile(r"\w+")
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 200_000
 _EPS = 1e-9
 
 
@@ -112,14 +113,19 @@ class Banding:
 
 
 def _signatures(n: int, bands: int, rows: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, band = Shingler(n), Banding(bands, rows)
-        for pdf in batches:
-            sets = [shingle(t) for t in pdf["text"]]
-            yield pd.DataFrame({
-                "id": pdf["id"], "_at": pdf["_at"], "_grams": [len(s) for s in sets],
-                "_set": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                "_bands": [band(s) if len(s) else [] for s in sets],
+        for batch in batches:
+            grams, digests, hashes = [], [], []
+            for text in batch.column("text"):
+                found = shingle(text.as_py())
+                grams.append(len(found))
+                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                hashes.append(band(found) if len(found) else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_pydict({
+                "id": batch.column("id"), "_at": batch.column("_at"), "_grams": pa.array(grams, pa.int64()),
+                "_set": pa.array(digests, pa.binary()), "_bands": pa.array(hashes, pa.list_(pa.int64())),
             })
 
     return run
@@ -192,9 +198,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, n: int = NGRAM, thresho
     bands, rows = choose_bands(threshold, recall, max_hashes)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("_at"))
     kind = base.schema["id"].dataType.simpleString()
-    sig = base.withColumn("id", F.col("id").cast("string"))  # as text: pandas has no null integers
-    sig = sig.mapInPandas(_signatures(n, bands, rows), "id string, _at long, _grams long, _set binary, _bands array<long>")
-    sig = freeze(sig.withColumn("id", F.col("id").cast(kind)), "join-signatures")
+    sig = freeze(base.mapInArrow(_signatures(n, bands, rows), f"id {kind}, _at long, _grams long, _set binary, _bands array<long>"), "join-signatures")
     full = sig.where("_grams > 0")
     per = full.groupBy("_set").agg(F.min(F.struct("id", "_at")).alias("_rep"), F.count("*").alias("_n"), F.first("_bands").alias("_bands"), F.first("_grams").alias("_grams"))
     classes = ranked(per, [F.col("_set")], "_class", "join-classes")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querylume.llm.common import table
+from querylume.llm.common import table, tidy
 from querylume.llm.word_encoder import WordEncoder, slices
 
 MAX_MODEL_MB = 64
@@ -176,6 +176,7 @@ def codec_of(data: bytes) -> Codec:
 
 
 def _encode(data: bytes, with_ids: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(data)
         for batch in batches:
