@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 64
 _BLOCK = 512
+#: Queries of up to so many vectors are sent to every task; more meet the items in a cartesian product of blocks.
+MAX_BROADCAST = 50_000
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -67,7 +69,8 @@ def top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     packed = "ids binary, grp binary, m binary, d int"
     q = queries.select("id", "grp", "emb").mapInPandas(_pack, packed).withColumnsRenamed({"ids": "q_ids", "grp": "q_grp", "m": "q_m"}).drop("d")
     x = items.select("id", "grp", "emb").mapInPandas(_pack, packed)
-    pairs = x.crossJoin(q)  # blocks, not rows
+    few = queries.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    pairs = x.crossJoin(F.broadcast(q) if few else q)  # blocks, not rows
     met = pairs.mapInPandas(meet, "q_id long, q_grp long, id long, grp long, score double")
     at = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "id"))
     return met.withColumn("rank", at).where(F.col("rank") <= k)

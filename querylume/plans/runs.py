@@ -177,6 +177,7 @@ _MEANS = {"recall": "avg_recall", "precision": "avg_precision", "tokens_in": "av
 
 def summary(result: DataFrame, *by: str) -> DataFrame:
     """Mean recall, precision and tokens; F1 and F6 of the means; the number of samples."""
+    result = result.where("recall >= 0")
     means = [F.coalesce(F.avg(c), F.lit(0.0)).alias(n) for c, n in _MEANS.items()]
     one = result.groupBy(*by).agg(*means, F.count("*").alias("n_samples")) if by else result.agg(*means, F.count("*").alias("n_samples"))
     r, p = F.col("avg_recall"), F.col("avg_precision")
