@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from querylume.functions.sqlparse import Column, Conditions, Query, Schema, Test, Value
 
+# Names of the parts and levels of the benchmark's scores.
 PARTS = ("select", "select(no AGG)", "where", "where(no OP)", "group(no Having)", "group", "order", "and/or", "IUEN", "keywords")
 LEVELS = ("easy", "medium", "hard", "extra")
 EMPTY = Query()

@@ -11,6 +11,7 @@ STOP_WORDS = (
     "union intersect except distinct all asc desc count sum avg min max inner left right outer full cross natural using with create table "
     "insert update delete set values primary key foreign references index view drop alter add t1 t2 t3 t4 t5"
 ).split()
+# Words that make a query a complex one, and the patterns of its clauses.
 COMPLEX = ("JOIN", "INTERSECT", "EXCEPT", "UNION")
 CLAUSES = {
     "has_join": r"\bJOIN\b", "has_where": r"\bWHERE\b", "has_group_by": r"\bGROUP\s+BY\b", "has_having": r"\bHAVING\b", "has_order_by": r"\bORDER\s+BY\b",
@@ -72,7 +73,7 @@ def hardness_proxy(f: dict[str, Column]) -> Column:
 
 
 def clean_sql(raw: Column) -> Column:
-    """A model's answer to one line of SQL. The first SELECT up to a semicolon is taken; NULLS FIRST/LAST, ILIKE and text
+    """A model's answer to one line of SQL; the patterns and their order are fixed values. The first SELECT up to a semicolon is taken; NULLS FIRST/LAST, ILIKE and text
     casts go; of a query on one table, aliases, prefixes in the select list and all between the table and the next
     clause go too."""
     sql = F.trim(F.regexp_replace(F.regexp_replace(raw, "```sql|```", ""), "`", ""))
