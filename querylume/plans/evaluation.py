@@ -126,9 +126,11 @@ def executed(spark, d):
     return run
 
 
-def _literal(names: str, rows: list[tuple]) -> str:
+def _literal(names: str, rows: list[tuple], big: tuple[str, ...] = ("idx",)) -> str:
+    """The rows as a common table expression v; the columns ``big`` are BIGINT."""
     show = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
-    return f"v({names}) AS (VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + ")"
+    kinds = ["::BIGINT" if n in big else "" for n in names.split(", ")]
+    return f"v({names}) AS (VALUES " + ", ".join("(" + ", ".join(show(x) + k for x, k in zip(r, kinds)) + ")" for r in rows) + ")"
 
 
 _PARSES = [c.pred != "" and not c.pred.startswith("SELEC ") for c in CASES]
@@ -152,7 +154,7 @@ def sql_hardness(spark, d):
     return evaluation.parse_all(pairs(spark).withColumnRenamed("gold", "sql"), catalog.declared(spark)).select("idx", "level", "clauses", "below", "others")
 
 
-ORACLE["sql_hardness"] = f"WITH {_literal('idx, level, clauses, below, others', [(i, c.level, *map(int, c.counts)) for i, c in enumerate(CASES)])} SELECT * FROM v"
+ORACLE["sql_hardness"] = f"WITH {_literal('idx, level, clauses, below, others', [(i, c.level, *map(int, c.counts)) for i, c in enumerate(CASES)], ('idx', 'clauses', 'below', 'others'))} SELECT * FROM v"
 
 
 @_keep

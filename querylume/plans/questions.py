@@ -39,6 +39,6 @@ def star_examples(spark: SparkSession) -> DataFrame:
 
 
 def values_sql(name: str, columns: str, rows: list[tuple]) -> str:
-    """The rows as a common table expression."""
-    show = lambda x: str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+    """The rows as a common table expression; whole numbers are BIGINT."""
+    show = lambda x: f"{x}::BIGINT" if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
     return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + ")"
