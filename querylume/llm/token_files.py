@@ -7,7 +7,8 @@ lanes, so that any of them can be decoded alone, or all at once as wide vectors.
 checksums.
 
 Blocks are rows of a Parquet table: Spark's commit protocol makes their writing safe against lost executors, and any
-store that Spark knows can hold them. Part files are in ascending order of documents.
+store that Spark knows can hold them. One range exchange puts the coded documents in ascending order; each range is a part
+whose blocks count their ids from its own beginning, and a small table, a row a part, says how many ids lie before it.
 
 Block layout, little-endian: magic 'QRA1', version, table id (crc32 of the frequency table), number of documents,
 of tokens and of checkpoints; per document its number of tokens; per checkpoint word offset, word count, crc32;
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +39,10 @@ END_ID = 0
 SCALE_BITS = 20
 LANE_TOKENS = 512
 CHECKPOINT = 64
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 21
 MAX_VOCABULARY = 1 << 19
 #: Distinct words whose ids a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 1_000_000
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sHIQQI")
 _MARK = struct.Struct("<QII")
@@ -71,6 +74,7 @@ class Coder:
     def __init__(self, freq: np.ndarray, bits: int = SCALE_BITS):
         self.freq, self.bits = freq, np.uint64(bits)
         self.start = np.cumsum(freq, dtype=np.uint64) - freq
+        self.wide = np.uint64(1 << bits) - freq  # x // f * 2**bits + x % f is x + x // f * (2**bits - f)
         self.table_id = zlib.crc32(freq.astype("<u8").tobytes())
         self._symbol: np.ndarray | None = None
 
@@ -92,7 +96,7 @@ class Coder:
         if lanes:
             size[-1] = n - (lanes - 1) * LANE_TOKENS
         state, groups = np.full(lanes, _LOW, np.uint64), -(-lanes // CHECKPOINT)
-        group = np.arange(lanes) // CHECKPOINT
+        group = (np.arange(lanes) // CHECKPOINT).astype(np.uint16 if groups <= 1 << 16 else np.int64)  # 16 bits sort by radix
         words, owners = [], []
         for t in range(int(size.max(initial=0)) - 1, -1, -1):
             live = slice(0, lanes if t < size[-1] else lanes - 1)
@@ -100,11 +104,14 @@ class Coder:
             f, x = self.freq[s], state[live]
             over = x >= f << (np.uint64(63) - self.bits)
             at = np.flatnonzero(over)[::-1]  # the decoder reads a step's words in lane order, so they are written backwards
-            words.append((x[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+            low = x[at]
+            words.append(low.astype(np.uint32))
             owners.append(group[at])
-            x = np.where(over, x >> np.uint64(32), x)
+            x[at] = low >> np.uint64(32)
             times = x // f
-            state[live] = (times << self.bits) + (x - times * f) + self.start[s]
+            times *= self.wide[s]
+            x += times
+            x += self.start[s]
         flat = np.concatenate(words)[::-1] if words else np.zeros(0, np.uint32)
         owner = np.concatenate(owners)[::-1] if owners else np.zeros(0, np.int64)
         order = np.argsort(owner, kind="stable")
@@ -154,7 +161,9 @@ class Coder:
             slot = x & mask
             s = symbol[slot.astype(np.int64)]
             grid[:live, t] = s
-            x = self.freq[s] * (x >> self.bits) + slot - self.start[s]
+            x = (x >> self.bits) * self.freq[s]
+            x += slot
+            x -= self.start[s]
             need = x < _LOW
             # each checkpoint has a stream of its own: a lane's word lies behind those of the lanes before it
             nth = np.cumsum(need)
@@ -170,18 +179,19 @@ class Coder:
 
 @functools.lru_cache(maxsize=2)  # a worker keeps it from task to task
 def tokenizer_encoder(path: str) -> tuple[WordEncoder, int]:
-    """The encoder of a byte-level BPE file and its vocabulary size. Strings of special tokens in a text are text."""
+    """The encoder of a byte-level BPE file and its vocabulary size. A text that holds the string of an added token, which
+    the library takes for that token, is encoded as a whole."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the threads here
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
     vocabulary = tk.get_vocab()
     starts = np.zeros(max(vocabulary.values()) + 1, bool)
     for piece, i in vocabulary.items():
         starts[i] = piece.startswith("Ġ")
     encode = lambda texts: [e.ids for e in tk.encode_batch_fast(texts, add_special_tokens=False)]
-    return WordEncoder(encode, starts, " ", True, KEPT_WORDS), len(starts)
+    added = "|".join(re.escape(t.content) for t in tk.get_added_tokens_decoder().values())
+    return WordEncoder(encode, starts, " ", True, KEPT_WORDS, added), len(starts)
 
 
 def _tokenise(path: str):
@@ -216,33 +226,30 @@ def _tally(width: int, size: int):
     return run
 
 
-def _write(freq_bytes: bytes, width: int, offsets: dict[int, int]):
-    """Rows in order of (_bucket, id) to blocks. Each block: id of its first document, start, ids of documents, bytes."""
+def _write(freq_bytes: bytes, width: int):
+    """A part's rows in order to blocks. Each block: its part, the ids of the part before it, how many it has, the ids of
+    its documents, and its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, kind = Coder(np.frombuffer(freq_bytes, "<u8").astype(np.uint64)), np.uint16 if width == 2 else np.uint32
-        bucket, running, held, held_n, start = None, 0, [], 0, 0
+        part, start, held, held_n = TaskContext.get().partitionId(), 0, [], 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x for _, x, _ in held), kind)
-            block = coder.encode(ids, [k for _, _, k in held])
-            return pa.RecordBatch.from_pydict({"start": pa.array([start], pa.int64()), "doc_ids": pa.array([[i.as_py() for i, _, _ in held]], pa.list_(id_type)), "block": pa.array([block], pa.binary())})
+            block = coder.encode(np.frombuffer(b"".join(x for _, x, _ in held), kind), [k for _, _, k in held])
+            return pa.RecordBatch.from_pydict({
+                "part": pa.array([part], pa.int32()), "start": pa.array([start], pa.int64()), "n_tokens": pa.array([held_n], pa.int64()),
+                "doc_ids": pa.array([[i.as_py() for i, _, _ in held]], pa.list_(id_type)), "block": pa.array([block], pa.binary()),
+            })
 
         id_type = None
         for batch in batches:
             id_type = batch.schema.field("id").type
-            for id_, data, n, b in zip(batch.column("id"), batch.column("ids"), batch.column("n"), batch.column("_bucket")):
-                n, b = n.as_py(), b.as_py()
-                if b != bucket:
-                    if held:
-                        yield flush()
-                    bucket, running, held, held_n, start = b, offsets[b], [], 0, offsets[b]
-                elif held and held_n + n > BLOCK_TOKENS:
+            for id_, data, n in zip(batch.column("id"), batch.column("ids"), batch.column("n").to_pylist()):
+                if held and held_n + n > BLOCK_TOKENS:
                     yield flush()
-                    held, held_n, start = [], 0, running
+                    start, held, held_n = start + held_n, [], 0
                 held.append((id_, data.as_buffer().to_pybytes(), n))
                 held_n += n
-                running += n
         if held:
             yield flush()
 
@@ -253,12 +260,12 @@ def _read(freq_bytes: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(np.frombuffer(freq_bytes, "<u8").astype(np.uint64))
         for batch in batches:
-            for start, doc_ids, block in zip(batch.column("start").to_pylist(), batch.column("doc_ids"), batch.column("block")):
+            for part, start, doc_ids, block in zip(batch.column("part").to_pylist(), batch.column("start").to_pylist(), batch.column("doc_ids"), batch.column("block")):
                 ids, lengths = coder.decode(block.as_py())
                 ends = np.cumsum(lengths)
                 raw = ids.astype("<u4")
                 yield pa.RecordBatch.from_pydict({
-                    "id": doc_ids.values, "start": pa.array(start + ends - lengths, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()),
+                    "id": doc_ids.values, "part": pa.array([part] * len(ends), pa.int32()), "_at": pa.array(start + ends - lengths, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()),
                     "ids_crc32": pa.array([zlib.crc32(raw[e - k : e]) for e, k in zip(ends, lengths)], pa.int64()),
                 })
 
@@ -266,10 +273,11 @@ def _read(freq_bytes: bytes):
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the blocks to ``out_dir``/blocks and the frequency table to ``out_dir``/frequencies, as Parquet.
+    """Writes ``out_dir``/blocks, ``out_dir``/frequencies and ``out_dir``/parts (part, ids before it), as Parquet.
 
-    Null text counts as empty: its only id is END_ID. Null ids come first; rows with one id are in order of their ids'
-    bytes. Other columns are ignored. An empty table gives no block."""
+    Null text counts as empty: its only id is END_ID. Ids of documents may be of any type that has an order; null ids come
+    first; rows with one id are in order of their ids' crc32, then of their bytes. Other columns are ignored. An empty table
+    gives no block."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -285,22 +293,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, id_col: str
     freq = scaled(totals)
     listed = {*np.flatnonzero(freq).tolist(), size - 1}  # the last id, even unused, gives the table's length
     spark.createDataFrame([(i, int(freq[i])) for i in sorted(listed)], "token long, frequency long").coalesce(1).write.parquet(f"{out_dir}/frequencies")
-    # buckets of documents in ascending order; how many tokens each has is known before any is written
-    n = coded.count()
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 500 + 1))
-    cuts = [c for c in coded.approxQuantile("id", [i / parts for i in range(1, parts)], 0.001)] if parts > 1 and kind in ("bigint", "int") else []
-    bucket = F.lit(0)
-    for c in sorted(set(cuts)):
-        bucket = bucket + F.when(F.col("id") > F.lit(int(c)), 1).otherwise(0)
-    dealt = coded.withColumn("_bucket", bucket)
-    sums = sorted((r["_bucket"], r["n"]) for r in dealt.groupBy("_bucket").agg(F.sum("n").alias("n")).collect())
-    offsets, before = {}, 0
-    for b, k in sums:
-        offsets[b] = before
-        before += k
-    dealt = dealt.repartitionByRange(max(1, len(sums)), "_bucket").sortWithinPartitions("_bucket", "id", "ids")
-    blocks = dealt.mapInArrow(_write(freq.astype("<u8").tobytes(), width, offsets), f"start long, doc_ids array<{kind}>, block binary")
+    key = ["id", "_crc", "ids"]
+    placed = coded.withColumn("_crc", F.crc32("ids")).repartitionByRange("id", "_crc").sortWithinPartitions(*key)
+    blocks = placed.select("id", "ids", "n").mapInArrow(_write(freq.astype("<u8").tobytes(), width), f"part int, start long, n_tokens long, doc_ids array<{kind}>, block binary")
     blocks.write.option("compression", "none").parquet(f"{out_dir}/blocks")
+    before, parts = 0, []
+    for part, n in sorted(tuple(r) for r in spark.read.parquet(f"{out_dir}/blocks").groupBy("part").agg(F.sum("n_tokens")).collect()):  # a row a part
+        parts.append((part, before))
+        before += n
+    spark.createDataFrame(parts, "part int, before long").coalesce(1).write.parquet(f"{out_dir}/parts")
     drop_frozen(coded)
 
 
@@ -312,7 +313,9 @@ def read_tokens(spark, out_dir: str) -> DataFrame:
         freq[r["token"]], top = r["frequency"], max(top, r["token"])
     blocks = spark.read.parquet(f"{out_dir}/blocks")
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    return blocks.mapInArrow(_read(freq[: top + 1].astype("<u8").tobytes()), f"id {kind}, start long, n_tokens long, ids_crc32 long")
+    read = blocks.select("part", "start", "doc_ids", "block").mapInArrow(_read(freq[: top + 1].astype("<u8").tobytes()), f"id {kind}, part int, _at long, n_tokens long, ids_crc32 long")
+    met = read.join(F.broadcast(spark.read.parquet(f"{out_dir}/parts")), "part")  # a row a part
+    return met.select("id", (F.col("before") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def tokenizer_file() -> str:

@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 #: A space before or behind other white space, or at an end: there single spaces don't delimit words.
 _ODD = r"^ | $|[ ][\s\v\x1c-\x1f\x85\p{Z}]|[\s\v\x1c-\x1f\x85\p{Z}][ ]"
 _GROUP = 1000
-_BATCH_CHARS = 8_000_000
+_BATCH_CHARS = 24_000_000
 #: Distinct words that an encoder keeps with their ids for later batches: the first that it meets.
-_KEPT_WORDS = 100_000
+_KEPT_WORDS = 300_000
 
 
 def slices(texts: pa.Array, most: int = _BATCH_CHARS) -> list[tuple[int, int]]:
@@ -41,20 +41,21 @@ class WordEncoder:
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], starts: np.ndarray, prefix: str, head_differs: bool, kept_words: int = _KEPT_WORDS, whole: str = "", check: Callable[[str], list[int]] | None = None):
         self.encode, self.starts, self.prefix, self.head_differs, self.kept_words, self.check = encode, starts, prefix, head_differs, kept_words, check
         self.odd = _ODD + ("|" + whole if whole else "")
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())  # as Arrow strings, which take a tenth of a dictionary's memory
         self.flat, self.lens, self.good = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
 
-    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids in a row, where each word's begin, how many each has, whether the check agrees)"""
-        at = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        at = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.known), -1)).astype(np.int64)
         new = np.flatnonzero(at < 0)
-        flat, lens, good = self._distinct([words[i] for i in new])
+        fresh = words.take(pa.array(new))
+        flat, lens, good = self._distinct(fresh.to_pylist())
         kept = len(self.lens)
         at[new] = kept + np.arange(len(new))
         flat, lens, good = np.concatenate([self.flat, flat]), np.concatenate([self.lens, lens]), np.concatenate([self.good, good])
         begin = np.cumsum(lens) - lens
         if room := min(self.kept_words - kept, len(new)):
-            self.known.update((words[i], kept + k) for k, i in enumerate(new[:room].tolist()))
+            self.known = pa.concat_arrays([self.known, fresh.slice(0, room)])
             self.lens, self.good = lens[: kept + room].copy(), good[: kept + room].copy()
             self.flat = flat[: int(self.lens.sum())].copy()
         return flat, begin[at], lens[at], good[at]
@@ -91,15 +92,14 @@ class WordEncoder:
         whole = np.asarray(pc.match_substring_regex(texts, self.odd), bool) | (np.asarray(pc.binary_length(texts)) == 0)
         parts = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
         coded = parts.flatten().dictionary_encode()
-        index, words = np.asarray(coded.indices, np.int64), coded.dictionary.to_pylist()
+        index = np.asarray(coded.indices, np.int64)
+        words = pc.if_else(pc.equal(coded.dictionary, ""), "x", coded.dictionary)  # "" stands for texts that go whole; its ids are not used
         counts = np.asarray(pc.list_value_length(parts), np.int64)
         first = np.cumsum(counts) - counts  # of each text, in index
         alone = pc.if_else(pa.array(whole), texts, "").to_pylist() if whole.any() else [""] * n
-        if "" in words:
-            words[words.index("")] = "x"  # stands for texts that go whole; its ids are not used
         flat, begin, lens, good = self._ids(words)
         if self.head_differs:
-            alone = [a if w else words[i] for a, w, i in zip(alone, whole, index[first])]
+            alone = pc.if_else(pa.array(whole), pa.array(alone, pa.large_string()), words.take(pa.array(index[first]))).to_pylist()
         single = self.encode(alone) if self.head_differs or whole.any() else [[]] * n
         more = np.fromiter(itertools.chain.from_iterable(single), np.int32)
         sole = np.fromiter(map(len, single), np.int64, n)
