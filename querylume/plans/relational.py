@@ -50,11 +50,11 @@ def not_in_subquery(spark, d):
 _MAYBE = "SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer"
 
 
-@_query(f"WITH c AS ({_MAYBE}) SELECT c_custkey, k FROM c WHERE k NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
+@_query(f"WITH c AS ({_MAYBE}) SELECT c_custkey, coalesce(k, -1) AS k FROM c WHERE k NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
 def not_in_with_null_left(spark, d):
     """A null is neither in a list nor not in it."""
     left = table(spark, d, "customer").select("c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("k"))
-    return not_in(left, "k", table(spark, d, "supplier").where("s_acctbal < 0").select("s_nationkey"))
+    return not_in(left, "k", table(spark, d, "supplier").where("s_acctbal < 0").select("s_nationkey")).select("c_custkey", F.coalesce("k", F.lit(-1)).alias("k"))
 
 
 @_query(f"SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT k FROM ({_MAYBE}))")
