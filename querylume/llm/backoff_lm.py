@@ -5,10 +5,14 @@ count of its longest n-gram that other documents hold, over the count of that n-
 order given up; the counts are those of the whole corpus less the document's own. A document's score is the sum of the
 logarithms over its words.
 
-The exploded n-grams are kept column by column: a chunk of documents has one row for each hash partition and order,
+The exploded n-grams are kept column by column: a chunk of documents has one row, a blob, for each hash range and order,
 with the sorted distinct hashes and their counts in the chunk, so a frequent n-gram is one entry a chunk. They are
-shuffled by partition once, summed to the count table and joined back in one step, and return to their chunk as totals
-alone. The chunks lie in a table bucketed by chunk, so that this last join moves only the totals.
+shuffled by range once, summed to the count table and joined back in one step, and return to their chunk as totals alone.
+The chunks lie in a table bucketed by chunk, so that this last join moves only the totals.
+
+A chunk has at most FAN blobs, however large the corpus, so rows grow with n-grams. Where FAN ranges are too large for a
+task, the blobs of FAN chunks in a range are merged, summed and cut again into FAN ranges, and so on until ranges are
+small; the totals come back by the same way. A task holds a chunk's n-grams or a small range's.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querylume.llm.common import freeze, table
+from querylume.llm.common import delete, freeze, shared_dir, table, tidy
 from querylume.llm.ngram_join import _WORD, _mix, _WordHash
 
 ORDER = 3
@@ -33,6 +37,8 @@ ALPHA = 0.4
 #: Words in a chunk, unless a single document has more; n-grams (distinct in their chunk) in a hash partition.
 CHUNK_WORDS = 1_500_000
 PARTITION_GRAMS = 2_000_000
+#: Blobs of a chunk, or of merged chunks, and chunks that are merged.
+FAN = 512
 _SLICE_WORDS = 250_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -86,52 +92,113 @@ def _grams(vocabulary: bytes, codes: bytes, lens: np.ndarray, order: int) -> Ite
         yield _mix(h[at] + np.uint64(n)), at
 
 
-def _explode(order: int, parts: int):
+_BLOB = "owner long, span long, n int, keys binary, counts binary"
+
+
+def _cut(keys: np.ndarray, counts: np.ndarray, first: int, fan: int, spans: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """The part of sorted hashes in each of the ``fan`` spans from ``first`` on, of ``spans`` that the hashes have in all;
+    only spans that hold any."""
+    edges = np.array([(p << 64) // spans for p in range(first, first + fan)], np.uint64)
+    cuts = np.append(np.searchsorted(keys, edges), len(keys))
+    for i in np.flatnonzero(np.diff(cuts)):
+        part = slice(cuts[i], cuts[i + 1])
+        yield first + int(i), _pack(np.diff(keys[part], prepend=np.uint64(0))), _pack(counts[part])
+
+
+def _explode(order: int, fan: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([(p << 64) // parts for p in range(parts)], np.uint64)
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
                 for n, (h, _) in enumerate(_grams(r["vocabulary"], r["codes"], np.asarray(r["lens"], np.int64), order), 1):
-                    keys, counts = np.unique(h, return_counts=True)
-                    cuts = np.append(np.searchsorted(keys, edges), len(keys))
-                    found = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+                    found = list(_cut(*np.unique(h, return_counts=True), 0, fan, fan))
                     yield pa.RecordBatch.from_pydict({
-                        "part": pa.array(found, pa.int32()), "chunk": pa.array([r["chunk"]] * len(found), pa.int64()), "n": pa.array([n] * len(found), pa.int32()),
-                        "keys": pa.array([_pack(np.diff(keys[cuts[p] : cuts[p + 1]], prepend=np.uint64(0))) for p in found], pa.binary()),
-                        "counts": pa.array([_pack(counts[cuts[p] : cuts[p + 1]]) for p in found], pa.binary()),
+                        "owner": pa.array([r["chunk"]] * len(found), pa.int64()), "span": pa.array([x[0] for x in found], pa.int64()), "n": pa.array([n] * len(found), pa.int32()),
+                        "keys": pa.array([x[1] for x in found], pa.binary()), "counts": pa.array([x[2] for x in found], pa.binary()),
                     })
 
     return run
 
 
-def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One hash partition: the count table, joined back to the chunks' n-grams."""
+def _summed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of blobs of one order: the distinct hashes, their summed counts, each blob's places in them, and the blobs' ends."""
     keys = [np.cumsum(_unpack(k), dtype=np.uint64) for k in pdf["keys"]]
-    sizes = np.cumsum([len(k) for k in keys])
-    _, inv = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct, inv = np.unique(np.concatenate(keys), return_inverse=True)
     counts = np.concatenate([_unpack(c) for c in pdf["counts"]])
-    totals = np.bincount(inv, counts.astype(np.float64))[inv].astype(np.uint64)
-    return pd.DataFrame({"chunk": pdf["chunk"], "n": pdf["n"], "part": pdf["part"], "totals": [_pack(t) for t in np.split(totals, sizes[:-1])]})
+    return distinct, np.bincount(inv, counts.astype(np.float64)).astype(np.uint64), inv, np.cumsum([len(k) for k in keys])
 
 
-def _others(r: dict, n: int, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-    """Counts of n-grams ``h`` in other documents than their own, in slices that end with a document."""
-    keys = np.unique(h)
-    found = [_unpack(t["totals"]) for t in sorted((t for t in r["got"] if t["n"] == n), key=lambda t: t["part"])]
+def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One span: the count table, joined back to the owners' n-grams."""
+    out = []
+    for n, part in pdf.groupby("n"):
+        _, totals, inv, ends = _summed(part)
+        out.append(pd.DataFrame({"owner": part["owner"], "span": part["span"], "n": n, "totals": [_pack(t) for t in np.split(totals[inv], ends[:-1])]}))
+    return pd.concat(out)
+
+
+def _merge(fan: int, spans: int):
+    """The blobs of a group of owners in one span, as the blobs of one owner in ``fan`` smaller spans."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        span, group = key
+        rows = []
+        for n, part in pdf.groupby("n"):
+            keys, counts, _, _ = _summed(part)
+            rows += [(group, at, n, k, c) for at, k, c in _cut(keys, counts, span * fan, fan, spans * fan)]
+        return pd.DataFrame(rows, columns=["owner", "span", "n", "keys", "counts"])
+
+    return run
+
+
+def _spread(blobs: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+    """The totals of a group of owners in one span, dealt to the owners' blobs."""
+    out = []
+    for n, part in blobs.groupby("n"):
+        keys, _, inv, ends = _summed(part)
+        found = np.concatenate([_unpack(t) for t in totals[totals["n"] == n].sort_values("span")["totals"]])
+        if len(found) != len(keys):
+            raise ValueError("totals don't fit their group")
+        out.append(pd.DataFrame({"owner": part["owner"], "span": part["span"], "n": n, "totals": [_pack(t) for t in np.split(found[inv], ends[:-1])]}))
+    return pd.concat(out)
+
+
+def _totals(blobs: DataFrame, spans: int, owners: int, wanted: int, fan: int) -> DataFrame:
+    """owner, span, n, totals: for each blob the counts of its hashes over all owners. ``spans`` are those of the blobs,
+    ``owners`` how many a span may have, ``wanted`` the spans of which one fits a task."""
+    schema = "owner long, span long, n int, totals binary"
+    if spans >= wanted:
+        return blobs.groupBy("span").applyInPandas(_sum, schema)
+    blobs = freeze(blobs, "lm-blobs")
+    groups = -(-owners // fan)
+    grouped = blobs.withColumn("group", F.pmod(F.xxhash64("owner"), F.lit(groups)).cast("long"))
+    below = grouped.groupBy("span", "group").applyInPandas(_merge(fan, spans), _BLOB)
+    found = _totals(below, spans * fan, groups, wanted, fan)
+    found = found.select(F.floor(F.col("span") / fan).cast("long").alias("above"), F.col("owner").alias("group"), "span", "n", "totals")
+    met = grouped.groupBy("span", "group").cogroup(found.groupBy("above", "group"))
+    return met.applyInPandas(_spread, schema)
+
+
+def _others(r: dict, n: int, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Counts of n-grams ``h`` in other documents than their own. One sort by hash, which keeps documents in order, puts
+    equal n-grams together, and those of a document among them."""
+    found = [_unpack(t["totals"]) for t in sorted((t for t in r["got"] if t["n"] == n), key=lambda t: t["span"])]
     got = np.concatenate(found) if found else np.zeros(0, np.uint64)
-    if len(got) != len(keys):
+    order = np.argsort(h, kind="stable")
+    h, doc = h[order], doc[order]
+    first = np.append(True, h[1:] != h[:-1])[: len(h)]  # of each distinct n-gram
+    if np.count_nonzero(first) != len(got):
         raise ValueError("totals don't fit their chunk")
-    at = 0
-    while at < len(h):
-        to = int(np.searchsorted(doc, doc[min(at + _SLICE_WORDS, len(h)) - 1], side="right"))
-        place = np.searchsorted(keys, h[at:to])
-        _, own_inv, own = np.unique((doc[at:to] - doc[at]) * len(keys) + place, return_inverse=True, return_counts=True)
-        yield slice(at, to), got[place].astype(np.float64) - own[own_inv]
-        at = to
+    own = np.flatnonzero(first | np.append(True, doc[1:] != doc[:-1])[: len(h)])  # where an n-gram's run in a document begins
+    counts = got.astype(np.float64)[np.cumsum(first) - 1] - np.repeat(np.diff(np.append(own, len(h))), np.diff(np.append(own, len(h))))
+    out = np.empty(len(h))
+    out[order] = counts
+    return out
 
 
 def _score(order: int, alpha: float, words_in_all: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -141,8 +208,7 @@ def _score(order: int, alpha: float, words_in_all: int):
                 total = len(doc)
                 seen = np.full((order, total), -1.0)  # of the n-gram that ends here, in other documents; -1: none ends here
                 for n, (h, at) in enumerate(_grams(r["vocabulary"], r["codes"], lens, order)):
-                    for part, counts in _others(r, n + 1, h, doc[at]):
-                        seen[n, at[part]] = counts
+                    seen[n, at] = _others(r, n + 1, h, doc[at])
                 out, at = np.zeros(len(lens)), 0
                 while at < total:
                     to = int(np.searchsorted(doc, doc[min(at + _SLICE_WORDS, total) - 1], side="right"))
@@ -166,7 +232,7 @@ def _logs(seen: np.ndarray, others: np.ndarray, alpha: float) -> np.ndarray:
     return out
 
 
-def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
+def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, partition_grams: int = PARTITION_GRAMS, fan: int = FAN) -> DataFrame:
     """One row per row of ``docs``: id_col, n_words, score (sum of natural logarithms), mean_score (per word).
 
     A null text, or one without words, has n_words 0, score 0 and mean_score null. A word that no other document holds
@@ -176,18 +242,24 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     name = f"lm_chunks_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = rows.mapInArrow(_chunks, f"chunk long, ids array<{kind}>, lens array<long>, vocabulary binary, codes binary")
-    cut.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
-    chunks = spark.table(name)
-    words = chunks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    parts = max(buckets, math.ceil(words * order / PARTITION_GRAMS))
-    exploded = chunks.select("chunk", "lens", "vocabulary", "codes").mapInArrow(_explode(order, parts), "part int, chunk long, n int, keys binary, counts binary")
-    totals = exploded.groupBy("part").applyInPandas(_sum, "chunk long, n int, part int, totals binary")
-    back = totals.groupBy("chunk").agg(F.collect_list(F.struct("n", "part", "totals")).alias("got"))
-    met = chunks.join(back, "chunk", "left").withColumn("got", F.coalesce("got", F.array().cast("array<struct<n:int,part:int,totals:binary>>")))
-    scored = freeze(met.mapInArrow(_score(order, alpha, words), f"id {kind}, n_words long, score double"), "lm-scores")
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        cut = rows.mapInArrow(_chunks, f"chunk long, ids array<{kind}>, lens array<long>, vocabulary binary, codes binary")
+        cut.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, "chunk").saveAsTable(name)
+        chunks = spark.table(name)
+        n_chunks, words = chunks.agg(F.count("*"), F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()
+        words = words or 0
+        wanted = max(buckets, math.ceil(words * order / partition_grams))
+        first = min(wanted, fan)
+        blobs = chunks.select("chunk", "lens", "vocabulary", "codes").mapInArrow(_explode(order, first), _BLOB)
+        totals = _totals(blobs, first, n_chunks, wanted, fan)
+        back = totals.groupBy(F.col("owner").alias("chunk")).agg(F.collect_list(F.struct("n", "span", "totals")).alias("got"))  # at most order x fan
+        met = chunks.join(back, "chunk", "left").withColumn("got", F.coalesce("got", F.array().cast("array<struct<n:int,span:bigint,totals:binary>>")))
+        scored = freeze(met.mapInArrow(_score(order, alpha, words), f"id {kind}, n_words long, score double"), "lm-scores")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
     mean = F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words"))
     return scored.select(F.col("id").alias(id_col), "n_words", "score", mean.alias("mean_score"))
 
