@@ -93,11 +93,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that stay, one for each normalised text, with all their columns."""
     id_, sha, n, row = fresh(docs, "_q_id", "_q_sha", "_q_n", "_q_row")
     named = name_blocks(docs.select(id_col, text_col), id_col, text_col).where("kept")
-    named = named.select(F.col(id_col).alias(id_), F.col("text_sha256").alias(sha), F.col("n_chars").alias(n)).distinct()
+    named = named.groupBy(F.col(id_col).alias(id_), F.col("text_sha256").alias(sha), F.col("n_chars").alias(n)).agg(F.count("*").alias("_rows"))
+    named = freeze(named, "naming-kept")
+    one, many = named.where("_rows = 1").drop("_rows"), named.where("_rows > 1").drop("_rows")
     text = F.coalesce(docs[text_col], F.lit(""))
-    same = docs[id_col].eqNullSafe(named[id_]) & (F.sha2(normalised(text), 256) == named[sha]) & (F.char_length(text) == named[n])
+    same = lambda k: docs[id_col].eqNullSafe(k[id_]) & (F.sha2(normalised(text), 256) == k[sha]) & (F.char_length(text) == k[n])
     first = F.row_number().over(W.partitionBy(id_, sha, n).orderBy(F.lit(0)))
-    return docs.join(named, same).withColumn(row, first).where(F.col(row) == 1).select(docs.columns)
+    repeated = docs.join(many, same(many)).withColumn(row, first).where(F.col(row) == 1).select(docs.columns)
+    return docs.join(one, same(one), "left_semi").unionByName(repeated)
 
 
 def op3_block_naming(spark, sf_dir: str) -> DataFrame:

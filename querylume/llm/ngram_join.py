@@ -259,13 +259,14 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Null texts and texts without words have no links: all such rows stay. A null id comes first where the smallest is
     sought. Columns may have any names. An empty table gives an empty result."""
-    id_, at, bare, row = fresh(docs, "_q_id", "_q_at", "_q_bare", "_q_row")
+    id_, at, row = fresh(docs, "_q_id", "_q_at", "_q_row")
     found = _joined(docs.select(id_col, text_col), id_col, text_col, **options)
     stays = found.where(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("_at") == F.col("_class_at")))
-    stays = stays.select(F.col("id").alias(id_), F.col("_at").alias(at), (F.col("n_grams") == 0).alias(bare)).distinct()
-    met = docs.join(stays, docs[id_col].eqNullSafe(stays[id_]) & (F.xxhash64(docs[text_col]) == stays[at]))
-    met = met.withColumn(row, F.row_number().over(W.partitionBy(id_, at).orderBy(F.lit(0))))
-    return met.where(F.col(bare) | (F.col(row) == 1)).select(docs.columns)
+    stays = freeze(stays.groupBy(F.col("id").alias(id_), F.col("_at").alias(at)).agg(F.count("*").alias("_rows"), F.max(F.col("n_grams") == 0).alias("_bare")), "join-stays")
+    one, many = stays.where("_bare or _rows = 1").select(id_, at), stays.where("not _bare and _rows > 1").select(id_, at)
+    same = lambda s: docs[id_col].eqNullSafe(s[id_]) & (F.xxhash64(docs[text_col]) == s[at])
+    repeated = docs.join(many, same(many)).withColumn(row, F.row_number().over(W.partitionBy(id_, at).orderBy(F.lit(0))))
+    return docs.join(one, same(one), "left_semi").unionByName(repeated.where(F.col(row) == 1).select(docs.columns))
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
