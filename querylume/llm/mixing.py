@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from querylume.llm.common import freeze, fresh, ranked, table
+from querylume.llm.common import drop_frozen, freeze, fresh, ranked, table
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -97,9 +97,9 @@ def targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataF
     """Adds ``_target`` to (_src, source, _total): shares of all words by weight, in code point order of the source
     with null last; a target stops at ``cap`` times the source's words and the excess goes to the others by weight,
     until none is above. Each round is one aggregate over the sources, whose two sums come to the driver."""
-    placed = ranked(sources, [F.col("source").asc_nulls_last()], "_rank", "mix-sources")
+    ordered = ranked(sources, [F.col("source").asc_nulls_last()], "_rank", "mix-sources")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
-    placed = placed.withColumn("_weight", weight).withColumn("_cap", F.col("_total") * F.lit(float(cap)))
+    placed = ordered.withColumn("_weight", weight).withColumn("_cap", F.col("_total") * F.lit(float(cap)))
     all_words = placed.agg(F.sum("_total")).first()[0] or 0
     level, full = 0.0, -1
     while True:  # ends: the number of full sources only rises
@@ -108,7 +108,9 @@ def targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataF
         if n == full or not open_:
             break
         full, level = n, (all_words - (held or 0.0)) / open_
-    return placed.withColumn("_target", F.least("_cap", F.col("_weight") * F.lit(level))).drop("_rank", "_weight", "_cap")
+    out = placed.withColumn("_target", F.least("_cap", F.col("_weight") * F.lit(level))).drop("_rank", "_weight", "_cap")
+    out._frozen_at = ordered._frozen_at
+    return out
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
@@ -125,11 +127,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = freeze(base.withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(HASH_BUCKETS)).cast("int")), "mix-sizes")
     cells = freeze(base.groupBy("_src", "_size", "_bucket").agg(F.count("*").alias("_n")), "mix-cells")
     sources = base.groupBy("_src").agg(F.first("source").alias("source"), F.sum("_size").alias("_total"))
-    plan = targets(sources, weights, cap)
+    goals = targets(sources, weights, cap)
     passes = F.when(F.col("_total") > 0, F.least(F.floor(F.col("_target") / F.col("_total")), F.lit(cap))).otherwise(0)
-    plan = plan.withColumn("_passes", passes.cast("long"))
+    plan = goals.withColumn("_passes", passes.cast("long"))
     rest = F.when(F.col("_passes") < cap, F.round(F.col("_target") - F.col("_passes") * F.col("_total")).cast("long")).otherwise(0)
     plan = freeze(plan.withColumn("_rest", rest), "mix-plan")
+    drop_frozen(goals)
     lengths = cells.where("_size > 0").groupBy("_src", "_size").agg(F.sum("_n").alias("_n"))
     lengths = lengths.join(plan.select("_src", "_rest"), "_src").where("_rest > 0")
     wanted = lengths.groupBy("_src").applyInPandas(_fit_source(seed), "_src string, _size long, _want long").where("_want > 0")
