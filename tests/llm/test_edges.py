@@ -77,6 +77,29 @@ def test_defined_results(spark, tmp_path):
     assert k[2]["taken"] == 0 and k[3]["source_size"] == 3 and k[5]["taken"] <= 3 * k[5]["size"]
 
 
+def test_very_long_texts(spark, tmp_path):
+    """Three million characters, twice, beside a short text: whole texts count, whatever their length."""
+    huge = " ".join(f"w{i * 7919 % 100_003} of the text\n" * 2 for i in range(90_000))
+    assert len(huge) > 3_000_000
+    docs = spark.createDataFrame([(1, huge, "en", "s"), (2, huge, "en", "s"), (3, huge + "x", "en", "s"), (4, "short text", "de", "s")], SCHEMA)
+    got = {name: {r[0]: r for r in OPERATORS[name](docs, tmp_path).collect()} for name in OPERATORS}
+    assert got["fingerprints"][1]["n_chars"] == len(huge) and got["fingerprints"][1]["near_next"] == 1.0
+    assert got["naming"][2]["keep_id"] == 1 and got["naming"][3]["group_size"] == 1
+    assert got["tokens"][1]["ids_crc32"] == got["tokens"][2]["ids_crc32"] != got["tokens"][3]["ids_crc32"] and got["tokens"][4]["start"] == 2 * got["tokens"][1]["n_tokens"] + got["tokens"][3]["n_tokens"]
+    assert got["lm"][1]["n_words"] == 90_000 * 8 and got["sentencepiece"][1]["parity"] and got["sentencepiece"][1]["round_trip"]
+    assert got["join"][3]["class_id"] == 1 and got["join"][1]["n_links"] == 2 and got["mixing"][1]["size"] == 90_000 * 8
+
+
+def test_repeated_ids_keep_one_row(spark):
+    """Of a group one row stays, though others have its id; different texts with one id are judged one by one."""
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [(1, text), (1, text), (2, text), (1, "quite another text that is like none of the others here"), (3, "..."), (3, "..."), (None, None), (2, text.replace("one two", "two"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_q_id", F.lit(7)).withColumn("_at", F.lit("x"))
+    got = ngram_join.keep_one_of_each_group(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(repr, [(1, text), rows[3], rows[4], rows[5], rows[6]]))
+
+
 def test_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<html><body><p>One two three.</p></body></html>"), (3, "u", "<html><body><p>One two three.</p></body></html>"), (None, "u", "just text"), (5, "u", "<article><p>" + LONG + "</p></article>"), (6, "u", "<" * 3000), (7, "u", "<div>" * 3000 + "deep")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("id", F.lit(1))

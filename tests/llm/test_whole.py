@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-
 from querylume.llm import html_text, toxicity
 
 
@@ -19,6 +17,44 @@ def test_training_rows_that_are_no_copies_all_count(spark):
     assert "=vermin" not in weights  # 80 copies are one row
 
 
+def test_evidence_counts_by_occurrence(spark):
+    """A beginning that clean texts hold once and toxic ones again and again tells them apart."""
+    plain = " ".join(f"word{k}" for k in range(40))
+    rows = [(i, f"n{i} {plain} " + " ".join(f"bome{x}" for x in ("ra", "ja", "que", "co", "ta")[: 5 if i % 4 == 0 else i % 4 == 1])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()}
+    held = [i for i, _ in rows if got[i]["held_out"]]
+    assert len(held) > 150 and all(got[i]["predicted"] == (i % 4 == 0) for i in held)
+
+
+def test_all_readings_by_brute_force():
+    """The search finds the best of all readings of short lattices."""
+    import itertools
+
+    model = lexicon_of("pathetic", "idiot", "plain", "words", "here", "look").model
+
+    def cost(parts):
+        total, state = 0.0, "^^"
+        for what, extra in parts:
+            total += extra
+            for c in what:
+                if c in " \n":
+                    if c == "\n" and state == "^^":
+                        total -= extra
+                    if state != "^^":
+                        total, state = total + model.log_p(state, "$"), "^^"
+                else:
+                    total, state = total + model.log_p(state, c), state[1] + c
+        return total + (model.log_p(state, "$") if state != "^^" else 0.0)
+
+    for token in ("1d10t", "h3r3", "l00k", "i.d.o", "id*t", "w0rd$", "lo**k", "p-l4in", "he,re", "!!d", "loook!", "a|1"):
+        lattice = toxicity.readings(token)
+        every = [(cost(x), "".join(w for w, _ in x)) for x in itertools.product(*lattice)]
+        best = max(c for c, _ in every)
+        assert toxicity.restore(token, model) in {w for c, w in every if math.isclose(c, best, rel_tol=1e-12)}, token
+
+
 def test_a_head_without_end_is_ended():
     for start in ("<body>", "", "<noscript><link href=x><body>"):
         assert html_text.extract(f"<html><head><title>T</title><meta charset=utf-8>\n{start}<p>Text of the page.</p>") == "Text of the page."
@@ -50,13 +86,13 @@ def lexicon_of(*words):
     for w in words:
         for i in range(len(w) + 1):
             tri[("^^" + w + "$")[i : i + 3]] = 100
-    return toxicity.Lexicon({"=pathetic": 5.0, "=idiot": 4.0}, -2.0, -4.0, toxicity.CharModel(tri))
+    return toxicity.Lexicon({"=pathetic": 5.0, "=idiot": 4.0}, toxicity.CharModel(tri), -2.0)
 
 
 def test_long_tokens_are_decoded():
     lexicon = lexicon_of("pathetic", "idiot", "plain", "words", "here")
     for token in ("idi" + "o" * 60 + "t", "_".join(["plain", "words", "here"] * 40 + ["p4thet1c"]), "plain_words_here_" * 2 + "plain_here_p@thetic_" + "words_" * 2, "-".join(["words"] * 30) + ".p.a.t.h.e.t.i.c"):
-        assert len(token) > 48 and lexicon.weight(token) > 0
+        assert len(token) > 48 and lexicon.weight(toxicity.words_of(token, lexicon.model)) > 0
     assert toxicity.restore("i.d.i.o.t." * 20_000, lexicon.model).startswith("idiot")
 
 
@@ -66,6 +102,62 @@ def test_masked_letters_and_all_words_of_a_spaced_run():
     assert toxicity.restore("plain***words", lexicon.model).split() == ["plain", "words"]
     odds = []
     for text in ("idiot pathetic", "i d i o t - p a t h e t i c", "w o r d s - " * 60 + "i d i o t - " + "h e r e - " * 60 + "p a t h e t i c"):
-        got = next(toxicity._scores(lexicon)(iter([pd.DataFrame({"text": [text]})])))["score"][0]
+        got = lexicon.probability(text, {})
         odds.append(round(math.log(got / (1 - got)), 6))
     assert odds == [7.0] * 3
+
+
+def test_densities_by_brute_force():
+    """Characters per tag, adjusted by links, from the definition, node by node; the core has the largest sum."""
+    para = "<p>" + "word " * 20 + "<a href=x>link text</a></p>"
+    page = f"<html><body><div><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></div><div><h1>Head</h1>{para * 4}<div>{para}</div></div><div><p>Short.</p></div></body></html>"
+    root = html_text.parse(page)
+    nodes = html_text._ordered(root)
+    html_text._measure(nodes)
+
+    def under(x, linked=False):
+        """(characters, tags, characters in links, link tags) below a node."""
+        linked = linked or x.tag == "a"
+        chars = sum(len("".join(k.split())) for k in x.kids if isinstance(k, str))
+        total = [chars, 0, chars if linked else 0, 0]
+        for k in x.kids:
+            if not isinstance(k, str):
+                total = [a + b for a, b in zip(total, under(k, linked))]
+                total[1] += 1
+                total[3] += linked or k.tag == "a"
+        return total
+
+    c_all, _, lc_all, _ = under(root)
+    for x in nodes:
+        c, t, lc, lt = under(x)
+        assert (x.chars, x.tags) == (c, t)
+        if x.tag != "a" and c:
+            base = math.log(max(1, c) * lc / max(1, c - lc) + lc_all / c_all * c + math.e)
+            value = max(1.0001, (max(1, c) / max(1, lc)) * (max(1, t) / max(1, lt)))
+            want = c / max(1, t) * math.log(value) / math.log(max(1.05, base))
+            assert math.isclose(x.density, want, rel_tol=1e-9), x.tag
+        assert math.isclose(x.total, sum(k.density for k in x.kids if not isinstance(k, str)), rel_tol=1e-9, abs_tol=1e-12)
+    best = max((x for x in nodes if x.tag in html_text.BLOCK or x is root), key=lambda x: x.total)
+    assert best.tag == "div" and best.kids[0].tag == "h1"
+
+
+def test_density_needs_no_marks(small_dir, monkeypatch):
+    """Without article and main elements, or without any class names, pages have the same text."""
+    import re
+
+    import pandas as pd
+
+    pages = list(pd.read_parquet(f"{small_dir}/pages.parquet").html)
+    want = [html_text.extract(p) for p in pages]
+    plain = [re.sub(r"(</?)(?:article|main)\b", r"\1div", p) for p in pages]
+    assert [html_text.extract(p) for p in plain] == want
+    monkeypatch.setattr(html_text, "_named", lambda tag, attrs: 0)
+    assert [html_text.extract(p) for p in pages] == want
+
+
+def test_pages_in_any_names():
+    links = "".join(f"<li><a href=/{i}>Page {i}</a>" for i in range(12))
+    part = "A sentence of the text, with some words, that ought to stay in the result. " * 3
+    for a, b, c in (("x1", "x2", "x3"), ("content", "story", "main-col"), ("q", "navless", "zz")):
+        page = f"<html><body><div class={a}><ul>{links}</ul></div><div class={b}><h1>Head</h1>" + f"<p>{part}</p>" * 5 + f"</div><div class={c}><ul>{links}</ul></div></body></html>"
+        assert html_text.extract(page).split("\n") == ["Head", *[part.strip()] * 5]
