@@ -22,8 +22,8 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 def unit(a: Column | str) -> Column:
     """The vector in double precision, of length 1; zeros stay zeros. The product of two is their cosine."""
-    norm = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
+    norms = F.array_repeat(F.sqrt(dot(a, a)), F.size(a))  # as an argument the norm is taken once a vector, in the function once a number
+    return F.zip_with(a, norms, lambda x, n: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0)))
 
 
 def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
