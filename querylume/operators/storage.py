@@ -2,44 +2,61 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
-def frozen(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` and read back. Where that is unset (local tests), a temporary folder
-    is set for the session."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+@functools.cache
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="shared-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Where that is unset, a local master
+    gets a temporary folder, the same for the whole process, and any other an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+        found = _local_folder()
+    return found.rstrip("/")
+
+
+def frozen(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
+    """``df`` written once to the shared folder and read back. Lineage ends there, lost executors cost only the tasks that
+    they ran, and values that depend on row placement stay as they are."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._frozen_at = path
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def thaw(*tables: DataFrame) -> None:
     """Deletes frozen tables that nothing will read again."""
     for t in tables:
-        p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._frozen_at)
-        p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        delete(t.sparkSession, t._frozen_at)
 
 
-def numbered(df: DataFrame, name: str, *keys: str) -> DataFrame:
+def numbered(df: DataFrame, name: str, *keys: str | Column, what: str = "numbered") -> DataFrame:
     """Adds ``name``: 0, 1, 2, ... in the order of ``keys``, or without keys in the order of partitions and the rows in
-    them, which for one text file is that of its lines. Only the row counts of partitions come to the driver."""
+    them, which for one text file is that of its lines. A range exchange sorts in parallel; only the row counts of
+    partitions come to the driver. Frozen, for the numbers must not change on a later read."""
     placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
-    placed = frozen(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    placed = frozen(placed.withColumn("_at", F.monotonically_increasing_id()), what)
     part = F.shiftright("_at", _ROW_BITS)
     sizes = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     before, starts = 0, []
