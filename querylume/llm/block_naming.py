@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from querylume.llm.common import drop_frozen, freeze, fresh, join_hot, ranked, table
+from querylume.llm.common import drop_frozen, freeze, fresh, join_hot, numbered, table
 
 BLOCK_CHARS = 4096
 WHITE_SPACE = " \t\n\x0b\f\r"
@@ -62,7 +62,7 @@ def name_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     blocks = base.where("_t <> ''").select(F.explode(_blocks(F.col("_t"))).alias("_b")).select(_key(F.col("_b")).alias("_key"), "_b")
     held = blocks.groupBy("_key").agg(F.collect_set("_b").alias("_c"), F.count("*").alias("_n"))
     sure = F.when(F.size("_c") == 1, F.col("_key")).otherwise(F.raise_error(F.lit("two different blocks share a SHA-256 key")).cast("binary"))
-    names = ranked(held.select(sure.alias("_key"), "_n"), [F.col("_key")], "_name", "naming-blocks")
+    names = numbered(held.select(sure.alias("_key"), "_n"), "_name", F.col("_key"), what="naming-blocks")
     at0 = members.select("_sid", F.posexplode("_seq").alias("_pos", "_key"))
     cur = freeze(_named(at0, names, ["_key"], n_blocks), "naming-0")
     drop_frozen(names)
@@ -75,7 +75,7 @@ def name_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         at = F.sequence(F.lit(0), F.floor((F.size("_names") - 1) / 2).cast("int"))
         pair = lambda i: F.struct(F.get("_names", i * 2).alias("a"), F.coalesce(F.get("_names", i * 2 + 1), F.lit(-1).cast("long")).alias("b"))  # noqa: E731, B023
         pairs = many.select("_sid", F.posexplode(F.transform(at, pair)).alias("_pos", "_p")).select("_sid", "_pos", "_p.a", "_p.b")
-        names = ranked(pairs.groupBy("a", "b").agg(F.count("*").alias("_n")), [F.col("a"), F.col("b")], "_name", f"naming-pairs-{level}")
+        names = numbered(pairs.groupBy("a", "b").agg(F.count("*").alias("_n")), "_name", F.col("a"), F.col("b"), what=f"naming-pairs-{level}")
         cur = freeze(_named(pairs, names, ["a", "b"], n_blocks), f"naming-{level}")
         drop_frozen(names)
         used.append(cur)

@@ -1,34 +1,21 @@
-"""What the operators of this subpackage share: the shared folder, frozen tables, sorted integer names, joins that
-stand hot keys, and connected components."""
+"""What the operators of this subpackage share: names of their own for columns, joins that stand hot keys, and connected
+components. Tables in the shared folder are those of ``querylume.operators.storage``."""
 
 from __future__ import annotations
 
 import ctypes
 import functools
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querylume.operators.storage import delete, frozen as freeze, numbered, shared_dir, thaw as drop_frozen  # noqa: F401
+
 #: A key with more than this share of all rows is joined by broadcast; there are at most 1 / HOT_SHARE such keys.
 HOT_SHARE = 1 / 2000
-_ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or, where it is unset (local
-    tests only), a temporary folder that is then set for the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -48,28 +35,6 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
-def freeze(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back. Lineage ends there, lost executors cost only the
-    tasks that they ran, and values that depend on row placement stay as they are."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._frozen_at = path
-    return back
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def drop_frozen(*tables: DataFrame) -> None:
-    """Deletes frozen tables that nothing will read again."""
-    for t in tables:
-        delete(t.sparkSession, t._frozen_at)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of ``df`` has, in any case."""
     used = {c.lower() for c in df.columns}
@@ -85,24 +50,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ranked(df: DataFrame, keys: list[Column], name: str, what: str) -> DataFrame:
-    """Adds ``name``: 0, 1, 2, ... in the order of ``keys``. A range exchange sorts in parallel; only row counts of
-    partitions come to the driver. Frozen, for the numbers must not change on a later read."""
-    spark = df.sparkSession
-    placed = freeze(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), what)
-    sizes = {r["p"]: r["n"] for r in placed.groupBy(F.shiftright("_at", _ROW_BITS).alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, offsets = 0, []
-    for p in sorted(sizes):
-        offsets.append((p, before))
-        before += sizes[p]
-    starts = spark.createDataFrame(offsets or [(0, 0)], "_p long, _before long")
-    out = placed.withColumn("_p", F.shiftright("_at", _ROW_BITS)).join(F.broadcast(starts), "_p")  # one row a partition
-    low = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    out = out.withColumn(name, F.col("_before") + low).drop("_p", "_before", "_at")
-    out._frozen_at = placed._frozen_at
-    return out
-
-
 def join_hot(big: DataFrame, small: DataFrame, keys: list[str], count: str, total: int, any_hot: bool | None = None) -> DataFrame:
     """Inner equi join to a side with one row a key whose column ``count`` says how many rows of ``big`` have it.
     Keys with more than HOT_SHARE of ``total`` rows, of which there are at most 1 / HOT_SHARE, are broadcast: their

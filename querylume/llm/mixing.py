@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from querylume.llm.common import drop_frozen, freeze, fresh, ranked, table
+from querylume.llm.common import drop_frozen, freeze, fresh, numbered, table
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -97,7 +97,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataF
     """Adds ``_target`` to (_src, source, _total): shares of all words by weight, in code point order of the source
     with null last; a target stops at ``cap`` times the source's words and the excess goes to the others by weight,
     until none is above. Each round is one aggregate over the sources, whose two sums come to the driver."""
-    ordered = ranked(sources, [F.col("source").asc_nulls_last()], "_rank", "mix-sources")
+    ordered = numbered(sources, "_rank", F.col("source").asc_nulls_last(), what="mix-sources")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
     placed = ordered.withColumn("_weight", weight).withColumn("_cap", F.col("_total") * F.lit(float(cap)))
     all_words = placed.agg(F.sum("_total")).first()[0] or 0

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from querylume.llm.common import components, drop_frozen, freeze, fresh, join_hot, ranked, table, tidy
+from querylume.llm.common import components, drop_frozen, freeze, fresh, join_hot, numbered, table, tidy
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -201,7 +201,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, n: int = NGRAM, thresho
     sig = freeze(base.mapInArrow(_signatures(n, bands, rows), f"id {kind}, _at long, _grams long, _set binary, _bands array<long>"), "join-signatures")
     full = sig.where("_grams > 0")
     per = full.groupBy("_set").agg(F.min(F.struct("id", "_at")).alias("_rep"), F.count("*").alias("_n"), F.first("_bands").alias("_bands"), F.first("_grams").alias("_grams"))
-    classes = ranked(per, [F.col("_set")], "_class", "join-classes")
+    classes = numbered(per, "_class", F.col("_set"), what="join-classes")
 
     meets = classes.select("_class", F.explode("_bands").alias("_h"))
     buckets = freeze(meets.groupBy("_h").agg(F.min("_class").alias("_low"), F.count("*").alias("_m")).where("_m > 1"), "join-heads")
