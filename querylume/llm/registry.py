@@ -8,6 +8,7 @@ from querylume.llm.fill_middle import OP13_SQL, op13_fill_middle
 from querylume.llm.fingerprints import op2_fingerprints
 from querylume.llm.html_text import op1_html_text
 from querylume.llm.language_id import op7_language_id
+from querylume.llm.license_scan import op12_license_scan
 from querylume.llm.mixing import op10_mix_sources
 from querylume.llm.ngram_join import op9_ngram_jaccard_join
 from querylume.llm.sentencepiece_codec import op8_sentencepiece
@@ -16,7 +17,7 @@ from querylume.llm.toxicity import op6_toxicity
 
 _OPS = (
     op1_html_text, op2_fingerprints, op3_block_naming, op4_token_files, op5_backoff_lm, op6_toxicity, op7_language_id,
-    op8_sentencepiece, op9_ngram_jaccard_join, op10_mix_sources, op13_fill_middle,
+    op8_sentencepiece, op9_ngram_jaccard_join, op10_mix_sources, op12_license_scan, op13_fill_middle,
 )
 
 
