@@ -59,9 +59,8 @@ class Data:
         """The evaluator over a gold and a prediction file."""
         cat = catalog.read_catalog(self.spark, tables) if tables else self.catalog()
         pairs = evaluation.pair_lines(files.read_lines(self.spark, gold), files.read_lines(self.spark, pred))
-        known = evaluation.schemas_of(cat)
         use = lambda db: register_database(self.spark, databases or self.path("database"), db)
-        return evaluation.evaluate(pairs, cat, etype, lambda found: execution.match_all(found, known, use))
+        return evaluation.evaluate(pairs, cat, etype, lambda found: execution.match_all(found, evaluation.schemas_in(cat), use))
 
 
 def config_of(args: argparse.Namespace) -> runs.Config:

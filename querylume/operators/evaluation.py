@@ -1,16 +1,20 @@
 """Scoring predicted SQL against gold SQL: one row a pair and part, then aggregates by difficulty.
 
-Pairs stay distributed; parsing and comparison run in Arrow batches with the databases' schemas, which are metadata and
-travel with the task. A gold query that doesn't parse is an error; a prediction that doesn't parse is an empty query.
+Pairs and catalogue meet by database: a group holds some of a database's pairs and its schema, which is parsed there, in the
+task, once for all of them. The pairs of a large database are dealt into several groups, and only its schema is copied to
+each. A gold query that doesn't parse is an error; a prediction that doesn't parse is an empty query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from querylume.functions import sqlcompare as C
 from querylume.functions.sqlparse import Schema, parse, try_parse
@@ -19,69 +23,78 @@ from querylume.operators.storage import frozen, numbered
 PAIR_SCHEMA = "idx long, db_id string, level string, parsed boolean, exact boolean, part string, gold_total int, pred_total int, score int"
 
 
-def schemas_of(catalog: DataFrame) -> dict[str, tuple[dict[str, list[str]], dict[str, str]]]:
-    """For each database its tables with their columns, and the canonical ids of its foreign key columns."""
-    out: dict[str, tuple[dict, dict]] = {}
-    by_db: dict[str, list] = {}
-    for r in catalog.orderBy("db_id", "col_idx").collect():  # schema metadata
-        by_db.setdefault(r["db_id"], []).append(r)
-    for db, rows in by_db.items():
-        tables: dict[str, list[str]] = {}
-        for r in rows:
-            if r["column"] != "*":
-                tables.setdefault(r["table"], []).append(r["column"])
-        columns = [(r["table"], r["column"]) for r in rows]
-        at = {(t.lower(), c.lower()): i for i, (t, c) in enumerate(columns)}
-        pairs = [(i, at[r["fk_table"].lower(), r["fk_column"].lower()]) for i, r in enumerate(rows) if r["fk_table"]]
-        out[db] = tables, C.key_groups(columns, pairs)
-    return out
+#: Pairs of a database that one group holds on average.
+GROUP = 2000
+_CATALOG = ("col_idx", "table", "column", "fk_table", "fk_column")
+
+
+def schema_from(rows: list[dict]) -> tuple[dict[str, list[str]], dict[str, str]]:
+    """Of one database's catalogue rows: its tables with their columns, and the canonical ids of its foreign key columns."""
+    rows = sorted(rows, key=lambda r: r["col_idx"])
+    tables: dict[str, list[str]] = {}
+    for r in rows:
+        if r["column"] != "*":
+            tables.setdefault(r["table"], []).append(r["column"])
+    columns = [(r["table"], r["column"]) for r in rows]
+    at = {(t.lower(), c.lower()): i for i, (t, c) in enumerate(columns)}
+    return tables, C.key_groups(columns, [(i, at[r["fk_table"].lower(), r["fk_column"].lower()]) for i, r in enumerate(rows) if r["fk_table"]])
+
+
+def schemas_in(catalog: DataFrame) -> Callable[[str], tuple[dict[str, list[str]], dict[str, str]]]:
+    """For the driver, which plans queries: the schema of one database when it is asked for."""
+    return lambda db: schema_from([r.asDict() for r in catalog.where(F.col("db_id") == db).select(*_CATALOG).collect()])  # one schema
+
+
+def with_schemas(rows: DataFrame, catalog: DataFrame, each: Callable[[list[dict], Schema, dict[str, str]], list[dict]], schema: str, group: int = GROUP) -> DataFrame:
+    """``each`` of the rows (idx, db_id, ...) of a group, with their database's schema and keys. A database with more than
+    ``group`` rows has several groups, each with the schema; rows of a database that isn't in the catalogue are an error."""
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    parts = rows.groupBy("db_id").agg(F.ceil(F.count("*") / group).alias("_parts"))
+    dealt = rows.join(parts, "db_id").withColumn("_part", F.pmod(F.xxhash64("idx"), "_parts")).drop("_parts")
+    copied = catalog.select("db_id", *_CATALOG).join(parts, "db_id").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts").withColumnRenamed("db_id", "_db")
+
+    def run(key: tuple, some: pa.Table, columns: pa.Table) -> pa.Table:
+        if some.num_rows and not columns.num_rows:
+            raise KeyError(f"the catalogue has no database {key[0].as_py()}")
+        tables, keys = schema_from(columns.to_pylist())
+        out = each(some.to_pylist(), Schema(tables), keys) if some.num_rows else []
+        return pa.Table.from_pylist(out, schema=kinds)
+
+    return dealt.groupBy("db_id", "_part").cogroup(copied.groupBy("_db", "_copy")).applyInArrow(run, schema)
 
 
 def _normal(q, schema: Schema, keys: dict[str, str]):
     return C.canonical(C.without_values(q), C.usable_columns(q.tables, schema), keys)
 
 
-def _compare(schemas):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready = {db: (Schema(tables), keys) for db, (tables, keys) in schemas.items()}
-        for pdf in batches:
-            rows = []
-            for idx, db, gold_sql, pred_sql in zip(pdf["idx"], pdf["db_id"], pdf["gold"], pdf["pred"]):
-                schema, keys = ready[db]
-                gold, pred = parse(gold_sql, schema), try_parse(pred_sql, schema)
-                level, parsed = C.hardness(gold), pred is not None
-                gold, pred = _normal(gold, schema, keys), _normal(pred or C.EMPTY, schema, keys)
-                same = C.exact(pred, gold)
-                rows += [(idx, db, level, parsed, same, part, g, p, C.points(g, p, n)) for part, (g, p, n) in C.partial_counts(pred, gold).items()]
-            yield pd.DataFrame(rows, columns=["idx", "db_id", "level", "parsed", "exact", "part", "gold_total", "pred_total", "score"])
-
-    return run
+def _compare(rows: list[dict], schema: Schema, keys: dict[str, str]) -> list[dict]:
+    out = []
+    for r in rows:
+        gold, pred = parse(r["gold"], schema), try_parse(r["pred"], schema)
+        head = {"idx": r["idx"], "db_id": r["db_id"], "level": C.hardness(gold), "parsed": pred is not None}
+        gold, pred = _normal(gold, schema, keys), _normal(pred or C.EMPTY, schema, keys)
+        head["exact"] = C.exact(pred, gold)
+        out += [head | {"part": part, "gold_total": g, "pred_total": p, "score": C.points(g, p, n)} for part, (g, p, n) in C.partial_counts(pred, gold).items()]
+    return out
 
 
 def compare(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
     """(idx, db_id, gold, pred) to one row for each pair and part."""
-    return pairs.select("idx", "db_id", "gold", "pred").mapInPandas(_compare(schemas_of(catalog)), PAIR_SCHEMA)
+    return with_schemas(pairs.select("idx", "db_id", "gold", "pred"), catalog, _compare, PAIR_SCHEMA)
 
 
-def _parsed(schemas):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        ready = {db: Schema(tables) for db, (tables, _) in schemas.items()}
-        for pdf in batches:
-            found = [try_parse(s, ready[db]) for s, db in zip(pdf["sql"], pdf["db_id"])]
-            facts = [C.counts(q) if q else (None, None, None) for q in found]
-            yield pd.DataFrame({
-                "idx": pdf["idx"], "db_id": pdf["db_id"], "ast": [json.dumps(q.to_dict()) if q else None for q in found],
-                "level": [C.hardness(q) if q else None for q in found], "clauses": pd.array([f[0] for f in facts], "Int64"), "below": pd.array([f[1] for f in facts], "Int64"), "others": pd.array([f[2] for f in facts], "Int64"),
-            })
-
-    return run
+def _parsed(rows: list[dict], schema: Schema, _: dict[str, str]) -> list[dict]:
+    out = []
+    for r in rows:
+        q = try_parse(r["sql"], schema)
+        clauses, below, others = C.counts(q) if q else (None, None, None)
+        out.append({"idx": r["idx"], "db_id": r["db_id"], "ast": json.dumps(q.to_dict()) if q else None, "level": C.hardness(q) if q else None, "clauses": clauses, "below": below, "others": others})
+    return out
 
 
 def parse_all(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """(idx, db_id, sql) to the tree as JSON, the difficulty and its counts; nulls where the text doesn't parse."""
-    return queries.select("idx", "db_id", "sql").mapInPandas(_parsed(schemas_of(catalog)), "idx long, db_id string, ast string, level string, clauses long, below long, others long")
+    return with_schemas(queries.select("idx", "db_id", "sql"), catalog, _parsed, "idx long, db_id string, ast string, level string, clauses long, below long, others long")
 
 
 def _share(of: Column, where: Column) -> Column:

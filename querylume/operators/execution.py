@@ -2,13 +2,18 @@
 
 A column's key is its unit in the select list without the outer aggregate, foreign key columns by their group; of columns
 with one key the last counts, and ``*`` stands for the first column. Order counts only where the gold query has ORDER BY,
-since Spark promises none otherwise; then rows are compared as lists, at most MAX_ORDERED of them, else as multisets, in
-Spark: the two sides are united with opposite signs, and the rows whose signs don't add up to zero are counted.
+since Spark promises none otherwise.
+
+Both comparisons stay in Spark, and as many pairs as a batch has are one job. Without order, the two sides are united with
+opposite signs, and the rows whose signs don't add up to zero are counted. In order, every part of a result gives its number
+of rows and an order-sensitive hash: the sum of its rows' hashes, each times a power of a base by its place in the part. Such
+sums are put together in the order of the parts, whatever the bounds of the parts are, so only they come to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Iterable
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +23,10 @@ from querylume.functions import sqlcompare as C
 from querylume.functions.dialect import to_spark_sql
 from querylume.functions.sqlparse import Query, Schema, try_parse
 
-MAX_ORDERED = 1_000_000
+#: The order-sensitive hash is two sums modulo primes, of rows' hashes with seeds of their own; different results of one
+#: length agree in both with a chance of about 2 ** -62.
+_MODULI = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 69_069_069))
+_ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 #: Pairs whose comparisons are one Spark job.
 BATCH = 16
 
@@ -62,14 +70,36 @@ def _prepared(spark: SparkSession, gold: str, pred: str, tables: dict[str, list[
     return left, right, bool(want.order)
 
 
-def _in_order(left: DataFrame, right: DataFrame) -> bool:
-    rows = right.limit(MAX_ORDERED + 1).collect()
-    if len(rows) > MAX_ORDERED:
-        raise ValueError("an ordered result with more rows than MAX_ORDERED")
-    try:
-        return [tuple(r) for r in left.limit(MAX_ORDERED + 1).collect()] == [tuple(r) for r in rows]
-    except PySparkException:
-        return False
+def _power(base: int, prime: int, place: str) -> str:
+    """SQL of base ** place modulo prime, by the bits of place."""
+    out, factor = "1L", base % prime
+    for bit in range(_ROW_BITS):
+        out = f"({out} * if(shiftright({place}, {bit}) & 1 = 1, {factor}L, 1L) % {prime}L)"
+        factor = factor * factor % prime
+    return out
+
+
+_SUMS = [f"sum(_h{i} * {_power(base, m, '_n')} % {m}L) % {m}L" for i, (m, base) in enumerate(_MODULI)]
+
+
+def part_sums(df: DataFrame) -> DataFrame:
+    """A row for each part of a result that has rows: part, n, h0, h1."""
+    # hashes skip nulls, so whether a value is null is hashed beside it
+    each = ", ".join(f"`{c}` IS NULL, `{c}`" for c in (c.replace("`", "``") for c in df.columns))
+    hashed = [f"pmod(xxhash64({i}, {each}), {m}L) AS _h{i}" for i, (m, _) in enumerate(_MODULI)]
+    rows = df.selectExpr(*hashed, "monotonically_increasing_id() AS _at")
+    rows = rows.selectExpr("_h0", "_h1", f"shiftright(_at, {_ROW_BITS}) AS part", f"_at & {(1 << _ROW_BITS) - 1}L AS _n")
+    return rows.groupBy("part").agg(F.count("*").alias("n"), *[F.expr(x).alias(f"h{i}") for i, x in enumerate(_SUMS)])
+
+
+def folded(parts: Iterable[tuple[int, int, int, int]]) -> tuple[int, int, int]:
+    """The number of rows and the hashes of a whole result, from its parts (part, n, h0, h1)."""
+    n, sums = 0, [0] * len(_MODULI)
+    for _, rows, *hashes in sorted(parts):
+        for i, (m, base) in enumerate(_MODULI):
+            sums[i] = (sums[i] + hashes[i] * pow(base, n, m)) % m
+        n += rows
+    return n, *sums
 
 
 def _unlike(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -78,9 +108,25 @@ def _unlike(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.groupBy(*left.columns).agg(F.sum("_s").alias("_d")).where("_d <> 0").agg(F.count("*").alias("n"))
 
 
-def _as_sets(left: DataFrame, right: DataFrame) -> bool:
+def _job(idx: int, left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
+    """What tells whether a pair's results agree, in one form for all pairs: idx, side, part, n, h0, h1."""
+    if ordered:
+        sides = [part_sums(df).select(F.lit(idx).cast("long").alias("idx"), F.lit(i).alias("side"), "part", "n", "h0", "h1") for i, df in enumerate((left, right))]
+        return sides[0].union(sides[1])
+    zero = F.lit(0).cast("long")
+    return _unlike(left, right).select(F.lit(idx).cast("long").alias("idx"), F.lit(-1).alias("side"), zero.alias("part"), "n", zero.alias("h0"), zero.alias("h1"))
+
+
+def _agree(rows: list) -> bool:
+    if rows and rows[0]["side"] < 0:
+        return rows[0]["n"] == 0
+    sides = [folded((r["part"], r["n"], r["h0"], r["h1"]) for r in rows if r["side"] == i) for i in (0, 1)]
+    return sides[0] == sides[1]
+
+
+def _one(left: DataFrame, right: DataFrame, ordered: bool) -> bool:
     try:
-        return _unlike(left, right).first()["n"] == 0
+        return _agree(_job(0, left, right, ordered).collect())
     except PySparkException:
         right.write.format("noop").mode("overwrite").save()  # an error of the gold query is raised here
         return False
@@ -90,47 +136,44 @@ def matches(spark: SparkSession, gold: str, pred: str, tables: dict[str, list[st
     """False where the prediction fails, as it is analysed or as it runs; an error where the gold query does. ``keys``
     has the canonical ids of foreign key columns."""
     found = _prepared(spark, gold, pred, tables, keys or {})
-    return found if isinstance(found, bool) else _in_order(*found[:2]) if found[2] else _as_sets(*found[:2])
-
-
-def match_all(pairs: DataFrame, databases: dict[str, tuple[dict[str, list[str]], dict[str, str]]], use: Callable[[str], None] | None = None) -> DataFrame:
-    """(idx, db_id, gold, pred) to (idx, exec). ``databases`` has each database's tables and keys, as schemas_of gives
-    them; ``use`` makes a database's tables the session's.
-
-    Queries can only be planned on the driver, so the pairs, a benchmark's texts, come there; their results stay in Spark.
-    BATCH comparisons are one job. A batch in which a query fails is run again pair by pair."""
-    spark, out = pairs.sparkSession, []
-    by_db: dict[str, list] = {}
-    for r in pairs.select("idx", "db_id", "gold", "pred").orderBy("idx").collect():
-        by_db.setdefault(r["db_id"], []).append(r)
-    for db, rows in by_db.items():
-        if use:
-            use(db)
-        tables, keys = databases[db]
-        waiting: list[tuple[int, DataFrame, DataFrame]] = []
-
-        def run(some: list[tuple[int, DataFrame, DataFrame]]) -> None:
-            if not some:
-                return
-            one = None
-            for idx, left, right in some:
-                row = _unlike(left, right).select(F.lit(idx).cast("long").alias("idx"), (F.col("n") == 0).alias("same"))
-                one = row if one is None else one.union(row)
+    return found if isinstance(found, bool) else _one(*found)
+
+
+def match_all(pairs: DataFrame, schema_of: Callable[[str], tuple[dict[str, list[str]], dict[str, str]]], use: Callable[[str], None] | None = None) -> DataFrame:
+    """(idx, db_id, gold, pred) to (idx, exec). ``schema_of`` gives a database's tables and keys, and ``use`` makes its tables
+    the session's; both are called once a database.
+
+    Queries can only be planned on the driver, so the pairs, a benchmark's texts, pass through it, a partition at a time;
+    their results stay in Spark. BATCH comparisons are one job. A batch in which a query fails is run again pair by pair."""
+    spark, out, db, known = pairs.sparkSession, [], None, ({}, {})
+    waiting: list[tuple[int, DataFrame, DataFrame, bool]] = []
+
+    def run() -> None:
+        if waiting:
             try:
-                out.extend((r["idx"], r["same"]) for r in one.collect())
+                rows = functools.reduce(DataFrame.union, [_job(*w) for w in waiting]).collect()
             except PySparkException:
-                out.extend((idx, _as_sets(left, right)) for idx, left, right in some)
-
-        for r in rows:
-            found = _prepared(spark, r["gold"], r["pred"], tables, keys)
-            if isinstance(found, bool):
-                out.append((r["idx"], found))
-            elif found[2]:
-                out.append((r["idx"], _in_order(*found[:2])))
+                out.extend((idx, _one(*rest)) for idx, *rest in waiting)
             else:
-                waiting.append((r["idx"], *found[:2]))
-                if len(waiting) == BATCH:
-                    run(waiting)
-                    waiting = []
-        run(waiting)
+                by: dict[int, list] = {w[0]: [] for w in waiting}
+                for r in rows:
+                    by[r["idx"]].append(r)
+                out.extend((idx, _agree(found)) for idx, found in by.items())
+            waiting.clear()
+
+    for r in pairs.select("idx", "db_id", "gold", "pred").orderBy("db_id", "idx").toLocalIterator():
+        if r["db_id"] != db:
+            run()  # plans are bound to the tables of the database they were made with
+            db = r["db_id"]
+            known = schema_of(db)
+            if use:
+                use(db)
+        found = _prepared(spark, r["gold"], r["pred"], *known)
+        if isinstance(found, bool):
+            out.append((r["idx"], found))
+        else:
+            waiting.append((r["idx"], *found))
+            if len(waiting) == BATCH:
+                run()
+    run()
     return spark.createDataFrame(out, "idx long, exec boolean")

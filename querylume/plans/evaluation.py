@@ -121,7 +121,7 @@ def executed(spark, d):
 
     def run(found):
         register_views(spark, d, STAR)
-        return execution.match_all(found, evaluation.schemas_of(catalog.declared(spark)))
+        return execution.match_all(found, evaluation.schemas_in(catalog.declared(spark)))
 
     return run
 
@@ -196,6 +196,32 @@ def exec_match(spark, d):
 ORACLE["exec_match"] = _PAIR_SQL + " SELECT idx, exec FROM v"
 
 
+_LINES = "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem"
+#: Ordered pairs over the largest table, and each side's rows and order for the SQL.
+ORDERED = [
+    (f"{_LINES} ORDER BY l_orderkey, l_linenumber", f"{_LINES} ORDER BY l_orderkey, l_linenumber"),
+    (f"{_LINES} ORDER BY l_orderkey, l_linenumber", "SELECT l_quantity, l_linenumber, l_orderkey FROM lineitem ORDER BY l_orderkey, l_linenumber"),
+    (f"{_LINES} ORDER BY l_orderkey, l_linenumber", f"{_LINES} WHERE l_orderkey < (SELECT max(o_orderkey) FROM orders) ORDER BY l_orderkey, l_linenumber"),  # but the last order's
+    (f"{_LINES} ORDER BY l_orderkey, l_linenumber", f"{_LINES} ORDER BY l_orderkey DESC, l_linenumber"),
+    (f"{_LINES} ORDER BY l_orderkey DESC, l_linenumber DESC", f"{_LINES} WHERE l_quantity > 0 ORDER BY l_orderkey DESC, l_linenumber DESC"),
+]
+
+
+@_keep
+def ordered_exec_match(spark, d):
+    """Execution match of ordered results with as many rows as lineitem has."""
+    found = spark.createDataFrame([(i, "star", g, p) for i, (g, p) in enumerate(ORDERED)], "idx long, db_id string, gold string, pred string")
+    return executed(spark, d)(found)
+
+
+def _rows_in_order(sql: str) -> str:
+    body, order = sql.split(" FROM ", 1)[1].split(" ORDER BY ")
+    return f"(SELECT list((l_orderkey, l_linenumber, l_quantity) ORDER BY {order}) FROM {body})"
+
+
+ORACLE["ordered_exec_match"] = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS idx, {_rows_in_order(g)} = {_rows_in_order(p)} AS exec" for i, (g, p) in enumerate(ORDERED))
+
+
 @_keep
 def score_rollup(spark, d):
     return evaluation.rollup_scores(_parts(spark))

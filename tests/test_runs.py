@@ -9,6 +9,8 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from querylume import __main__ as cli
@@ -125,7 +127,7 @@ def test_errors_of_gold_queries_are_raised(spark):
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         execution.matches(spark, "SELECT id FROM ge WHERE bad = 1", "SELECT id FROM ge", t)
     rows = [(0, "d", "SELECT id FROM ge", "SELECT id FROM ge WHERE bad = 1"), (1, "d", "SELECT id FROM ge", "SELECT id FROM ge"), (2, "d", "SELECT id FROM ge ORDER BY id", "SELECT id FROM ge ORDER BY id"), (3, "d", "SELECT id FROM ge", "oops")]
-    got = execution.match_all(spark.createDataFrame(rows, "idx long, db_id string, gold string, pred string"), {"d": (t, {})}).collect()
+    got = execution.match_all(spark.createDataFrame(rows, "idx long, db_id string, gold string, pred string"), lambda db: (t, {})).collect()
     assert {r["idx"]: r["exec"] for r in got} == {0: False, 1: True, 2: True, 3: False}
     with pytest.raises(ValueError):
         execution.matches(spark, "SELECT id FROM ge WHERE id IS NULL", "SELECT id FROM ge", t)
@@ -197,3 +199,46 @@ def test_token_counters(spark):
     for p in (path, public.path("byte_bpe_50k.tiktoken")):
         assert [r[0] for r in df.orderBy("i").select(file_counter(p)(F.col("t"))).collect()] == want
     assert [r[0] for r in df.where("t is not null").orderBy("i").select(best_counter(None, "/nowhere")(F.col("t"))).collect()] == [4, 0, 3]
+
+
+def brute_sums(rows, primes=execution._MODULI):
+    return len(rows), *[sum(r[i] * pow(base, at, m) for at, r in enumerate(rows)) % m for i, (m, base) in enumerate(primes)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**31 - 20), st.integers(0, 2**31 - 20)), max_size=30), st.lists(st.integers(0, 30), max_size=5))
+def test_folded_hash_ignores_the_bounds_of_parts(rows, cuts):
+    edges = [0, *sorted(min(c, len(rows)) for c in cuts), len(rows)]
+    parts = [(k, *brute_sums(rows[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+    assert execution.folded(reversed(parts)) == brute_sums(rows)
+
+
+def test_ordered_results(spark):
+    n = 40_000
+    spark.range(n).select("id", (F.col("id") % 7).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("x")).repartition(13).createOrReplaceTempView("ordered_rows")
+    t = {"ordered_rows": ["id", "k", "x"]}
+    same = lambda a, b: execution.matches(spark, a, b, t)
+    gold = "SELECT id, x FROM ordered_rows ORDER BY id"
+    assert same(gold, gold) and same(gold, "SELECT x, id FROM ordered_rows ORDER BY id")
+    assert same(gold, f"SELECT id, x FROM ordered_rows ORDER BY id LIMIT {n}")  # parts with other bounds
+    assert not same(gold, "SELECT id, x FROM ordered_rows ORDER BY id DESC")
+    assert not same(gold, f"SELECT id, x FROM ordered_rows WHERE id < {n - 1} ORDER BY id")  # without the last row
+    assert not same(gold, "SELECT x, k FROM ordered_rows ORDER BY id")
+    sums = lambda df: execution.folded(map(tuple, execution.part_sums(df).select("part", "n", "h0", "h1").collect()))
+    one = spark.range(1)
+    a, b = (one.selectExpr(x, y) for x, y in (("null AS x", "1 AS y"), ("1 AS x", "null AS y")))
+    assert sums(a) != sums(b) and sums(one.where("id > 0")) == (0, 0, 0)
+    last = spark.range(n).select("id", "id")
+    assert sums(last) != sums(spark.range(n).select("id", F.when(F.col("id") == n - 1, -1).otherwise(F.col("id")).alias("x")))
+
+
+def test_pairs_of_a_large_database_are_dealt(spark):
+    from querylume.plans.evaluation import CASES, pairs
+
+    cat = catalog.declared(spark)
+    many = pairs(spark)
+    whole = sorted(map(tuple, evaluation.compare(many, cat).collect()))
+    dealt = evaluation.with_schemas(many, cat, evaluation._compare, evaluation.PAIR_SCHEMA, group=5)
+    assert sorted(map(tuple, dealt.collect())) == whole and len(whole) == 10 * len(CASES)
+    with pytest.raises(Exception, match="the catalogue has no database"):
+        evaluation.compare(many.withColumn("db_id", F.lit("unknown")), cat.where("db_id <> 'unknown'")).collect()
