@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from querylume.functions.vectors import rank_within, top_k
+from querylume.functions.vectors import top_k
 from querylume.operators import linking
 from querylume.sources.tables import table
 
@@ -28,21 +28,21 @@ q AS (SELECT * FROM e WHERE vec_id % 100 = 0),
 s AS (SELECT q.label AS q_id, q.vec_id AS phrase, e.vec_id AS name, e.vec_id % 7 AS tbl, round(list_cosine_similarity(q.v, e.v), 9) AS score FROM q JOIN e ON q.label = e.label AND q.vec_id <> e.vec_id)"""
 
 
-def _scored(spark, d, every=100):
-    """Phrases (every vector whose id is divisible by ``every``) against the columns of their database."""
-    e = table(spark, d, "embeddings").select(F.col("label").alias("db_id"), "vec_id", F.col("embedding").alias("emb"))
-    phrases = e.where(f"vec_id % {every} = 0").select("db_id", F.col("db_id").alias("q_id"), F.col("vec_id").alias("phrase"), "emb")
-    items = e.select("db_id", F.col("vec_id").alias("name"), (F.col("vec_id") % 7).alias("table"), F.col("vec_id").alias("ord"), "emb")
-    return linking.score(phrases, items).where("phrase <> name")
+def _sides(spark, d, every=100):
+    """Phrases (every vector whose id is divisible by ``every``) and the columns of their database; none meets itself."""
+    e = table(spark, d, "embeddings").select(F.col("label").alias("db_id"), "vec_id", F.col("vec_id").alias("self"), F.col("embedding").alias("emb"))
+    phrases = e.where(f"vec_id % {every} = 0").select("db_id", F.col("db_id").alias("q_id"), F.col("vec_id").alias("phrase"), "self", "emb")
+    return phrases, e.select("db_id", F.col("vec_id").alias("name"), (F.col("vec_id") % 7).alias("table"), F.col("vec_id").alias("ord"), "self", "emb")
 
 
-def _tables(scored, k):
-    return linking.candidate_tables(scored.select("q_id", "db_id", F.col("table").alias("name"), F.col("table").alias("ord"), "score"), k)
+def _tables(phrases, columns, k):
+    """Tables by the vectors of their columns."""
+    return linking.candidate_tables(phrases, columns.select("db_id", F.col("table").alias("name"), F.col("table").alias("ord"), "self", "emb"), k)
 
 
 @_query(_SQL + " SELECT phrase, name, round(score, 6) AS score FROM s")
 def cosine_pairs(spark, d):
-    return _scored(spark, d).select("phrase", "name", F.round("score", 6).alias("score"))
+    return linking.nearest(*_sides(spark, d), 0).select("phrase", "name", F.round("score", 6).alias("score"))
 
 
 @_query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS q_id, e.vec_id AS id, round(list_cosine_similarity(q.v, e.v), 12) AS score
@@ -54,12 +54,12 @@ def topk_neighbors(spark, d):
 
 @_query(_SQL + ", t AS (SELECT q_id, tbl, max(score) AS score FROM s GROUP BY 1, 2) SELECT q_id, tbl, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY q_id ORDER BY t.score DESC, tbl) AS INTEGER) AS rank FROM t QUALIFY rank <= 3")
 def maxpool_topk(spark, d):
-    return _tables(_scored(spark, d), 3).select("q_id", F.col("name").alias("tbl"), F.round("score", 6).alias("score"), "rank")
+    return _tables(*_sides(spark, d), 3).select("q_id", F.col("name").alias("tbl"), F.round("score", 6).alias("score"), "rank")
 
 
 @_query(_SQL.replace("% 100", "% 5") + ", b AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY score DESC, name) AS r FROM s) SELECT phrase, name FROM b WHERE r = 1 AND score > 0.35")
 def threshold_argmax(spark, d):
-    best = rank_within(_scored(spark, d, 5), ["phrase"], 1, ["name"])
+    best = linking.nearest(*_sides(spark, d, 5), 1)
     return best.where(F.col("score") > linking.THRESHOLD).select("phrase", "name")
 
 
@@ -77,8 +77,8 @@ g AS (SELECT s.*, kt, row_number() OVER (PARTITION BY kt, s.q_id, phrase ORDER B
 
 @_query(_SQL + _STAGES + " SELECT DISTINCT q_id, tbl, name FROM g WHERE kt = 2 AND cr <= 3")
 def two_stage_retrieval(spark, d):
-    scored = _scored(spark, d)
-    return linking.candidate_columns(scored, _tables(scored, 2), 3).select("q_id", F.col("table").alias("tbl"), "name")
+    sides = _sides(spark, d)
+    return linking.candidate_columns(*sides, _tables(*sides, 2), 3).select("q_id", F.col("table").alias("tbl"), "name")
 
 
 _SWEEP = _SQL + _STAGES + """, c AS (SELECT DISTINCT kt, kc, q_id, name FROM g JOIN (VALUES (1), (3), (5), (7), (10)) k(kc) ON cr <= kc),
@@ -90,14 +90,11 @@ f AS (SELECT kt, kc, round(r, 6) AS recall, round(p, 6) AS precision, round(CASE
 
 def _sweep(spark, d):
     """All grid points from one scoring: columns are ranked once per table count, and each point is a filter on ranks."""
-    scored = _scored(spark, d)
-    ranks = _tables(scored, max(GRID_TABLES)).select("q_id", F.col("name").alias("table"), F.col("rank").alias("tr"))
-    kt = spark.createDataFrame([(k,) for k in GRID_TABLES], "kt int")
+    phrases, columns = _sides(spark, d)
     kc = spark.createDataFrame([(k,) for k in GRID_COLUMNS], "kc int")
-    inside = scored.join(ranks, ["q_id", "table"]).join(F.broadcast(kt), F.col("tr") <= F.col("kt"))
-    best = rank_within(inside, ["kt", "q_id", "phrase"], max(GRID_COLUMNS), ["name"])
+    best = linking.nearest(phrases, columns, max(GRID_COLUMNS), _tables(phrases, columns, max(GRID_TABLES)), GRID_TABLES).withColumnRenamed("cut", "kt")
     found = best.join(F.broadcast(kc), F.col("rank") <= F.col("kc")).select("kt", "kc", "q_id", "name").distinct()
-    asked = scored.select("q_id").distinct()
+    asked = phrases.select("q_id").distinct()
     gold = table(spark, d, "embeddings").where("vec_id % 4 = 0").select(F.col("label").alias("q_id"), F.col("vec_id").alias("name")).join(asked, "q_id", "left_semi")
     n = gold.groupBy("q_id").agg(F.count("*").alias("n_gold"))
     met = found.join(gold.withColumn("hit", F.lit(1)), ["q_id", "name"], "left").groupBy("kt", "kc", "q_id").agg(F.count("hit").alias("h"), F.count("*").alias("k"))

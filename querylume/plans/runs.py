@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from querylume.functions import render
 from querylume.functions import text as T
-from querylume.functions.vectors import hashed_embedding, rank_within, top_k
+from querylume.functions.vectors import hashed_embedding, top_k
 from querylume.operators import graph, linking
 from querylume.operators.storage import frozen
 from querylume.sources import catalog as cat
@@ -75,14 +75,14 @@ def link(questions: DataFrame, catalog: DataFrame, cfg: Config, paths: DataFrame
         order = nodes.groupBy("db_id", "table").agg(F.min("ord").alias("ord"))
         items = named.join(order, ["db_id", "table"]).select("db_id", F.col("table").alias("name"), "ord", cfg.embed(text).alias("emb"))
         asked = questions.select("q_id", "db_id", F.col("question").alias("phrase"), cfg.embed(F.concat(F.lit("query "), "question")).alias("emb"))
-        best = linking.candidate_tables(linking.score(asked, items), cfg.top_k_tables or 3)
+        best = linking.candidate_tables(asked, items, cfg.top_k_tables or 3)
         hits = best.select("q_id", "db_id", F.concat_ws(".", "db_id", "name").alias("node_id"), F.col("rank").alias("ord"))
         wide = graph.expand_hits(hits, paths)
         found = wide.select("q_id", "db_id", T.without_database(F.col("node_id")).alias("table")).join(nodes, ["db_id", "table"]).select("q_id", "db_id", "node_id")
     else:
         phrases = _phrases(questions, cfg)
-        best = linking.candidate_tables(linking.score(phrases, _table_items(nodes, cfg)), cfg.top_k_tables)
-        columns = linking.candidate_columns(linking.score(phrases, _column_items(nodes, cfg)), best, cfg.top_k_columns, cfg.threshold)
+        best = linking.candidate_tables(phrases, _table_items(nodes, cfg), cfg.top_k_tables)
+        columns = linking.candidate_columns(phrases, _column_items(nodes, cfg), best, cfg.top_k_columns, cfg.threshold)
         hits = graph.hits_by_name(columns.select("q_id", "db_id", F.col("name").alias("column")), nodes)
         found = graph.expand_hits(hits, paths).select("q_id", "db_id", "node_id")
     return found.union(everything.join(found.select("q_id").distinct(), "q_id", "left_anti"))
@@ -192,11 +192,10 @@ def sweep(questions: DataFrame, catalog: DataFrame, cfg: Config, tables: tuple[i
     if paths is None:
         paths = paths_of(catalog)
     phrases = _phrases(questions, cfg)
-    ranks = linking.candidate_tables(linking.score(phrases, _table_items(nodes, cfg)), max(tables)).select("q_id", F.col("name").alias("table"), F.col("rank").alias("_tr"))
+    ranks = linking.candidate_tables(phrases, _table_items(nodes, cfg), max(tables))
     kt = F.broadcast(spark.createDataFrame([(k,) for k in tables], "kt int"))
     kc = F.broadcast(spark.createDataFrame([(k,) for k in columns], "kc int"))
-    inside = linking.score(phrases, _column_items(nodes, cfg)).join(ranks, ["q_id", "table"]).join(kt, F.col("_tr") <= F.col("kt"))
-    best = rank_within(inside, ["kt", "q_id", "phrase"], max(columns), ["ord"]).select("kt", "q_id", "db_id", "name", "rank")
+    best = linking.nearest(phrases, _column_items(nodes, cfg), max(columns), ranks, tables).select(F.col("cut").alias("kt"), "q_id", "db_id", "name", "rank")
     names = best.groupBy("kt", "q_id", "db_id", "name").agg(F.min("rank").alias("rank")).join(kc, F.col("rank") <= F.col("kc"))
     point = F.concat_ws("|", "q_id", "kt", "kc")
     hits = graph.hits_by_name(names.select(point.alias("q_id"), "db_id", F.col("name").alias("column")), nodes)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from querylume.functions import text as T
@@ -54,10 +55,54 @@ def test_paths_are_symmetric_and_smallest(spark):
 
 
 def test_threshold_is_strict_and_zero_k_means_best_above_it(spark):
-    scored = spark.createDataFrame([(1, "d", "p", "t", "a", 0, 0.35), (1, "d", "q", "t", "b", 1, 0.36), (1, "d", "q", "t", "c", 2, 0.9)], "q_id int, db_id string, phrase string, table string, name string, ord int, score double")
-    tables = spark.createDataFrame([(1, "t")], "q_id int, name string")
-    assert [r["name"] for r in linking.candidate_columns(scored, tables, 0).collect()] == ["c"]
-    assert {r["name"] for r in linking.candidate_columns(scored, tables, 5).collect()} == {"a", "b", "c"}
+    at = lambda c: [c, (1 - c * c) ** 0.5]  # noqa: E731  a unit vector whose cosine with (1, 0) is c
+    phrases = spark.createDataFrame([(1, "d", "p", [1.0, 0.0]), (1, "d", "q", [0.0, 1.0])], "q_id int, db_id string, phrase string, emb array<double>")
+    elements = spark.createDataFrame([("d", "t", "a", 0, at(0.35)), ("d", "t", "b", 1, [0.0, 0.0]), ("d", "t", "c", 2, at(0.2))], "db_id string, table string, name string, ord int, emb array<double>")
+    tables = spark.createDataFrame([(1, "t", 1)], "q_id int, name string, rank int")
+    assert [r["name"] for r in linking.candidate_columns(phrases, elements, tables, 0).collect()] == ["c"]
+    assert {r["name"] for r in linking.candidate_columns(phrases, elements, tables, 5).collect()} == {"a", "b", "c"}
+
+
+def brute_nearest(phrases, elements, k, tables, cuts):
+    out, unit = set(), lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) else v
+    for q, db, phrase, own, emb in phrases:
+        for cut in cuts:
+            met = [(-round(float(unit(np.array(emb)) @ unit(np.array(e))), 9), ord_, name) for d, t, name, ord_, s, e in elements if d == db and s != own and tables.get((q, t), 99) <= cut]
+            out |= {(cut, q, phrase, name, rank + 1) for rank, (_, _, name) in enumerate(sorted(met)[: k or None])}
+    return out
+
+
+def test_blocks_by_brute_force(spark, monkeypatch):
+    """Many small groups give what all pairs give, whatever the blocks; ties go by ord."""
+    rng = np.random.default_rng(7)
+    vector = lambda: [float(x) for x in rng.integers(-2, 3, 3)]  # noqa: E731  few values, so many ties
+    elements = [(db, f"t{i % 5}", f"{db}{i}", i, i, vector()) for db in "ab" for i in range(40)]
+    phrases = [(q, "ab"[q % 2], f"p{i}", i, vector()) for q in range(9) for i in range(q * 4 % 17)]
+    tables = {(q, f"t{(q + j) % 5}"): j + 1 for q in range(9) for j in range(3)}
+    p = spark.createDataFrame(phrases, "q_id int, db_id string, phrase string, self int, emb array<double>")
+    e = spark.createDataFrame(elements, "db_id string, table string, name string, ord int, self int, emb array<double>")
+    t = spark.createDataFrame([(q, n, r) for (q, n), r in tables.items()], "q_id int, name string, rank int")
+    everything = {(q, f"t{j}"): 1 for q in range(9) for j in range(5)}
+    pooled = {}
+    for q, db, _, own, emb in phrases:
+        for d, name, _, _, s, x in elements:
+            if d == db and s != own:
+                a, b = np.array(emb), np.array(x)
+                score = round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 9) if a.any() and b.any() else 0.0
+                best = pooled.setdefault(q, {}).setdefault(name, [-9.0, int(name[1])])
+                best[0] = max(best[0], score)
+    for size in (10, 10_000):
+        monkeypatch.setattr(linking, "PHRASES", size)
+        monkeypatch.setattr(linking, "ELEMENTS", size)
+        monkeypatch.setattr(linking, "SLICE", min(size, 7))
+        for k, own, cuts in ((0, None, (1,)), (3, t, (1, 2, 3)), (1, t, (2,))):
+            got = {(r["cut"], r["q_id"], r["phrase"], r["name"], r["rank"]) for r in linking.nearest(p, e, k, own, cuts).collect()}
+            assert got == brute_nearest(phrases, elements, k, everything if own is None else tables, cuts)
+        for k in (0, 2):
+            got = {(r["q_id"], r["name"], round(r["score"], 6), r["rank"]) for r in linking.candidate_tables(p, e.select("db_id", F.col("table").alias("name"), F.substring("table", 2, 9).cast("int").alias("ord"), "self", "emb"), k).collect()}
+            want = {(q, name, round(s, 6), i + 1) for q, found in pooled.items() for i, (name, (s, _)) in enumerate(sorted(found.items(), key=lambda x: (-x[1][0], x[1][1]))[: k or None])}
+            assert got == want
+    assert linking.nearest(p.limit(0), e, 3).count() == 0 and linking.candidate_tables(p, e.limit(0), 3).count() == 0
 
 
 def test_same_group_first_reorders_the_pool_only(spark):
