@@ -43,9 +43,9 @@ class Config:
 
 
 def paths_of(catalog: DataFrame, table_mode: bool = False) -> DataFrame:
-    """The shortest paths of all schemas, written once."""
+    """The routes of all schemas, by which shortest paths are found, written once."""
     edges = graph.table_edges(catalog) if table_mode else graph.column_edges(catalog)
-    return frozen(graph.all_shortest_paths(edges), "schema-paths")
+    return frozen(graph.routes(edges), "schema-routes")
 
 
 def _phrases(questions: DataFrame, cfg: Config) -> DataFrame:

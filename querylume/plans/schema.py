@@ -158,14 +158,14 @@ def _names(spark):
 @_query(_with(_NODES, _EDGES, _steps("edges"), _WALKS, _NAMES_SQL, _HITS, _TRACE) + "SELECT q_id, node_id, is_hit FROM traced")
 def trace_paths(spark, d):
     _, nodes, edges = _parts(spark)
-    return graph.expand_hits(graph.hits_by_name(_names(spark), nodes), graph.all_shortest_paths(edges)).select("q_id", "node_id", "is_hit")
+    return graph.expand_hits(graph.hits_by_name(_names(spark), nodes), graph.routes(edges)).select("q_id", "node_id", "is_hit")
 
 
 @_query(_with(_NODES, _EDGES, _steps("edges"), _WALKS, _NAMES_SQL, _HITS, _TRACE) + """SELECT q_id, node_id FROM traced t JOIN nodes n USING (node_id) WHERE n.is_pk OR EXISTS (SELECT 1 FROM names m WHERE m.q_id = t.q_id AND m.db_id = n.db_id AND lower(m.col) = lower(n.col))
 OR EXISTS (SELECT 1 FROM edges e WHERE e.db_id = n.db_id AND e.relation = 'foreign_key' AND (e.u = t.node_id OR e.v = t.node_id))""")
 def prune_nodes(spark, d):
     _, nodes, edges = _parts(spark)
-    expanded = graph.expand_hits(graph.hits_by_name(_names(spark), nodes), graph.all_shortest_paths(edges))
+    expanded = graph.expand_hits(graph.hits_by_name(_names(spark), nodes), graph.routes(edges))
     return graph.prune(expanded, nodes, edges, _names(spark)).select("q_id", "node_id")
 
 
@@ -179,11 +179,11 @@ SELECT db_id, 2, arg_min(node_id, ord) FROM nodes WHERE db_id = 'star' AND col L
 SELECT node_id FROM k UNION SELECT unnest(path) FROM paths p JOIN k a ON a.pos = 1 AND p.src = a.node_id JOIN k b ON b.pos > 1 AND p.dst = b.node_id""")
 def steiner_anchor(spark, d):
     _, nodes, edges = _parts(spark)
-    return graph.anchor_star(nodes, graph.all_shortest_paths(edges), "star", ["segment", "brand", "name"]).select("node_id")
+    return graph.anchor_star(nodes, graph.routes(edges), "star", ["segment", "brand", "name"]).select("node_id")
 
 
 @_query(_ALL.rstrip() + """, met AS (SELECT p.*, a.ord AS o1, b.ord AS o2 FROM paths p JOIN nodes a ON a.node_id = p.src JOIN nodes b ON b.node_id = p.dst WHERE a.col LIKE '%acctbal%' AND b.col LIKE '%price%')
 SELECT db_id, arg_min(src, (hops, o1, o2)) AS src, arg_min(dst, (hops, o1, o2)) AS dst, CAST(min(hops) AS INTEGER) AS hops, arg_min(array_to_string(path, '>'), (hops, o1, o2)) AS path FROM met GROUP BY db_id""")
 def keyword_path(spark, d):
     _, nodes, edges = _parts(spark)
-    return graph.path_between_keywords(nodes, graph.all_shortest_paths(edges), "acctbal", "price").withColumn("path", _text("path", ">"))
+    return graph.path_between_keywords(nodes, graph.routes(edges), "acctbal", "price").withColumn("path", _text("path", ">"))

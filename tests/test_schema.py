@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from querylume.functions import text as T
@@ -54,6 +55,50 @@ def test_paths_are_symmetric_and_smallest(spark):
     assert all(len(p) == len(got[d, s]) for (s, d), p in got.items())
 
 
+def breadth_first(near, src):
+    """The smallest shortest path to every node, level by level."""
+    best, frontier = {src: [src]}, [src]
+    while frontier:
+        found = {}
+        for v in frontier:
+            for w in near[v]:
+                if w not in best and (w not in found or best[v] + [w] < found[w]):
+                    found[w] = best[v] + [w]
+        best |= found
+        frontier = list(found)
+    return best
+
+
+@pytest.mark.parametrize(("n", "extra", "seed"), [(60, 60, 1), (200, 20, 2), (5000, 400, 3)])
+def test_labels_give_the_paths_of_a_search(n, extra, seed):
+    rng = np.random.default_rng(seed)
+    near = {f"n{i}": [] for i in range(n)}
+    ends = [(i, int(rng.integers(max(0, i - 1 - i % 50), i))) for i in range(1, n) if i % 97] + [tuple(map(int, rng.integers(0, n, 2))) for _ in range(extra)]
+    for a, b in {(min(e), max(e)) for e in ends if e[0] != e[1]}:
+        near[f"n{a}"].append(f"n{b}")
+        near[f"n{b}"].append(f"n{a}")
+    own = graph.Routes(near, graph.labels_of(near))
+    for src in rng.choice(list(near), min(n, 15), replace=False):
+        want = breadth_first(near, src)
+        for dst in near if n < 1000 else rng.choice(list(near), 300):
+            assert own.path(src, dst) == want.get(dst)
+    assert sum(map(len, own.labels.values())) < n * 60
+
+
+def test_asked_paths_and_expanded_hits(spark, monkeypatch):
+    pairs = [("a", "b"), ("a", "c"), ("b", "z"), ("c", "z"), ("x", "y"), ("z", "q"), ("q", "q")]
+    e = spark.createDataFrame([(db, *sorted(p)) for db in ("d", "e") for p in pairs], "db_id string, u string, v string")
+    known = graph.routes(e)
+    whole = {(r["db_id"], r["src"], r["dst"]): (r["hops"], r["path"]) for r in graph.all_shortest_paths(e).collect()}
+    asked = spark.createDataFrame([k for k in whole] + [("d", "a", "x"), ("d", "a", "a"), ("d", "gone", "a"), ("f", "a", "b")] + list(whole)[:5], "db_id string, src string, dst string")
+    monkeypatch.setattr(graph, "GROUP", 3)
+    got = {(r["db_id"], r["src"], r["dst"]): (r["hops"], r["path"]) for r in graph.paths_between(asked, known).collect()}
+    assert got == whole and graph.paths_between(asked.limit(0), known).count() == 0
+    hits = spark.createDataFrame([(1, "d", "a", 0), (1, "d", "q", 5), (1, "d", "x", 7), (2, "e", "y", 0), (3, "d", "q", 0), (3, "d", "a", 4), (4, "f", "lone", 0)], "q_id int, db_id string, node_id string, ord int")
+    found = sorted((r["q_id"], r["node_id"], r["is_hit"]) for r in graph.expand_hits(hits, known).collect())
+    assert found == [(1, "a", True), (1, "b", False), (1, "q", True), (1, "x", True), (1, "z", False), (2, "y", True), (3, "a", True), (3, "b", False), (3, "q", True), (3, "z", False), (4, "lone", True)]
+
+
 def test_threshold_is_strict_and_zero_k_means_best_above_it(spark):
     at = lambda c: [c, (1 - c * c) ** 0.5]  # noqa: E731  a unit vector whose cosine with (1, 0) is c
     phrases = spark.createDataFrame([(1, "d", "p", [1.0, 0.0]), (1, "d", "q", [0.0, 1.0])], "q_id int, db_id string, phrase string, emb array<double>")
