@@ -112,8 +112,8 @@ def pairs(spark):
     return spark.createDataFrame([(i, "star", c.gold, c.pred) for i, c in enumerate(CASES)], "idx long, db_id string, gold string, pred string")
 
 
-def _parts(spark):
-    return evaluation.compare(pairs(spark), catalog.declared(spark))
+def _parts(spark, d):
+    return evaluation.compare(pairs(spark), catalog.of_tables(spark, d))
 
 
 def executed(spark, d):
@@ -121,7 +121,7 @@ def executed(spark, d):
 
     def run(found):
         register_views(spark, d, STAR)
-        return execution.match_all(found, evaluation.schemas_in(catalog.declared(spark)))
+        return execution.match_all(found, evaluation.schemas_in(catalog.of_tables(spark, d)))
 
     return run
 
@@ -138,7 +138,7 @@ _PARSES = [c.pred != "" and not c.pred.startswith("SELEC ") for c in CASES]
 @_keep
 def sql_parse(spark, d):
     """What the parser finds in the gold queries."""
-    rows = evaluation.parse_all(pairs(spark).withColumnRenamed("gold", "sql"), catalog.declared(spark))
+    rows = evaluation.parse_all(pairs(spark).withColumnRenamed("gold", "sql"), catalog.of_tables(spark, d))
     tree = F.from_json("ast", "select array<string>, tables array<string>, where struct<tests: array<string>>, `group` array<string>")
     name = lambda t: F.when(F.startswith(t, F.lit("{")), "(query)").otherwise(F.regexp_replace(t, "^__|__$", ""))
     out = rows.select("idx", tree.alias("t"))
@@ -151,7 +151,7 @@ ORACLE["sql_parse"] = f"WITH {_literal('idx, tables, n_select, n_tests, n_group'
 
 @_keep
 def sql_hardness(spark, d):
-    return evaluation.parse_all(pairs(spark).withColumnRenamed("gold", "sql"), catalog.declared(spark)).select("idx", "level", "clauses", "below", "others")
+    return evaluation.parse_all(pairs(spark).withColumnRenamed("gold", "sql"), catalog.of_tables(spark, d)).select("idx", "level", "clauses", "below", "others")
 
 
 ORACLE["sql_hardness"] = f"WITH {_literal('idx, level, clauses, below, others', [(i, c.level, *map(int, c.counts)) for i, c in enumerate(CASES)], ('idx', 'clauses', 'below', 'others'))} SELECT * FROM v"
@@ -159,7 +159,7 @@ ORACLE["sql_hardness"] = f"WITH {_literal('idx, level, clauses, below, others',
 
 @_keep
 def partial_match(spark, d):
-    return _parts(spark)
+    return _parts(spark, d)
 
 
 _part_rows = [
@@ -172,7 +172,7 @@ ORACLE["partial_match"] = _PART_SQL + " SELECT * FROM v"
 
 @_keep
 def exact_match(spark, d):
-    return _parts(spark).select("idx", "level", "parsed", "exact").distinct()
+    return _parts(spark, d).select("idx", "level", "parsed", "exact").distinct()
 
 
 _pair_rows = [(i, c.level, _PARSES[i], bool(c.exact), c.exec == 1) for i, c in enumerate(CASES)]
@@ -182,7 +182,7 @@ ORACLE["exact_match"] = _PAIR_SQL + " SELECT idx, level, parsed, exact FROM v"
 
 @_keep
 def exact_by_level(spark, d):
-    return evaluation.exact_by_level(_parts(spark))
+    return evaluation.exact_by_level(_parts(spark, d))
 
 
 ORACLE["exact_by_level"] = _PAIR_SQL + " SELECT coalesce(level, 'all') AS level, count(*) AS count, round(avg(exact::INT), 6) AS exact FROM v GROUP BY GROUPING SETS ((level), ())"
@@ -224,7 +224,7 @@ ORACLE["ordered_exec_match"] = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) A
 
 @_keep
 def score_rollup(spark, d):
-    return evaluation.rollup_scores(_parts(spark))
+    return evaluation.rollup_scores(_parts(spark, d))
 
 
 _ROLLUP = """a AS (SELECT coalesce(level, 'all') AS level, part, coalesce(avg(score) FILTER (WHERE pred_total > 0), 0) AS acc, coalesce(avg(score) FILTER (WHERE gold_total > 0), 0) AS rec, count(*) AS count
@@ -236,7 +236,7 @@ ORACLE["score_rollup"] = f"{_PART_SQL}, {_ROLLUP} SELECT * FROM r"
 @_keep
 def evaluate(spark, d):
     """The whole evaluator: counts, execution accuracy, exact and partial matches, by level."""
-    return evaluation.evaluate(pairs(spark), catalog.declared(spark), "all", executed(spark, d))
+    return evaluation.evaluate(pairs(spark), catalog.of_tables(spark, d), "all", executed(spark, d))
 
 
 ORACLE["evaluate"] = f"""{_PART_SQL}, {_ROLLUP}, {_PAIR_SQL[5:].replace('v(', 'pairs(', 1)},
@@ -249,7 +249,7 @@ UNION ALL SELECT level, 'accuracy', part, accuracy FROM r UNION ALL SELECT level
 def hardness_dist(spark, d):
     """Gold queries by level, all four levels in their order, those without a query with 0."""
     levels = spark.createDataFrame(list(enumerate(C.LEVELS)), "place int, level string")
-    found = evaluation.parse_all(pairs(spark).withColumnRenamed("gold", "sql"), catalog.declared(spark)).groupBy("level").agg(F.count("*").alias("n"))
+    found = evaluation.parse_all(pairs(spark).withColumnRenamed("gold", "sql"), catalog.of_tables(spark, d)).groupBy("level").agg(F.count("*").alias("n"))
     return levels.join(found, "level", "left").select("place", "level", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -28,20 +28,20 @@ _DESCRIBE = "count({0}) AS n, round(avg({0}), 4) AS mean, round(stddev_samp({0})
 _PER_TABLE = "t AS (SELECT db_id, tbl, count(*) AS n_columns, count(fk_table) AS n_fk, count_if(is_pk) AS n_pk FROM catalog WHERE tbl <> 'ALL' GROUP BY 1, 2)"
 
 
-def _per_table(spark):
-    real = catalog.declared(spark).where("table <> 'ALL'")
+def _per_table(spark, d):
+    real = catalog.of_tables(spark, d).where("table <> 'ALL'")
     return real.groupBy("db_id", "table").agg(F.count("*").alias("n_columns"), F.count("fk_table").alias("n_fk"), F.count_if("is_pk").alias("n_pk"))
 
 
 @_query(schema._with(_PER_TABLE) + "SELECT db_id, " + _DESCRIBE.format("n_columns") + " FROM t GROUP BY db_id")
 def schema_describe(spark, d):
-    return stats.describe(_per_table(spark), ["db_id"], "n_columns")
+    return stats.describe(_per_table(spark, d), ["db_id"], "n_columns")
 
 
 @_query(schema._with(_PER_TABLE) + "SELECT 'n_columns' AS a, 'n_fk' AS b, round(corr(n_columns, n_fk), 6) AS r FROM t UNION ALL SELECT 'n_columns', 'n_pk', round(corr(n_columns, n_pk), 6) FROM t UNION ALL SELECT 'n_fk', 'n_pk', round(corr(n_fk, n_pk), 6) FROM t")
 def schema_corr(spark, d):
     pairs = [("n_columns", "n_fk"), ("n_columns", "n_pk"), ("n_fk", "n_pk")]
-    one = _per_table(spark).agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.corr(a, b), 6).alias("r")) for a, b in pairs]).alias("x"))
+    one = _per_table(spark, d).agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.corr(a, b), 6).alias("r")) for a, b in pairs]).alias("x"))
     return one.select(F.explode("x").alias("x")).select("x.*")
 
 
@@ -53,7 +53,7 @@ y AS (SELECT slope, intercept, r, n, round(1 - 2 * any_value(t) / 6000 * sum(w *
 
 @_query(schema._with(_PER_TABLE, "fit AS (SELECT regr_slope(n_fk, n_columns) AS slope, regr_intercept(n_fk, n_columns) AS intercept, corr(n_fk, n_columns) AS r, count(*) AS n FROM t)", _P_VALUE) + "SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r, 6) AS r, n, p FROM y")
 def tables_fk_fit(spark, d):
-    return stats.fitted(_per_table(spark), "n_fk", "n_columns")
+    return stats.fitted(_per_table(spark, d), "n_fk", "n_columns")
 
 
 @_query(f"WITH w AS (SELECT item_id % 10 AS g, {_WORDS.format('text')} AS n_words, len(text) AS n_chars FROM benchmark), t AS (SELECT avg(n_words) AS x, avg(n_chars / n_words) AS y FROM w GROUP BY g), fit AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, corr(y, x) AS r, count(*) AS n FROM t), {_P_VALUE} SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r, 6) AS r, n, p FROM y")
@@ -82,7 +82,7 @@ def rank_top_dbs(spark, d):
 
 @_query(schema._with() + "SELECT db_id, count(DISTINCT tbl) AS n_tables FROM catalog WHERE tbl <> 'ALL' GROUP BY 1 ORDER BY n_tables DESC, db_id LIMIT 15")
 def top_dbs_by_tables(spark, d):
-    real = catalog.declared(spark).where("table <> 'ALL'")
+    real = catalog.of_tables(spark, d).where("table <> 'ALL'")
     return real.groupBy("db_id").agg(F.count_distinct("table").alias("n_tables")).orderBy(F.desc("n_tables"), "db_id").limit(15)
 
 

@@ -113,7 +113,7 @@ def linked_prompts(spark, d):
 @_query(_column_mode(_ASKED, _ELEMENTS) + "SELECT q_id, round(recall, 6) AS recall, round(precision, 6) AS precision FROM scored")
 def linking_metrics(spark, d):
     """Recall and precision of each question's context."""
-    q, cat = star_questions(spark), catalog.declared(spark)
+    q, cat = star_questions(spark), catalog.of_tables(spark, d)
     out = runs.linking_scores(q, runs.contexts(q, cat, runs.Config()), cat)
     return out.select("q_id", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
 
@@ -121,7 +121,7 @@ def linking_metrics(spark, d):
 @_query(_table_mode(_ASKED, _ELEMENTS) + "SELECT q_id, round(recall, 6) AS recall, round(precision, 6) AS precision FROM scored")
 def linking_metrics_tables(spark, d):
     """The same in table mode, where the question as a whole meets whole tables."""
-    q, cat = star_questions(spark), catalog.declared(spark)
+    q, cat = star_questions(spark), catalog.of_tables(spark, d)
     cfg = runs.Config(table_mode=True)
     out = runs.linking_scores(q, runs.contexts(q, cat, cfg), cat, False)
     return out.select("q_id", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
@@ -133,22 +133,22 @@ _GOLD_NODES = "gold_nodes AS (SELECT p, node_id FROM gold g JOIN nodes n USING (
 @_query(_column_mode(_ASKED, _ELEMENTS, _GOLD_NODES, _DDL.format(nodes="gold_nodes")) + f"SELECT q_id, coalesce(ddl, {_text(runs.NO_GOLD)}) AS gold_ddl FROM points LEFT JOIN ddl USING (p)")
 def gold_context(spark, d):
     """The schema that the gold query needs, as DDL."""
-    return runs.gold_contexts(star_questions(spark), catalog.declared(spark))
+    return runs.gold_contexts(star_questions(spark), catalog.of_tables(spark, d))
 
 
 _SWEEP = f"""means AS (SELECT kt AS top_k_tables, kc AS top_k_columns, avg(recall) AS r, avg(precision) AS p, count(*) AS n_samples FROM scored JOIN points USING (p) GROUP BY 1, 2),
 swept AS (SELECT top_k_tables, top_k_columns, round(r, 6) AS avg_recall, round(p, 6) AS avg_precision, round({_F1}, 6) AS f1, round({_F6}, 6) AS f6, r >= 0.9 AS meets_recall_target, n_samples FROM means)"""
 
 
-def _swept(spark):
-    out = runs.sweep(star_questions(spark), catalog.declared(spark), runs.Config())
+def _swept(spark, d):
+    out = runs.sweep(star_questions(spark), catalog.of_tables(spark, d), runs.Config())
     return out.withColumns({c: F.round(c, 6) for c in ("avg_recall", "avg_precision", "f1", "f6")})
 
 
 @_query(_column_mode(_ASKED, _ELEMENTS, _SWEEP, tables=runs.GRID_TABLES, columns=runs.GRID_COLUMNS) + "SELECT * FROM swept")
 def retrieval_sweep(spark, d):
     """The grid over the real retrieval."""
-    return _swept(spark)
+    return _swept(spark, d)
 
 
 @_query(_column_mode(_ASKED, _ELEMENTS, _SWEEP, tables=runs.GRID_TABLES, columns=runs.GRID_COLUMNS) + "SELECT top_k_tables, top_k_columns, f1, CAST(row_number() OVER (ORDER BY f1 DESC, top_k_tables, top_k_columns) AS INTEGER) AS place FROM swept")
@@ -157,7 +157,7 @@ def retrieval_sweep_by_f1(spark, d):
     from pyspark.sql import Window as W
 
     place = F.row_number().over(W.orderBy(F.desc("f1"), "top_k_tables", "top_k_columns"))  # as many rows as the grid has points
-    return _swept(spark).select("top_k_tables", "top_k_columns", "f1", place.alias("place"))
+    return _swept(spark, d).select("top_k_tables", "top_k_columns", "f1", place.alias("place"))
 
 
 _RUN = f"tokens AS (SELECT recall, precision, {_COUNT.format(_PROMPT)} AS tin, {_COUNT.format('a.sql')} AS tout FROM scored s JOIN asked a ON a.q_id = s.q_id JOIN ddl USING (p) LEFT JOIN few ON few.q_id = s.q_id)"
@@ -178,7 +178,7 @@ def _rounded(df):
 @_query(_column_mode(_ASKED, _ELEMENTS, _DDL.format(nodes="linked"), _SHOTS, _FEW.replace("{ks}", "(3)"), _RUN, _MEANS) + "SELECT * FROM s")
 def pipeline_summary(spark, d):
     """Means of a whole run with a perfect generator."""
-    return _rounded(runs.summary(runs.run(star_questions(spark), star_examples(spark), catalog.declared(spark), runs.Config(generate=gold_answers))))
+    return _rounded(runs.summary(runs.run(star_questions(spark), star_examples(spark), catalog.of_tables(spark, d), runs.Config(generate=gold_answers))))
 
 
 _NO_SHOTS = "few AS (SELECT 0 AS q_id, 0 AS k, '' AS block WHERE false)"
@@ -192,7 +192,7 @@ round(g.avg_recall - b.avg_recall, 4) AS delta_avg_recall, round(g.avg_precision
 )
 def mode_comparison(spark, d):
     """Column mode with examples beside table mode without."""
-    out = runs.comparison(star_questions(spark), star_examples(spark), catalog.declared(spark), runs.Config(generate=gold_answers))
+    out = runs.comparison(star_questions(spark), star_examples(spark), catalog.of_tables(spark, d), runs.Config(generate=gold_answers))
     digits = {"recall": 6, "precision": 6, "prompt_tokens": 4}
     out = out.withColumns({f"{side}_avg_{c}": F.round(f"{side}_avg_{c}", n) for side in ("graph", "base") for c, n in digits.items()})
     return out.withColumns({f"delta_avg_{c}": F.round(f"delta_avg_{c}", {6: 4, 4: 2}[n]) for c, n in digits.items()})
@@ -212,4 +212,4 @@ m AS (SELECT k, round(avg(recall), 6) AS avg_recall, round(avg(precision), 6) AS
 @_query(_ablation_sql())
 def ablation(spark, d):
     """Both modes with 0, 1, 3 and 5 examples."""
-    return _rounded(runs.ablation(star_questions(spark), star_examples(spark), catalog.declared(spark), runs.Config(generate=gold_answers)))
+    return _rounded(runs.ablation(star_questions(spark), star_examples(spark), catalog.of_tables(spark, d), runs.Config(generate=gold_answers)))

@@ -262,4 +262,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("q_id"), F.lit("star").alias("db_id"), F.col("text").alias("question"))
     bench = bench.repartition(spark.sparkContext.defaultParallelism)  # one small file, from which each text makes hundreds of phrases
-    return prompts(bench, star_examples(spark), cat.declared(spark), Config()).select("q_id", "db_id", "question", "ddl", "prompt")
+    return prompts(bench, star_examples(spark), cat.of_tables(spark, sf_dir), Config()).select("q_id", "db_id", "question", "ddl", "prompt")

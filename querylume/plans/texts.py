@@ -132,7 +132,7 @@ SELECT n.db_id AS q_id, n.tbl, min(n.ord) AS first, 'CREATE TABLE ' || n.tbl ||
   FROM edges e JOIN nodes a ON a.node_id IN (e.u, e.v) JOIN nodes b ON b.node_id IN (e.u, e.v) AND b.node_id <> a.node_id WHERE e.relation = 'foreign_key' AND b.is_pk AND a.tbl <> b.tbl GROUP BY 1, 2) f ON f.db_id = n.db_id AND f.tbl = n.tbl
 GROUP BY n.db_id, n.tbl) GROUP BY q_id""")
 def ddl_column(spark, d):
-    cat = catalog.declared(spark)
+    cat = catalog.of_tables(spark, d)
     nodes, edges = graph.column_nodes(cat), graph.column_edges(cat)
     return render.column_ddl(nodes.select(F.col("db_id").alias("q_id"), "db_id", "node_id"), nodes, edges)
 
@@ -145,7 +145,7 @@ SELECT n.db_id AS q_id, n.tbl, min(n.ord) AS first, 'CREATE TABLE ' || n.tbl ||
   WHERE EXISTS (SELECT 1 FROM nodes m WHERE m.db_id = x.db_id AND m.tbl = x.tbl AND m.col = x.from_col) GROUP BY 1, 2) f ON f.db_id = n.db_id AND f.tbl = n.tbl
 GROUP BY n.db_id, n.tbl) GROUP BY q_id""")
 def ddl_table(spark, d):
-    cat = catalog.declared(spark)
+    cat = catalog.of_tables(spark, d)
     chosen = cat.where("column <> '*'").select(F.col("db_id").alias("q_id"), "db_id", "table")
     return render.table_ddl(chosen, cat, graph.table_edges(cat))
 
@@ -165,7 +165,7 @@ SELECT db_id AS q_id, string_agg('Table: ' || tbl || chr(10) || 'Columns: ' || c
 SELECT db_id, tbl, string_agg(col || ' (' || typ || ')', ', ' ORDER BY col_idx) AS cols, count(fk_table) AS fk FROM catalog WHERE tbl <> 'ALL' GROUP BY 1, 2) GROUP BY 1)""")
 def schema_tokens(spark, d):
     """Tokens of the flat schema text, and with eight more for each foreign key."""
-    cat = catalog.declared(spark)
+    cat = catalog.of_tables(spark, d)
     fk = cat.groupBy("db_id").agg(F.count("fk_table").alias("n_fk"))
     flat = render.flat_schema(cat).select("db_id", T.word_count(F.col("text")).alias("flat"))
     return flat.join(fk, "db_id").select("db_id", "flat", (F.col("flat") + 8 * F.col("n_fk")).alias("with_graph"))

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from querylume.sources.discovery import keys_of
+from querylume.sources.tables import table
+
 ANY_TABLE, ANY_COLUMN = "ALL", "*"
 FLAT = "db_id string, col_idx int, table_idx int, table string, column string, type string, is_pk boolean, fk_table string, fk_column string"
 RAW = T.StructType([
@@ -52,13 +55,40 @@ def read_table_catalog(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.lower("table").alias("table"), F.posexplode("col_data").alias("col_idx", "_c")).select("table", "col_idx", F.lower("_c.column_name").alias("column"))
 
 
-def from_session(spark: SparkSession, tables: list[str], db_id: str = "session") -> DataFrame:
-    """The catalogue of the session's tables or views, lower-cased. Keys aren't known."""
+#: What a catalogue calls a column's type; all others are text.
+_TYPES = {**dict.fromkeys(("tinyint", "smallint", "int", "bigint", "float", "double"), "number"), "date": "time", "timestamp": "time", "timestamp_ntz": "time", "boolean": "boolean"}
+
+
+def _type(kind: str) -> str:
+    return "number" if kind.startswith("decimal") else _TYPES.get(kind, "text")
+
+
+def rows_of_tables(tables: dict[str, DataFrame], db_id: str) -> list[tuple]:
+    """A database's catalogue rows from its tables alone, lower-cased: columns and types from their schemas, keys from
+    their rows (see ``discovery``)."""
+    primary, foreign = keys_of(tables)
     rows = [(db_id, 0, -1, ANY_TABLE, ANY_COLUMN, "text", False, None, None)]
-    for i, name in enumerate(tables):
-        for field in spark.table(name).schema:
-            rows.append((db_id, len(rows), i, name.lower(), field.name.lower(), field.dataType.simpleString(), False, None, None))
-    return spark.createDataFrame(rows, FLAT)
+    for i, (name, df) in enumerate(tables.items()):
+        for f in df.schema:
+            to = foreign.get((name, f.name), (None, None))
+            rows.append((db_id, len(rows), i, name.lower(), f.name.lower(), _type(f.dataType.simpleString()), primary.get(name) == f.name, *[x and x.lower() for x in to]))
+    return rows
+
+
+def from_session(spark: SparkSession, tables: list[str], db_id: str = "session") -> DataFrame:
+    """The catalogue of the session's tables or views, with their keys."""
+    return spark.createDataFrame(rows_of_tables({t: spark.table(t) for t in tables}, db_id), FLAT)
+
+
+_found: dict[tuple[str, str], list[tuple]] = {}
+
+
+def of_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The catalogue of the databases whose tables lie in ``folder``, found in their rows; once for each application."""
+    key = spark.sparkContext.applicationId, folder
+    if key not in _found:
+        _found[key] = [r for db, names in DATABASES.items() for r in rows_of_tables({n: table(spark, folder, n) for n in names}, db)]
+    return spark.createDataFrame(_found[key], FLAT)
 
 
 def compatibility_view(flat: DataFrame) -> DataFrame:
@@ -74,7 +104,7 @@ def from_compatibility_view(view: DataFrame) -> DataFrame:
     return view.select(F.col("Database").alias("db_id"), F.trim("Table").alias("table"), F.trim("Column").alias("column"), F.col("Type").alias("type"), (F.col("PK") == "Yes").alias("is_pk"), F.when(good, F.trim(parts[0])).alias("fk_table"), F.when(good, F.trim(parts[1])).alias("fk_column"))
 
 
-# The catalogue of the test tables: name, type, then 'pk' or the key's target.
+# The catalogue of the test tables as it is known: name, type, then 'pk' or the key's target. ``of_tables`` finds the same.
 STAR = {
     "region": "r_regionkey:number:pk r_name:text",
     "nation": "n_nationkey:number:pk n_name:text n_regionkey:number:region.r_regionkey",
@@ -87,7 +117,7 @@ STAR = {
 CORPUS = {
     "documents": "doc_id:number:pk text:text lang:text source:text n_chars:number",
     "labels": "doc_id:number:pk+documents.doc_id quality:number toxic:number",
-    "conversations": "conv_id:number:pk turn:number:pk role:text text:text",
+    "conversations": "conv_id:number turn:number role:text text:text",
     "events": "event_id:number:pk ts:time user_id:number event_type:text value:number props:text",
 }
 DATABASES = {"star": STAR, "corpus": CORPUS}
