@@ -9,16 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querylume.operators.storage import numbered
+from querylume.sources.json_array import read_array
 
 SQL_NAMES, LEVEL_NAMES = ("query", "sql_query", "sql"), ("difficulty", "hardness", "level")
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of questions, with ``idx``: their place in the array, which is their identity. The array is one value
-    of one file, so its parsing is one task by nature."""
-    raw = spark.read.json(path, multiLine=True)
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.from_json("value", F.lit(f"array<{raw.schema.simpleString()}>"))).alias("idx", "_q")).select(F.col("idx").cast("long").alias("idx"), "_q.*")
+    """A JSON array of questions, with ``idx``: their place in the array, which is their identity. Read in ranges, see
+    ``json_array``."""
+    return read_array(spark, path)
 
 
 def found_column(df: DataFrame, names: tuple[str, ...]) -> str | None:
@@ -27,8 +26,10 @@ def found_column(df: DataFrame, names: tuple[str, ...]) -> str | None:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no, value. The file is read in splits; lines are numbered in their order."""
-    return numbered(spark.read.text(path), "line_no")
+    """line_no, value: the lines of a file, or of a folder's part files by name, in their order. Files are read in splits;
+    a line's place is its file, its split and its place in that."""
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line")]
+    return numbered(spark.read.text(path).select("value", *where), "line_no", "_file", "_start", "_line").drop("_file", "_start", "_line")
 
 
 def existing(folder: str, names: tuple[str, ...]) -> dict[str, bool]:
@@ -36,9 +37,14 @@ def existing(folder: str, names: tuple[str, ...]) -> dict[str, bool]:
     return {name: os.path.exists(os.path.join(folder, name)) for name in names}
 
 
+def part_files(path: str) -> list[str]:
+    """The part files of a folder, in order."""
+    return sorted(f.path for f in os.scandir(path) if f.name.startswith("part-"))
+
+
 def one_file(path: str) -> str:
     """The part file of a folder that was written as one part."""
-    return next(f.path for f in sorted(os.scandir(path), key=lambda f: f.name) if f.name.startswith("part-"))
+    return part_files(path)[0]
 
 
 def gold_path(folder: str) -> str:
@@ -58,9 +64,10 @@ def sample(questions: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
 
 
 def write_lines(df: DataFrame, path: str, text: str, order: str = "idx") -> None:
-    """One line a row in the order of ``order``, in one file, as the evaluator wants it."""
+    """One line a row, in the order of ``order``: part files whose names are in the order of their lines, as ``read_lines``
+    takes them. Rows are dealt by ranges of ``order`` and written by as many tasks."""
     line = F.trim(F.regexp_replace(F.col(text), r"\s+", " ")).alias("value")
-    df.orderBy(order).select(line).coalesce(1).write.mode("overwrite").text(path)
+    df.orderBy(order).select(line).write.mode("overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str, digits: dict[str, int], order: list[str]) -> None:
