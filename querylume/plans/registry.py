@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querylume.plans import evaluation, linking, relational, reports, retrieval, runs, schema, texts
+from querylume.plans import evaluation, linking, relational, reports, retrieval, runs, schema, spread, texts
 
-MODULES = (relational, schema, linking, texts, evaluation, reports, retrieval)
+MODULES = (relational, schema, linking, texts, evaluation, reports, retrieval, spread)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
