@@ -6,10 +6,18 @@ node the densities of its children are summed; the node with the largest sum is
 the least density on the path from the core up to the body. The main content is the core and every block of the body
 beside that path whose density reaches the threshold, unless the page marks an article or main element with at least
 half as much text. A thinner block stays if it isn't mostly links and lies between blocks that stay, is a heading before
-one, or has a parent on the path, below the body, that adds little else than text. Blocks within it that are menus, headers, footers, sidebars, adverts, forms or reader
-comments, by tag, role or a whole class name or id, are left out before densities are taken, and so are scripts and
-styles. Names cut no block that holds an h1 or main element or all of the text, and names that articles use as well
-(DOUBTFUL_WORDS) only cut a block that is mostly links.
+one, or has a parent on the path, below the body, that adds little else than text.
+
+Scripts, styles and the like never count as text. Menus, headers, footers, sidebars, adverts, forms and reader comments
+are left out before densities are taken, but a mark alone cuts no article:
+
+* A name (class or id) of such words and neutral ones, or with a word for comments, cuts a block without an h1 or main
+  element. Names that articles use as well (DOUBTFUL_WORDS) only cut a block that is mostly links, and names with other
+  words beside only one that also has no more than half of the page's text outside of links.
+* Forms, hidden blocks and noscript are cut unless they hold more than half of that text.
+* Navigation, headers, footers and sidebars, by tag or role, are cut unless they hold a main or article element and more
+  than half of that text.
+* Where nothing would be left, the largest block stays.
 
 Scale: one map over the pages; a page is parsed once, in time linear in its length.
 """
@@ -40,8 +48,11 @@ IMPLIED = {
     "tbody": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th"]), frozenset(["table"])), "thead": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th"]), frozenset(["table"])), "tfoot": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th"]), frozenset(["table"])),
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
 }
-DROPPED = frozenset("script style noscript nav footer aside form button select textarea iframe object embed svg canvas template head title dialog menu input audio video map annotation annotation-xml noframes noembed applet search".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist advertisement".split())
+DROPPED = frozenset("script style button select textarea iframe object embed svg canvas template head title input audio video map annotation annotation-xml noframes noembed applet".split())
+#: Elements and roles that may wrap a whole article, and those that stand beside one.
+WRAPS, SIDES = frozenset("form noscript dialog search".split()), frozenset("nav footer aside menu".split())
+WRAP_ROLES = frozenset("complementary search form alert alertdialog dialog".split())
+SIDE_ROLES = frozenset("navigation banner contentinfo menu menubar toolbar tablist advertisement".split())
 #: Words of class names and ids that mark what isn't main text.
 DROPPED_WORDS = frozenset("""ad ads adv advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored sponsors promo promos promotion banner banners
 nav navbar navigation menu menus topnav subnav sidenav breadcrumb breadcrumbs pagination pager toolbar header masthead footer sidebar sidebars aside rail
@@ -52,18 +63,22 @@ IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes sty
 #: Words that articles use as well: a block with such a name goes only if it is mostly links.
 DOUBTFUL_WORDS = frozenset("related social sponsor sponsors sponsored promotion header notice notices alert alerts overlay subscription respond reply replies discussion form search skip legal copyright disclaimer recommended recommendations".split())
 #: What may stand beside such words in a name.
-NEUTRAL_WORDS = frozenset("site global left right top bottom box bar list links".split())
+NEUTRAL_WORDS = frozenset("""site global left right top bottom box bar list links area user users slot wrapper wrap section container block inner outer unit zone
+holder panel module region item items group row primary secondary main page reader readers visitor visitors""".split())
+#: A word of these in a name marks reader comments, whatever stands beside it.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
+#: What a mark says: a doubtful name, a name, a name with other words beside, a block that may wrap an article, one beside it.
+DOUBTFUL, NAMED, LOOSE, WRAP, SIDE = range(1, 6)
 _TAG = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _LOOSE = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>]|$)", re.S | re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
-_DEEPEST = 5000
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "drop", "named", "chars", "tags", "link_chars", "link_tags", "density", "total", "blocks")
+    __slots__ = ("tag", "kids", "parent", "drop", "named", "own", "chars", "tags", "link_chars", "link_tags", "density", "total", "blocks")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool):
         self.tag, self.parent, self.drop, self.kids, self.named = tag, parent, drop, [], 0
@@ -72,68 +87,80 @@ class Node:
         self.blocks = tag in BLOCK
 
 
-def _drops(tag: str, attrs: str, depth_article: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not depth_article:
-        return True
-    if not attrs:
-        return False
-    for name, value in _ATTR.findall(attrs):
+def _marked(tag: str, attrs: str, in_article: bool) -> int:
+    """What a block's tag, role, hidden state, class and id say, the strongest of all, or 0."""
+    found = {SIDE} if tag in SIDES or tag == "header" and not in_article else {WRAP} if tag in WRAPS else set()
+    plain = tag in ("body", "html", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6")
+    for name, value in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), html.unescape(value.strip("\"'"))
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-        if name == "role" and value.strip().lower() in DROPPED_ROLES:
-            return True
-    return False
-
-
-def _named(tag: str, attrs: str) -> int:
-    """2 if a whole class name or id says that a block isn't main text, 1 if that is in doubt, else 0."""
-    found = 0
-    if attrs and tag not in ("body", "html", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"):
-        for name, value in _ATTR.findall(attrs):
-            if name.lower() in ("class", "id"):
-                for one in html.unescape(value.strip("\"'")).split():
-                    words = {w.lower() for w in _NAME_PARTS.findall(one)}
-                    if marks := words & DROPPED_WORDS:
-                        if words <= DROPPED_WORDS | NEUTRAL_WORDS:
-                            found = max(found, 1 if marks <= DOUBTFUL_WORDS else 2)
-    return found
-
-
-def _cut_named(root: Node) -> None:
-    """Cuts named blocks, but none that holds an h1 or main element or all of the page's text, and doubtful ones only
-    if more than half of their text is in links."""
-    nodes = _ordered(root)
-    if not any(x.named for x in nodes):
-        return
-    size: dict[Node, list[int]] = {}
-    for x in reversed(nodes):  # children first: characters, those in links, and whether an h1 or main is in it
-        own = [sum(len("".join(k.split())) for k in x.kids if isinstance(k, str)), 0, x.tag in ("h1", "main")]
+            found.add(WRAP)
+        elif name == "role":
+            role = value.strip().lower()
+            found.add(SIDE if role in SIDE_ROLES else WRAP if role in WRAP_ROLES else 0)
+        elif name in ("class", "id") and not plain:
+            for one in value.split():
+                words = {w.lower() for w in _NAME_PARTS.findall(one)}
+                if marks := words & DROPPED_WORDS:
+                    if words & COMMENT_WORDS:
+                        found.add(NAMED)
+                    elif words <= DROPPED_WORDS | NEUTRAL_WORDS:
+                        found.add(DOUBTFUL if marks <= DOUBTFUL_WORDS else NAMED)
+                    elif not marks <= DOUBTFUL_WORDS:
+                        found.add(LOOSE)
+    return next((x for x in (NAMED, SIDE, WRAP, LOOSE, DOUBTFUL) if x in found), 0)
+
+
+def _held(nodes: list[Node]) -> dict[Node, tuple[int, int, bool, bool]]:
+    """Of each node: characters, those in links, whether an h1 or main element is in it, and whether a main or article."""
+    out: dict[Node, tuple[int, int, bool, bool]] = {}
+    for x in reversed(nodes):  # children first
+        chars, linked, head, body = x.own, 0, x.tag in ("h1", "main"), x.tag in ("main", "article")
         for k in x.kids:
             if not isinstance(k, str) and not k.drop:
-                own = [a + b for a, b in zip(own, size[k])]
-        if x.tag == "a":
-            own[1] = own[0]
-        size[x] = own
-    cut, gone, todo = [], 0, [root]
-    while todo:
-        x = todo.pop()
-        chars, linked, holds = size[x]
-        if x.named and not holds and (x.named == 2 or 2 * linked > chars):
-            cut.append(x)
-            gone += chars
-        else:
-            todo.extend(k for k in x.kids if not isinstance(k, str) and not k.drop)
-    if gone == size[root][0]:  # no text but in named blocks: the largest is kept
-        cut.remove(max(cut, key=lambda x: size[x][0])) if cut else None
-    for x in cut:
-        x.drop = True
+                c, n, h, m = out[k]
+                chars, linked, head, body = chars + c, linked + n, head or h, body or m
+        out[x] = chars, chars if x.tag == "a" else linked, head, body
+    return out
+
+
+def _cut_marked(root: Node) -> None:
+    """Cuts what is marked, first by names alone, then by what is left of the page's text."""
+    cut: list[tuple[int, Node]] = []
+    nodes, sizes = _ordered(root), {}
+    for x in nodes:
+        x.own = sum(len("".join(k.split())) for k in x.kids if isinstance(k, str))
+    if not any(x.named for x in nodes):
+        return
+    for by_name in (True, False):
+        if by_name or cut:
+            sizes = _held(nodes)
+        plain = sizes[root][0] - sizes[root][1]
+        todo = [root]
+        while todo:
+            x = todo.pop()
+            chars, linked, head, body = sizes[x]
+            most = 2 * (chars - linked) > plain
+            if by_name:
+                gone = not head and (x.named == NAMED or x.named == DOUBTFUL and 2 * linked > chars)
+            else:
+                gone = x.named == LOOSE and not head and not most or x.named == WRAP and not most or x.named == SIDE and not (body and most)
+            if gone:
+                cut.append((chars, x))
+                x.drop = True
+            else:
+                todo.extend(k for k in x.kids if not isinstance(k, str) and not k.drop)
+        nodes = _ordered(root) if cut else nodes
+    if not any(x.own for x in nodes):
+        best = max((c for c in cut if c[0]), key=lambda c: c[0], default=None)  # no text but in marked blocks
+        if best:
+            best[1].drop = False
 
 
 def parse(page: str) -> Node:
     """The tree under an 'html' root. Children are nodes and decoded strings."""
     root = cur = Node("html", None, False)
-    depth, at, n = 0, 0, len(page)
+    at, n = 0, len(page)
     in_article = 0
     while at < n:
         lt = page.find("<", at)
@@ -141,7 +168,7 @@ def parse(page: str) -> Node:
             lt = n
         if lt > at:
             if cur.tag == "head" and not page[at:lt].isspace():
-                cur, depth = cur.parent, depth - 1
+                cur = cur.parent
             cur.kids.append(html.unescape(page[at:lt]))
         if lt == n:
             break
@@ -166,17 +193,17 @@ def parse(page: str) -> Node:
             if node is not root:
                 while cur is not node:
                     in_article -= cur.tag in ("article", "main")
-                    cur, depth = cur.parent, depth - 1
+                    cur = cur.parent
                 in_article -= cur.tag in ("article", "main")
-                cur, depth = cur.parent, depth - 1
+                cur = cur.parent
             elif close in ("p", "br"):
                 cur.kids.append(Node("br", cur, False))
         elif tag:
             tag = tag.lower()
             if cur.tag == "head" and tag not in IN_HEAD:
-                cur, depth = cur.parent, depth - 1
+                cur = cur.parent
             elif tag == "body" and cur.tag == "noscript" and cur.parent.tag == "head":
-                cur, depth = cur.parent.parent, depth - 2
+                cur = cur.parent.parent
             if tag in ("html", "body", "head") and any(x.tag == tag for x in (cur, root) if x.tag != "html" or tag == "html"):
                 continue
             ends, scope = (frozenset(["p"]), BLOCK - frozenset(["p"])) if tag in ENDS_P else (frozenset(), frozenset())
@@ -190,18 +217,18 @@ def parse(page: str) -> Node:
                     node = node.parent
                 if last is not None:
                     while cur is not last:
-                        cur, depth = cur.parent, depth - 1
-                    cur, depth = cur.parent, depth - 1
-            node = Node(tag, cur, _drops(tag, attrs, in_article > 0))
-            node.named = _named(tag, attrs)
+                        cur = cur.parent
+                    cur = cur.parent
+            node = Node(tag, cur, tag in DROPPED)
+            node.named = _marked(tag, attrs, in_article > 0)
             cur.kids.append(node)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
-            elif tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK) and depth < _DEEPEST:
-                cur, depth = node, depth + 1
+            elif tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK):
+                cur = node
                 in_article += tag in ("article", "main")
-    _cut_named(root)
+    _cut_marked(root)
     return root
 
 
@@ -219,7 +246,7 @@ def _ordered(root: Node) -> list[Node]:
 def _measure(nodes: list[Node]) -> float:
     """Sets densities and their sums; returns the share of link characters in the page."""
     for node in nodes:
-        node.chars = sum(len("".join(k.split())) for k in node.kids if isinstance(k, str))
+        node.chars = node.own
     for node in reversed(nodes):
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.tags + 1

@@ -151,7 +151,8 @@ def test_density_needs_no_marks(small_dir, monkeypatch):
     want = [html_text.extract(p) for p in pages]
     plain = [re.sub(r"(</?)(?:article|main)\b", r"\1div", p) for p in pages]
     assert [html_text.extract(p) for p in plain] == want
-    monkeypatch.setattr(html_text, "_named", lambda tag, attrs: 0)
+    monkeypatch.setattr(html_text, "COMMENT_WORDS", frozenset())
+    monkeypatch.setattr(html_text, "DROPPED_WORDS", frozenset())
     assert [html_text.extract(p) for p in pages] == want
 
 
