@@ -1,8 +1,10 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
 A rolling hash of the last WINDOW bytes ends a piece wherever it is -1 modulo the block size; each piece gives one
-character of 64. The block size doubles with the text's length until at most LONGEST pieces are likely, and a second
-signature at twice the block size makes texts of half or double the length comparable. Two fingerprints with compatible
+character of 64. Behind RUN equal pieces in a row the rest of the run is one piece. The block size doubles with the text's
+length until at most LONGEST pieces are likely, halves while there are less than half as many, and doubles again while there
+are more, so that all of a text is in its signature. A second signature at twice the block size, which has no more pieces,
+makes texts of half or double the length comparable. Two fingerprints with compatible
 block sizes are compared by edit distance (insertions and deletions) of their signatures, if these share a run of RUN
 characters at all.
 
@@ -56,12 +58,24 @@ class Fingerprinter:
             mixed ^= part << np.uint32(5 * k)
         return total + mixed
 
-    def _signature(self, prefix: np.ndarray, ends: np.ndarray, n: int, longest: int) -> str:
-        ends = ends[: longest - 1]
+    def _pieces(self, prefix: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the pieces that ``ends`` cut, and where the pieces stop."""
         stops = np.append(ends, n) if not len(ends) or ends[-1] < n else ends
         starts = np.append(0, stops[:-1])
         h = (prefix[stops] - prefix[starts]) * self.inverses[starts]
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), stops
+
+    def _merged(self, prefix: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+        """``ends`` without those inside a run of equal pieces, behind its RUN-th: the rest of a run is one piece."""
+        h, stops = self._pieces(prefix, ends, n)
+        same = np.append(False, h[1:] == h[:-1])
+        place = np.arange(len(h))
+        run = place - np.maximum.accumulate(np.where(same, 0, place))  # equal pieces before, in a row
+        keep = (run < RUN - 1) | np.append(~same[1:], True)
+        return stops[keep & (stops < n)]
+
+    def _signature(self, prefix: np.ndarray, ends: np.ndarray, n: int) -> str:
+        h, _ = self._pieces(prefix, ends, n)
         return _LETTERS[(h >> np.uint64(58)).astype(np.int64)].tobytes().decode()
 
     def __call__(self, text: str) -> str:
@@ -73,16 +87,19 @@ class Fingerprinter:
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[:n], dtype=np.uint64, out=prefix[1:])
         roll = self._rolling(data)
+
+        def ends_of(size: int) -> np.ndarray:
+            found = np.flatnonzero(roll % np.uint32(size) == size - 1) + 1 if size < 1 << 32 else np.zeros(0, np.int64)
+            return self._merged(prefix, found, n)
+
         size = SMALLEST
         while size * LONGEST < n:
             size *= 2
-        while True:
-            ends = np.flatnonzero(roll % np.uint32(size) == size - 1) + 1
-            if size == SMALLEST or len(ends) >= LONGEST // 2 - 1:
-                break
+        while size > SMALLEST and len(ends_of(size)) < LONGEST // 2 - 1:
             size //= 2
-        twice = ends[roll[ends - 1] % np.uint32(2 * size) == 2 * size - 1]
-        return f"{size}:{self._signature(prefix, ends, n, LONGEST)}:{self._signature(prefix, twice, n, LONGEST // 2)}"
+        while len(ends := ends_of(size)) > LONGEST - 1:
+            size *= 2
+        return f"{size}:{self._signature(prefix, ends, n)}:{self._signature(prefix, ends_of(2 * size), n)}"
 
 
 def _common(a: str, b: str) -> int:
