@@ -29,6 +29,7 @@ DOC_PROFILE = 400
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 _BITS = 21  # a code point
+#: Longer texts are taken in pieces of at least so many code points, which end where a word does.
 _CHUNK = 2_000_000
 
 
@@ -46,6 +47,17 @@ def _letters() -> np.ndarray:
     return out
 
 
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces that end before something that isn't a letter, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        end = at + _CHUNK
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 class Grams:
     """Texts to n-grams as integers: up to three letters of 21 bits; 0 stands for a word's edge."""
 
@@ -84,8 +96,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         for lang, text in zip(pdf["lang"], pdf["text"]):
-            for at in range(0, len(text), _CHUNK):
-                keys, n = np.unique(grams(text[at : at + _CHUNK]), return_counts=True)
+            for piece in pieces(text):
+                keys, n = np.unique(grams(piece), return_counts=True)
                 held.setdefault(lang, []).append((keys, n))
                 size[lang] = size.get(lang, 0) + len(keys)
             if size.get(lang, 0) > 2_000_000:
@@ -122,7 +134,7 @@ class Identifier:
         self.grams = Grams()
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        parts = [self.grams(text[at : at + _CHUNK]) for at in range(0, len(text or ""), _CHUNK)]
+        parts = [self.grams(piece) for piece in pieces(text or "")]
         keys = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         if not len(keys) or not self.langs or not (keys < np.uint64(1 << _BITS)).any():
             return UNKNOWN, 0.0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -74,24 +75,66 @@ def plain_fingerprint(text):
     size = fingerprints.SMALLEST
     while size * fingerprints.LONGEST < len(data):
         size *= 2
-    ends = lambda size: [i + 1 for i, r in enumerate(roll) if r % size == size - 1]
+
+    def pieces(stops):
+        return [data[a:b] for a, b in zip([0, *stops], [*stops, len(data)]) if b > a]
+
+    def ends(size):
+        """Boundaries, but for those behind the RUN-th of equal pieces."""
+        found, run, out = pieces([i + 1 for i, r in enumerate(roll) if r % size == size - 1]), 0, [b""]
+        for k, piece in enumerate(found):
+            run = run + 1 if k and piece == found[k - 1] else 0
+            if run >= fingerprints.RUN:
+                out[-1] += piece
+            else:
+                out.append(piece)
+        return list(itertools.accumulate(len(x) for x in out[1:]))[: len(out) - 1 - (sum(map(len, out)) == len(data))]
+
     while size > fingerprints.SMALLEST and len(ends(size)) < fingerprints.LONGEST // 2 - 1:
         size //= 2
+    while len(ends(size)) > fingerprints.LONGEST - 1:
+        size *= 2
 
-    def signature(stops, longest):
-        stops = stops[: longest - 1]
-        if data and (not stops or stops[-1] < len(data)):
-            stops = [*stops, len(data)]
-        out, start = "", 0
-        for stop in stops:
+    def signature(stops):
+        out = ""
+        for piece in pieces(stops):
             h, power = 0, 1
-            for b in data[start:stop]:
+            for b in piece:
                 h, power = (h + (b + 1) * power) % 2**64, power * 0x5851F42D4C957F2D % 2**64
             h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
-            out, start = out + fingerprints.ALPHABET[h >> 58], stop
+            out += fingerprints.ALPHABET[h >> 58]
         return out
 
-    return f"{size}:{signature(ends(size), fingerprints.LONGEST)}:{signature(ends(2 * size), fingerprints.LONGEST // 2)}"
+    return f"{size}:{signature(ends(size))}:{signature(ends(2 * size))}"
+
+
+def test_all_of_a_text_is_in_its_fingerprint(docs):
+    """Edits at the end show as edits at the beginning do, also in texts whose end has most boundaries; runs stay short."""
+    make = fingerprints.Fingerprinter()
+    rng = np.random.default_rng(4)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(400)]
+    many = " ".join(rng.choice(words, 4000))
+    for text in [many, "quiet " * 2000 + many, many + "x" * 5000]:
+        size, one, two = make(text).split(":")
+        assert len(one) <= fingerprints.LONGEST and len(two) <= fingerprints.LONGEST
+        for at in (0.05, 0.5, 0.97):
+            cut = int(len(many) * at) + text.index(many[:50])
+            assert make(text[:cut] + " ANOTHER SENTENCE STANDS HERE NOW " + text[cut:]) != make(text)
+    assert make("ab, " * 1000) != make("ab, " * 1001) and len(make("ab, " * 100_000)) < 200
+    for text in docs.text:
+        size, one, _ = make(text).split(":")
+        assert len(one) <= fingerprints.LONGEST
+
+
+def test_words_on_the_edge_of_a_piece(monkeypatch):
+    grams = language_id.Grams()
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        text = " ".join("".join(rng.choice(list("abcé漢-'1"), rng.integers(1, 30))) for _ in range(rng.integers(0, 12)))
+        monkeypatch.setattr(language_id, "_CHUNK", 7)
+        parts = list(language_id.pieces(text))
+        got = np.sort(np.concatenate([grams(p) for p in parts] + [np.zeros(0, np.uint64)]))
+        assert "".join(parts) == text and np.array_equal(got, np.sort(grams(text)) if text else got)
 
 
 @settings(max_examples=60, deadline=None)
