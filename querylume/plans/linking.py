@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from querylume.functions.vectors import top_k
+from querylume.functions.vectors import top_k, top_k_by_pivots
 from querylume.operators import linking
 from querylume.sources.tables import table
 
@@ -52,6 +52,13 @@ def topk_neighbors(spark, d):
     return top_k(e.where("id % 100 = 0"), e, 10).select("q_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@_query(ORACLE["topk_neighbors"])
+def pivot_neighbors(spark, d):
+    """The same neighbours by pivots, which pass over blocks that are too far."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("grp"), F.col("embedding").alias("emb"))
+    return top_k_by_pivots(e.where("id % 100 = 0"), e, 10).select("q_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @_query(_SQL + ", t AS (SELECT q_id, tbl, max(score) AS score FROM s GROUP BY 1, 2) SELECT q_id, tbl, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY q_id ORDER BY t.score DESC, tbl) AS INTEGER) AS rank FROM t QUALIFY rank <= 3")
 def maxpool_topk(spark, d):
     return _tables(*_sides(spark, d), 3).select("q_id", F.col("name").alias("tbl"), F.round("score", 6).alias("score"), "rank")
