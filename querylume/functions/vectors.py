@@ -24,8 +24,8 @@ DIMENSIONS = 64
 _BLOCK = 512
 #: Queries of up to so many vectors are sent to every task; more meet the items by pivots.
 MAX_BROADCAST = 50_000
-#: Pivots; items of a block; queries that meet a block together.
-PIVOTS, ITEMS, QUERIES = 256, 4096, 4096
+#: Pivots at most, and items for each; items of a block; queries that meet a block together.
+PIVOTS, PER_PIVOT, ITEMS, QUERIES = 256, 64, 4096, 4096
 _SLACK = 1e-9  # rounding never rules out a block
 
 
@@ -156,8 +156,10 @@ def _products(asked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     return left.groupBy("block", "_part").cogroup(right.groupBy("_of", "_copy")).applyInArrow(meet, "q_id long, q_grp long, id long, grp long, score double")
 
 
-def top_k_by_pivots(queries: DataFrame, items: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
+def top_k_by_pivots(queries: DataFrame, items: DataFrame, k: int, pivots: int | None = None) -> DataFrame:
     """As ``top_k``: exact, with blocks left out that can't hold any of a query's k best."""
+    if pivots is None:
+        pivots = min(PIVOTS, items.limit(PIVOTS * PER_PIVOT).count() // PER_PIVOT + 1)
     drawn = items.where("emb is not null").orderBy(F.xxhash64("id"), "id").select("emb").limit(pivots).collect()  # at most ``pivots`` vectors
     if not drawn:
         return queries.where("false").select(F.col("id").alias("q_id"), F.col("grp").alias("q_grp"), "id", "grp", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
