@@ -27,7 +27,7 @@ def docs(small_dir):
 
 
 def test_all_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.queries()) == list(range(1, 11)) and registry.oracle_sql().keys() <= registry.queries().keys()
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.queries()) == list(range(1, 14)) and registry.oracle_sql().keys() <= registry.queries().keys()
 
 
 def test_exact_dedup_against_sql(spark, small_dir):
