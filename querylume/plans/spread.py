@@ -1,4 +1,5 @@
-"""Quantiles, densities, box fences and inequality joins over the star tables and documents; question files over benchmark."""
+"""Quantiles, densities, box fences and inequality joins over the star tables and documents; question files over
+benchmark; word vectors over documents."""
 
 from __future__ import annotations
 
@@ -6,9 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from querylume.functions import stats
+from querylume.functions import embedding, stats
+from querylume.functions.vectors import top_k
 from querylume.operators import inequality
-from querylume.operators.storage import shared_dir
+from querylume.operators.storage import numbered, shared_dir
 from querylume.sources import files, json_array
 from querylume.sources.tables import table
 
@@ -102,3 +104,34 @@ def question_array(spark, d):
     path = f"{shared_dir(spark)}/array-{uuid.uuid4().hex}"
     json_array.write_array(table(spark, d, "documents").select("doc_id", "lang", "text", "source"), path, "doc_id")
     return files.read_questions(spark, path).select("idx", "doc_id", "lang", F.md5("text").alias("text_md5"), "source")
+
+
+_NEAR = r"""WITH t AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+c AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM t) GROUP BY word), voc AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS pos FROM c QUALIFY pos < 400),
+p AS (SELECT unnest(list_zip(w[1:len(w) - o], w[1 + o:len(w)])) AS p FROM t, (VALUES (1), (2)) s(o)), k AS (SELECT x.pos AS a, y.pos AS b FROM p JOIN voc x ON x.word = p[1] JOIN voc y ON y.word = p[2]),
+m AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM k UNION ALL SELECT b, a FROM k) WHERE b < 50 GROUP BY 1, 2),
+i AS (SELECT a, b, ln(n * (sum(n) OVER ()) / ((sum(n) OVER (PARTITION BY a))::DOUBLE * (sum(n) OVER (PARTITION BY b)))) AS ppmi FROM m)
+SELECT x.word AS word, y.word AS context, round(ppmi, 6) AS ppmi FROM i JOIN voc x ON x.pos = a JOIN voc y ON y.pos = b WHERE ppmi > 0"""
+
+
+@_query(_NEAR)
+def word_information(spark, d):
+    """Pointwise mutual information of the most frequent words of all documents and the words near them."""
+    docs = table(spark, d, "documents")
+    words = embedding.vocabulary_of(docs, most=400)
+    cells = embedding.information(docs, words, contexts=50)
+    name = lambda c, n: F.broadcast(words.select(F.col("word").alias(n), F.col("at").alias(c)))  # noqa: E731  400 words
+    return cells.join(name("a", "word"), "a").join(name("b", "context"), "b").select("word", "context", F.round("ppmi", 6).alias("ppmi"))
+
+
+def word_neighbors(spark, d):
+    """The three words nearest to each of the most frequent words, by vectors learned from all documents. SQL can't factor a
+    matrix; the vectors are tested against a dense decomposition."""
+    vectors = embedding.learn(table(spark, d, "documents"), vocabulary=5000, contexts=500)
+    items = numbered(vectors, "id", "word", what="word-items").select("id", "word", F.lit(0).cast("long").alias("grp"), F.col("vector").alias("emb"))
+    near = top_k(items.join(embedding.vocabulary_of(table(spark, d, "documents"), most=100).select("word"), "word", "left_semi"), items, 3)
+    name = lambda c: items.select(F.col("id").alias(f"{c}_id"), F.col("word").alias(c))
+    return near.join(name("word"), F.col("q_id") == F.col("word_id")).join(name("near"), F.col("id") == F.col("near_id")).select("word", "rank", "near", F.round("score", 4).alias("score"))
+
+
+QUERIES["word_neighbors"] = word_neighbors
