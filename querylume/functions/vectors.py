@@ -44,9 +44,10 @@ def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     w = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     tri = F.flatten(F.transform(w, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.concat(F.lit("#"), F.substring(x, i, F.lit(3))))))
     bucket = lambda x: (F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
-    found = F.transform(F.concat(w, w, tri), bucket)
-    # what a bucket's removal takes away: one native pass a bucket, where a filter would call a function for every element
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (F.size(found) - F.size(F.array_remove(found, i))).cast("float"))
+    found = F.array(F.transform(F.concat(w, w, tri), bucket))
+    # bound to a name, the buckets are found once a text, not once a bucket; what a bucket's removal takes away is its count
+    count = lambda f: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (F.size(f) - F.size(F.array_remove(f, i))).cast("float"))
+    return F.transform(found, count)[0]
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
