@@ -38,7 +38,15 @@ def _keys(q: Query) -> list:
 def run_sql(spark: SparkSession, text: str, tables: dict[str, list[str]]) -> DataFrame:
     names = {c for cs in tables.values() for c in cs}
     whole = {f.name for t in tables for f in spark.table(t).schema if f.dataType.typeName() in ("byte", "short", "integer", "long")}
-    return spark.sql(to_spark_sql(text, whole, names))
+    first, plain = to_spark_sql(text, whole, names), to_spark_sql(text, whole, names, anti_joins=False)
+    if first != plain:
+        try:
+            out = spark.sql(first)
+            out.schema  # noqa: B018  analysis
+            return out
+        except PySparkException:
+            pass
+    return spark.sql(plain)
 
 
 def _prepared(spark: SparkSession, gold: str, pred: str, tables: dict[str, list[str]], keys: dict[str, str]) -> tuple[DataFrame, DataFrame, bool] | bool:

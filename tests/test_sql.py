@@ -116,3 +116,17 @@ def test_bad_gold_is_an_error_and_bad_predictions_are_not(spark):
     bad = spark.createDataFrame([(0, "star", "SELECT", "SELECT r_name FROM region")], "idx long, db_id string, gold string, pred string")
     with pytest.raises(Exception, match="SqlError|no FROM"):
         compare(bad, declared(spark)).collect()
+
+
+def test_not_in_is_an_anti_join_that_minds_nulls(spark):
+    from querylume.operators.execution import run_sql
+
+    spark.sql("SELECT * FROM VALUES (1), (2), (NULL) AS t(a)").createOrReplaceTempView("noa")
+    spark.sql("SELECT * FROM VALUES (2, 1), (2, 2), (NULL, 3) AS t(b, c)").createOrReplaceTempView("nob")
+    tables = {"noa": ["a"], "nob": ["b", "c"]}
+    for rest in ("a NOT IN (SELECT b FROM nob)", "a NOT IN (SELECT b FROM nob WHERE c < 3)", "a NOT IN (SELECT b FROM nob WHERE c > 3)", "a > 1 AND a NOT IN (SELECT max(c) FROM nob) OR a = 2", "a NOT IN (SELECT a FROM noa WHERE a > 1)"):
+        found = run_sql(spark, f"SELECT a FROM noa WHERE {rest}", tables)
+        assert sorted(map(str, found.collect())) == sorted(map(str, spark.sql(f"SELECT a FROM noa WHERE {rest}").collect())), rest
+    plan = run_sql(spark, "SELECT a FROM noa WHERE a NOT IN (SELECT b FROM nob)", tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "isnull((a" not in plan.lower()  # the null-aware join has the test of nulls in its condition
+    assert run_sql(spark, "SELECT a FROM noa GROUP BY a HAVING count(*) NOT IN (SELECT c FROM nob WHERE c > 1)", tables).count() == 3
