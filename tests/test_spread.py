@@ -85,3 +85,28 @@ def test_inequality_join_by_brute_force(spark, monkeypatch, block, span):
     plan = pairs._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
     assert inequality.match_pairs(left.limit(0), right, keys, keys).count() == 0
+
+
+@pytest.mark.parametrize(("slab", "span"), [(7, 5), (20, 1000), (60, 2)])
+def test_match_counts_meet_slabs_not_pairs_of_blocks(spark, monkeypatch, slab, span):
+    monkeypatch.setattr(inequality, "SLAB", slab)
+    rng = np.random.default_rng(slab)
+    draw = lambda n: [(i % (n - 5), float(rng.integers(span)), float(rng.integers(span))) for i in range(n)]  # noqa: E731  many ties, some ids twice
+    a, b = draw(150), draw(170)
+    left, right = (spark.createDataFrame(x, "k int, x double, y double") for x in (a, b))
+    keys = F.col("k"), F.col("x"), F.col("y")
+    want = {}
+    for k, x, y in a:
+        want[k] = want.get(k, 0) + sum(x < q[1] and y < q[2] for q in b)
+    found = inequality.match_counts(left, right, keys, keys)
+    assert {r["id"]: r["n"] for r in found.collect()} == {k: n for k, n in want.items() if n}
+    assert "inequality-met" not in found._jdf.queryExecution().toString() and "Generate explode" not in found._jdf.queryExecution().toString()
+    assert inequality.match_counts(left.limit(0), right, keys, keys).count() == inequality.match_counts(left, right.limit(0), keys, keys).count() == 0
+
+
+def test_beyond_by_brute_force():
+    rng = np.random.default_rng(1)
+    for m in (0, 1, 2, 3, 64, 65, 300):
+        x, y, right = rng.integers(9, size=m), rng.random(m).round(1), rng.random(m) < 0.6
+        want = ((x[:, None] < x) & (y[:, None] < y) & right).sum(axis=1)
+        assert (inequality._beyond(x, y, right)[~right] == want[~right]).all()
