@@ -110,3 +110,11 @@ def test_beyond_by_brute_force():
         x, y, right = rng.integers(9, size=m), rng.random(m).round(1), rng.random(m) < 0.6
         want = ((x[:, None] < x) & (y[:, None] < y) & right).sum(axis=1)
         assert (inequality._beyond(x, y, right)[~right] == want[~right]).all()
+
+
+def test_pairs_of_blocks_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(inequality, "BLOCK", 5)
+    monkeypatch.setattr(inequality, "_MATRIX", 7)
+    df = spark.range(60).select("id", F.col("id").cast("double").alias("x"))
+    pairs = inequality.match_pairs(df, df, (F.col("id"), F.col("x"), F.col("x")), (F.col("id"), F.col("x"), F.col("x")))
+    assert pairs.rdd.getNumPartitions() >= 12 * 11 // 2 and pairs.count() == pairs.distinct().count() == 60 * 59 // 2
