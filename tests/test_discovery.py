@@ -66,3 +66,14 @@ def test_session_views_have_keys(spark):
     rows = {r["column"]: r for r in catalog.from_session(spark, ["Owner", "pets"], "zoo").collect()}
     assert rows["id"]["is_pk"] and rows["pet"]["is_pk"] and not rows["name"]["is_pk"]
     assert (rows["owner_id"]["fk_table"], rows["owner_id"]["fk_column"]) == ("owner", "id")
+
+
+def test_numbers_are_shuffled_once_as_numbers(spark, monkeypatch):
+    a = spark.createDataFrame([(i, 1 << 60 | i, f"t{i}") for i in range(700)], "id int, big long, name string")
+    b = spark.createDataFrame([(i, i % 700, f"t{i % 9}") for i in range(900)], "k long, a_id short, name string")
+    twice = a.union(a.where("id = 5"))
+    tables = {"a": a, "b": b, "twice": twice}
+    assert discovery._value("id", "number")._jc.toString() == "CAST(id AS BIGINT)"
+    unique, pairs = discovery.found_keys(tables, k=16)
+    assert unique == {("a", "id"), ("a", "big"), ("a", "name"), ("b", "k")}
+    assert {p for p in pairs if p[1][0] == "a"} == {(("b", "a_id"), ("a", "id")), (("b", "name"), ("a", "name")), (("twice", "id"), ("a", "id")), (("twice", "big"), ("a", "big")), (("twice", "name"), ("a", "name"))}
