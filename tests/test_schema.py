@@ -227,3 +227,16 @@ def test_entry_module_stands_without_the_optional_part(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert "pipeline" not in entry.queries() and len(entry.queries()) >= 80 and not any(k.startswith("op") and k[2].isdigit() for k in entry.queries())
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def test_groups_of_all_pairs_are_small(spark):
+    from pyspark.sql import functions as F
+
+    import pyarrow as pa
+
+    e = spark.range(6000).select(F.lit("d").alias("db_id"), F.lit("t").alias("table"), F.col("id").alias("name"), F.col("id").alias("ord"), F.array(F.lit(1.0), F.rand(1)).alias("emb"))
+    p = e.where("ord < 900").select("db_id", F.lit(0).alias("q_id"), F.col("ord").alias("phrase"), "emb")
+    kernel = lambda part, others, scores: pa.table({"n": pa.array([scores.size], pa.int64())})
+    sizes = [r["n"] for r in linking._meet(p, e, kernel, "n long", everything=True).collect()]
+    assert sum(sizes) == 6000 * 900 and max(sizes) < 2 * linking.ALL_PHRASES * linking.ALL_ELEMENTS
+    assert linking.nearest(p, e, 0).count() == 6000 * 900
