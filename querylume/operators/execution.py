@@ -78,13 +78,19 @@ def _prepared(spark: SparkSession, gold: str, pred: str, tables: dict[str, list[
     return left, right, bool(want.order)
 
 
+#: Bits of a digit, and digits that most places have.
+_DIGIT, _LOW = 5, 4
+
+
 def _power(base: int, prime: int, place: str) -> str:
-    """SQL of base ** place modulo prime, by the bits of place."""
-    out, factor = "1L", base % prime
-    for bit in range(_ROW_BITS):
-        out = f"({out} * if(shiftright({place}, {bit}) & 1 = 1, {factor}L, 1L) % {prime}L)"
-        factor = factor * factor % prime
-    return out
+    """SQL of base ** place modulo prime, by the digits of place."""
+    factors = []
+    for bit in range(0, _ROW_BITS, _DIGIT):
+        powers = ", ".join(f"{pow(base, d << bit, prime)}L" for d in range(1 << _DIGIT))
+        factors.append(f"array({powers})[CAST(shiftright({place}, {bit}) & {(1 << _DIGIT) - 1} AS INT)]")
+    product = lambda some: functools.reduce(lambda x, y: f"({x} * {y} % {prime}L)", some)
+    low, high = product(factors[:_LOW]), product(factors[_LOW:])
+    return f"if(shiftright({place}, {_LOW * _DIGIT}) = 0, {low}, {low} * {high} % {prime}L)"
 
 
 _SUMS = [f"sum(_h{i} * {_power(base, m, '_n')} % {m}L) % {m}L" for i, (m, base) in enumerate(_MODULI)]
@@ -116,25 +122,33 @@ def _unlike(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.groupBy(*left.columns).agg(F.sum("_s").alias("_d")).where("_d <> 0").agg(F.count("*").alias("n"))
 
 
-def _job(idx: int, left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-    """What tells whether a pair's results agree, in one form for all pairs: idx, side, part, n, h0, h1."""
-    if ordered:
-        sides = [part_sums(df).select(F.lit(idx).cast("long").alias("idx"), F.lit(i).alias("side"), "part", "n", "h0", "h1") for i, df in enumerate((left, right))]
-        return sides[0].union(sides[1])
+def _results(waiting: list[tuple[int, DataFrame, DataFrame, bool]]) -> list[tuple[int, bool]]:
+    """(idx, left, right, ordered) to (idx, whether the results agree), by one job. What several pairs order alike, as
+    pairs with one gold query do, is run once."""
     zero = F.lit(0).cast("long")
-    return _unlike(left, right).select(F.lit(idx).cast("long").alias("idx"), F.lit(-1).alias("side"), zero.alias("part"), "n", zero.alias("h0"), zero.alias("h1"))
-
-
-def _agree(rows: list) -> bool:
-    if rows and rows[0]["side"] < 0:
-        return rows[0]["n"] == 0
-    sides = [folded((r["part"], r["n"], r["h0"], r["h1"]) for r in rows if r["side"] == i) for i in (0, 1)]
-    return sides[0] == sides[1]
+    sides: list[DataFrame] = []
+    of: dict[int, list[int]] = {}
+    jobs = []
+    for idx, left, right, ordered in waiting:
+        if ordered:
+            of[idx] = []
+            for df in (left, right):
+                at = next((i for i, known in enumerate(sides) if known.sameSemantics(df)), len(sides))
+                if at == len(sides):
+                    sides.append(df)
+                of[idx].append(at)
+        else:
+            jobs.append(_unlike(left, right).select(F.lit(idx).cast("long").alias("idx"), F.lit(-1).alias("side"), zero.alias("part"), "n", zero.alias("h0"), zero.alias("h1")))
+    jobs += [part_sums(df).select(zero.alias("idx"), F.lit(i).alias("side"), "part", "n", "h0", "h1") for i, df in enumerate(sides)]
+    rows = functools.reduce(DataFrame.union, jobs).collect()
+    whole = [folded((r["part"], r["n"], r["h0"], r["h1"]) for r in rows if r["side"] == i) for i in range(len(sides))]
+    unlike = {r["idx"]: r["n"] for r in rows if r["side"] < 0}
+    return [(idx, whole[of[idx][0]] == whole[of[idx][1]] if ordered else unlike[idx] == 0) for idx, _, _, ordered in waiting]
 
 
 def _one(left: DataFrame, right: DataFrame, ordered: bool) -> bool:
     try:
-        return _agree(_job(0, left, right, ordered).collect())
+        return _results([(0, left, right, ordered)])[0][1]
     except PySparkException:
         right.write.format("noop").mode("overwrite").save()  # an error of the gold query is raised here
         return False
@@ -159,14 +173,9 @@ def match_all(pairs: DataFrame, schema_of: Callable[[str], tuple[dict[str, list[
     def run() -> None:
         if waiting:
             try:
-                rows = functools.reduce(DataFrame.union, [_job(*w) for w in waiting]).collect()
+                out.extend(_results(waiting))
             except PySparkException:
                 out.extend((idx, _one(*rest)) for idx, *rest in waiting)
-            else:
-                by: dict[int, list] = {w[0]: [] for w in waiting}
-                for r in rows:
-                    by[r["idx"]].append(r)
-                out.extend((idx, _agree(found)) for idx, found in by.items())
             waiting.clear()
 
     for r in pairs.select("idx", "db_id", "gold", "pred").orderBy("db_id", "idx").toLocalIterator():

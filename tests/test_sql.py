@@ -130,3 +130,25 @@ def test_not_in_is_an_anti_join_that_minds_nulls(spark):
     plan = run_sql(spark, "SELECT a FROM noa WHERE a NOT IN (SELECT b FROM nob)", tables)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan and "isnull((a" not in plan.lower()  # the null-aware join has the test of nulls in its condition
     assert run_sql(spark, "SELECT a FROM noa GROUP BY a HAVING count(*) NOT IN (SELECT c FROM nob WHERE c > 1)", tables).count() == 3
+
+
+def test_ordered_results_are_summed_once(spark, monkeypatch):
+    from querylume.operators import execution
+
+    tables = {"once": ["k", "v"]}
+    spark.range(50).selectExpr("id AS k", "id % 7 AS v").createOrReplaceTempView("once")
+    asked = []
+    sums = execution.part_sums
+    monkeypatch.setattr(execution, "part_sums", lambda df: asked.append(df) or sums(df))
+    gold = "SELECT k FROM once ORDER BY k"
+    pairs = [(0, "d", gold, gold), (1, "d", gold, "SELECT k FROM once ORDER BY k DESC"), (2, "d", gold, "SELECT k FROM once WHERE k >= 0 ORDER BY k"), (3, "d", "SELECT v FROM once", "SELECT v FROM once WHERE v < 6")]
+    found = execution.match_all(spark.createDataFrame(pairs, "idx long, db_id string, gold string, pred string"), lambda _: (tables, {}))
+    assert dict(map(tuple, found.collect())) == {0: True, 1: False, 2: True, 3: False} and len(asked) == 3
+
+
+@pytest.mark.parametrize("place", [0, 1, 31, 32, 1025, (1 << 20) - 1, 1 << 20, (1 << 33) - 1])
+def test_powers_by_digits(spark, place):
+    from querylume.operators import execution
+
+    for prime, base in execution._MODULI:
+        assert spark.range(1).selectExpr(f"{execution._power(base, prime, f'{place}L')} AS x").first()[0] == pow(base, place, prime)
