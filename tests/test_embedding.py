@@ -76,3 +76,28 @@ def test_words_of_a_topic_are_near(spark, docs):
 
 def test_nothing_to_learn_from(spark, docs):
     assert embedding.learn(docs.limit(0)).count() == 0
+
+
+def test_pairs_of_words_are_counted_as_numbers(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "_TEXTS", 2)
+    texts = ["b a b x A", None, "", "a", "x x b", "b; a -- c", "a b" * 3]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    words = spark.createDataFrame([("a", 3, 0), ("b", 2, 1), ("c", 1, 2)], "word string, n long, at int")
+    found = embedding.information(docs, words, contexts=2)
+    want: dict = {}
+    for t in texts:
+        w = [x for x in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()]
+        for o in (1, 2):
+            for x, y in zip(w, w[o:]):
+                if x in "abc" and y in "abc":
+                    for p, q in ((x, y), (y, x)):
+                        if "abc".index(q) < 2:
+                            want["abc".index(p), "abc".index(q)] = want.get(("abc".index(p), "abc".index(q)), 0) + 1
+    kept = {(r["a"], r["b"]): r["n"] for r in spark.read.parquet(found._frozen_at).collect()}
+    assert kept == want
+    from querylume.operators import storage
+
+    made = []
+    monkeypatch.setattr(embedding, "frozen", lambda df, what: made.append(df) or storage.frozen(df, what))
+    embedding.information(docs, words, contexts=2)
+    assert "Generate explode" not in made[0]._jdf.queryExecution().executedPlan().toString()
