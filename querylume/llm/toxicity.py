@@ -8,11 +8,12 @@ and clean documents. Evidence counts by occurrence: how many tokens of the docum
 beside its length, the best and the summed weights of its tokens go into a logistic model, which gives a probability. So a
 beginning that clean documents hold once, and toxic ones again and again, tells them apart.
 
-All models are learned from labelled training rows, at most MAX_LABELLED of them (seeded by a hash; the only bound). Rows
-equal in text and label count once, so that copies aren't evidence; no other row is left out: counts of words, word
-beginnings and character trigrams are summed by Spark; the lexicon takes what is significantly more often, once or at
-least twice, in toxic rows; the logistic model is fitted on the driver to EVIDENCE numbers a row. Scoring is one map over
-the documents, without a shuffle.
+All models are learned from all labelled training rows. Rows equal in text and label count once, so that copies aren't
+evidence; no other row is left out: counts of words, word beginnings and character trigrams are summed by Spark; the lexicon
+takes what is significantly more often, once or at least twice, in toxic rows. What too few toxic rows have for that is
+never counted in clean ones. The logistic model is fitted to EVIDENCE numbers a row, of which only sums over all rows come
+to the driver, in whole units, so that their order doesn't matter. What the driver and the workers hold whole are the models:
+they grow with the vocabulary of toxic rows, not with rows. Scoring is one map over the documents, without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,19 +21,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Container, Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querylume.llm.common import drop_frozen, freeze, table, tidy
 
-MAX_LABELLED = 20_000
 THRESHOLD = 0.7
-SEED = 29
 PREFIXES = range(4, 10)
 #: Nats by which the toxic share among the rows that have a feature, once or twice, must exceed chance.
 SIGNIFICANCE = 20.0
@@ -155,49 +154,58 @@ def features(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:k] for k in PREFIXES if k <= len(word))] if len(word) > 1 else []
 
 
-#: Features that a worker holds before it passes their counts on.
-_HELD_FEATURES = 300_000
-_COUNTS = "kind string, key string, toxic long, clean long, toxic_2 long, clean_2 long, toxic_all long, clean_all long"
-_COUNT_FIELDS = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64()}[c.split()[1]]) for c in _COUNTS.split(", ")])
+#: Features and tokens that a worker holds before it passes their counts on.
+_HELD = 300_000
+_COUNTS = "kind string, key string, n long, n_2 long, n_all long"
+_COUNT_FIELDS = pa.schema([("kind", pa.string()), ("key", pa.string()), ("n", pa.int64()), ("n_2", pa.int64()), ("n_all", pa.int64())])
 
 
-def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-    """For each feature the toxic and clean rows that have it, those that have it in two tokens or more, and the tokens
-    that have it; for each trigram how often it is; and as a feature without a name all tokens."""
-    once, twice, every, tri = (Counter(), Counter()), (Counter(), Counter()), (Counter(), Counter()), Counter()
+def _count_rows(texts: Iterator[str], wanted: Container[str] | None) -> Iterator[tuple[str, list[str], list[list[int]]]]:
+    """For each feature, or each that is wanted, the rows that have it, those that have it in two tokens or more, and the
+    tokens that have it; for each trigram how often it is; and as a feature without a name all tokens."""
+    once, twice, every, seen = Counter(), Counter(), Counter(), Counter()
+    known: dict[str, tuple[str, ...]] = {}
 
-    def flush() -> Iterator[pd.DataFrame]:
-        for kind, keys, columns in (("f", list(every[0].keys() | every[1].keys()), (*once, *twice, *every)), ("t", list(tri), (tri, {}, {}, {}, {}, {}))):
+    def flush() -> Iterator[tuple[str, list[str], list[list[int]]]]:
+        tri = Counter()
+        for token, n in seen.items():
+            for w in words_of(token, None):
+                x = "^^" + w + "$"
+                for i in range(len(x) - 2):
+                    tri[x[i : i + 3]] += n
+        for kind, keys, columns in (("f", list(every), (once, twice, every)), ("t", list(tri), (tri, {}, {}))):
             for at in range(0, len(keys), 50_000):
                 part = keys[at : at + 50_000]
-                yield pd.DataFrame({"kind": kind, "key": part} | {name.split()[0]: [c.get(k, 0) for k in part] for name, c in zip(_COUNTS.split(", ")[2:], columns)})
-        for c in (*once, *twice, *every, tri):
+                yield kind, part, [[c.get(k, 0) for k in part] for c in columns]
+        for c in (once, twice, every, seen):
             c.clear()
 
-    for batch in batches:
-        for text, label in zip(batch.column("text"), batch.column("_label").to_pylist()):
-            if len(every[0]) + len(every[1]) > _HELD_FEATURES:
-                yield from flush()
-            found, tokens = Counter(), _tokens(text.as_py())
-            for token in tokens:
-                of_token: set[str] = set()
-                for w in words_of(token, None):
-                    of_token.update(features(w))
-                    x = "^^" + w + "$"
-                    tri.update([x[i : i + 3] for i in range(len(x) - 2)])
-                found.update(of_token)
-            i = 0 if label else 1
-            every[i].update(found)
-            every[i][""] += len(tokens)
-            once[i].update(found.keys())
-            twice[i].update([f for f, n in found.items() if n > 1])
+    for text in texts:
+        if len(every) + len(seen) > _HELD:
+            yield from flush()
+        tokens = _tokens(text)
+        seen.update(tokens)
+        if len(known) > _CACHE_TOKENS:
+            known.clear()
+        for token in tokens:
+            if token not in known:
+                known[token] = tuple({f for w in words_of(token, None) for f in features(w) if wanted is None or f in wanted})
+        found = Counter(chain.from_iterable([known[token] for token in tokens]))
+        every.update(found)
+        every[""] += len(tokens)
+        once.update(found.keys())
+        twice.update([f for f, n in found.items() if n > 1])
     yield from flush()
 
 
-@tidy
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for found in _count_rows(batches):
-        yield pa.RecordBatch.from_pandas(found, schema=_COUNT_FIELDS, preserve_index=False)
+def _count(wanted: Container[str] | None = None):
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = (t.as_py() for batch in batches for t in batch.column("text"))
+        for kind, keys, columns in _count_rows(texts, wanted):
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys, pa.string()), *[pa.array(c, pa.int64()) for c in columns]], schema=_COUNT_FIELDS)
+
+    return run
 
 
 def excess(toxic: float, clean: float, share: float) -> float:
@@ -263,50 +271,88 @@ def _seen(lexicon: Lexicon):
     return run
 
 
-def fit(seen: np.ndarray, labels: np.ndarray, ridge: float = RIDGE) -> tuple[float, np.ndarray]:
-    """Intercept and slopes of a logistic model with a penalty, on standardised columns, by Newton's method."""
-    middle, scale = seen.mean(axis=0), np.maximum(seen.std(axis=0), 1e-9)
-    x = np.column_stack([np.ones(len(seen)), (seen - middle) / scale])
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
+#: Sums are of whole multiples of one over this.
+_UNIT = 2.0**36
+
+
+def _totals(seen: DataFrame, values: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sums over all rows of the columns that ``values`` makes of evidence and labels: the same whatever the order of rows."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy() for c in EVIDENCE])
+            units = np.rint(values(x, batch.column("label").to_numpy()) * _UNIT).astype(np.int64)
+            halves = [pa.array(h.sum(axis=0)) for h in (units >> 31, units & (1 << 31) - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(units.shape[1], dtype=np.int32)), *halves], ["i", "high", "low"])
+
+    found = seen.mapInArrow(run, "i int, high long, low long").groupBy("i").agg(F.sum("high").alias("high"), F.sum("low").alias("low"))
+    return np.array([((r["high"] << 31) + r["low"]) / _UNIT for r in sorted(found.collect(), key=lambda r: r["i"])])
+
+
+def fit(seen: DataFrame, ridge: float = RIDGE) -> tuple[float, np.ndarray]:
+    """Intercept and slopes of a logistic model with a penalty, on standardised columns, by Newton's method. Each step is one
+    pass over all rows of EVIDENCE and label."""
+    total = seen.count()
+    middle = _totals(seen, lambda x, _: x) / total
+    scale = np.maximum(np.sqrt(_totals(seen, lambda x, _: (x - middle) ** 2) / total), 1e-9)
+    w = np.zeros(1 + len(EVIDENCE))
+    upper = np.triu_indices(len(w))
+
+    def moments(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        x = np.column_stack([np.ones(len(x)), (x - middle) / scale])
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge * np.eye(len(w)), x.T @ (labels - p) - ridge * w)
-        w += step
+        return np.column_stack([x * (labels - p)[:, None], x[:, upper[0]] * x[:, upper[1]] * (p * (1 - p))[:, None]])
+
+    for _ in range(50):
+        sums = _totals(seen, moments)
+        curve = np.zeros((len(w), len(w)))
+        curve[upper] = curve.T[upper] = sums[len(w) :]
+        step = np.linalg.solve(curve + ridge * np.eye(len(w)), sums[: len(w)] - ridge * w)
+        w = w + step
         if np.abs(step).max() < 1e-9:
             break
     slopes = w[1:] / scale
     return float(w[0] - slopes @ middle), slopes
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Lexicon:
-    """Learns from labelled rows of the training folds: crc32 of the id as text mod 3 is not 1."""
+def _training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """text, _label: the labelled texts of the training folds, once each. Of equal texts one id is chosen by their hashes, so
+    that texts are shuffled once."""
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_label").isNotNull() & ~held_out(F.col("_id")))
     marks = marks.groupBy("_id").agg(F.max("_label").alias("_label"))
-    n = marks.count()
-    if n > max_labelled:
-        marks = marks.where(F.pmod(F.xxhash64(F.lit(SEED), F.col("_id")), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "_id").where("text is not null")  # at most about max_labelled
-    rows = freeze(rows.select("text", "_label").distinct(), "toxicity-rows")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & ~held_out(F.col("_id")))
+    texts = texts.withColumn("_hash", F.sha2("text", 256))
+    chosen = texts.select("_id", "_hash").join(marks, "_id").groupBy("_hash", "_label").agg(F.min("_id").alias("_id"))
+    return texts.join(chosen, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"]).select("text", "_label")
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
+    """Learns from all labelled rows of the training folds: crc32 of the id as text mod 3 is not 1."""
+    rows = freeze(_training_rows(docs, labels, id_col, text_col, label_col), "toxicity-rows")
     total, toxic_n = rows.agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0))).first()
     if not 0 < toxic_n < total:  # nothing to tell apart
         drop_frozen(rows)
         return Lexicon({}, CharModel({}))
-    sums = [F.sum(c).alias(c) for c in ("toxic", "clean", "toxic_2", "clean_2", "toxic_all", "clean_all")]
-    counts = freeze(rows.mapInArrow(_count, _COUNTS).groupBy("kind", "key").agg(*sums).where("toxic > 0 or key = ''"), "toxicity-counts")
-    model = CharModel({r["key"]: r["toxic"] for r in counts.where("kind = 't'").collect()})  # bounded, as all models are, by max_labelled rows
     share = toxic_n / total
     least = max(3, math.ceil(SIGNIFICANCE / -math.log(share)))
-    found = counts.where((F.col("kind") == "f") & ((F.col("key") == "") | (F.col("toxic") >= least))).collect()
-    toxic_all, clean_all = next((r["toxic_all"], r["clean_all"]) for r in found if r["key"] == "")
+    sums = [F.sum(c).alias(c) for c in ("n", "n_2", "n_all")]
+    toxic = freeze(rows.where("_label <> 0").mapInArrow(_count(), _COUNTS).groupBy("kind", "key").agg(*sums).where(f"kind = 't' or key = '' or n >= {least}"), "toxicity-counts")
+    in_toxic = {r["key"]: r for r in toxic.where("kind = 'f'").collect()}
+    clean = freeze(rows.where("_label = 0").mapInArrow(_count(frozenset(in_toxic)), _COUNTS).groupBy("kind", "key").agg(*sums), "toxicity-counts")
+    in_clean = {r["key"]: r for r in clean.where("kind = 'f'").collect()}
+    model = CharModel({r["key"]: r["n"] for r in toxic.union(clean).where("kind = 't'").groupBy("key").agg(F.sum("n").alias("n")).collect()})
+    none = {"n": 0, "n_2": 0, "n_all": 0}
+    toxic_all, clean_all = (x.get("", none)["n_all"] for x in (in_toxic, in_clean))
     weights = {}
-    for r in found:
-        rate = math.log((r["toxic_all"] + 0.5) / (toxic_all + 1)) - math.log((r["clean_all"] + 0.5) / (clean_all + 1))
-        if r["key"] and rate > 0 and max(excess(r["toxic"], r["clean"], share), excess(r["toxic_2"], r["clean_2"], share)) >= SIGNIFICANCE:
-            weights[r["key"]] = rate
-    seen = rows.mapInArrow(_seen(Lexicon(weights, model)), ", ".join(f"{c} double" for c in EVIDENCE) + ", label int")
-    table_ = np.array(sorted(tuple(r) for r in seen.collect()))  # a few numbers for each of at most about max_labelled rows; sorted, so that reruns agree
-    base, slopes = fit(table_[:, :-1], table_[:, -1])
-    drop_frozen(rows, counts)
+    for key, t in in_toxic.items():
+        c = in_clean.get(key, none)
+        rate = math.log((t["n_all"] + 0.5) / (toxic_all + 1)) - math.log((c["n_all"] + 0.5) / (clean_all + 1))
+        if key and rate > 0 and max(excess(t["n"], c["n"], share), excess(t["n_2"], c["n_2"], share)) >= SIGNIFICANCE:
+            weights[key] = rate
+    seen = freeze(rows.mapInArrow(_seen(Lexicon(weights, model)), ", ".join(f"{c} double" for c in EVIDENCE) + ", label int"), "toxicity-evidence")
+    base, slopes = fit(seen)
+    drop_frozen(rows, toxic, clean, seen)
     return Lexicon(weights, model, base, dict(zip(EVIDENCE, slopes.tolist())))
 
 

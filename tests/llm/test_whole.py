@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import math
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
 
 from querylume.llm import html_text, toxicity
 
@@ -17,6 +21,27 @@ def test_training_rows_that_are_no_copies_all_count(spark):
     assert "=vermin" not in weights  # 80 copies are one row
 
 
+def test_all_labelled_rows_count(spark):
+    """Over 20,000 training rows: weights are those of all of them, and the logistic model stands where its slope over all is zero."""
+    n, word = 36_000, lambda i: " scum" * (i % 10 == 0 and i % 70 > 0) + " vermin" * (i % 61 == 0)
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("n"), "id", F.lit(" plain words"), F.when((F.col("id") % 10 == 0) & (F.col("id") % 70 > 0), " scum").otherwise(""), F.when(F.col("id") % 61 == 0, " vermin").otherwise("")).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
+    lexicon = toxicity.learn(docs, labels)
+    rows = [(f"n{i} plain words{word(i)}", int(i % 10 == 0)) for i in range(n) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(rows) > 23_000
+    hits = sum("scum" in t for t, _ in rows)
+    tokens = [sum(len(t.split()) for t, toxic in rows if toxic == k) for k in (0, 1)]
+    assert lexicon.weights["=scum"] == math.log((hits + 0.5) / (tokens[1] + 1)) - math.log(0.5 / (tokens[0] + 1))
+    seen = [toxicity.evidence(*lexicon.weights_of(t, {})) for t, _ in rows]
+    x = np.array([[e[c] for c in toxicity.EVIDENCE] for e in seen])
+    y = np.array([k for _, k in rows])
+    slopes = np.array([lexicon.slopes[c] for c in toxicity.EVIDENCE])
+    middle, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    z = np.column_stack([np.ones(len(x)), (x - middle) / scale])
+    w = np.array([lexicon.base + slopes @ middle, *slopes * scale])
+    assert np.abs(z.T @ (y - 1 / (1 + np.exp(-z @ w))) - toxicity.RIDGE * w).max() < 1e-4
+
+
 def test_evidence_counts_by_occurrence(spark):
     """A beginning that clean texts hold once and toxic ones again and again tells them apart."""
     plain = " ".join(f"word{k}" for k in range(40))
