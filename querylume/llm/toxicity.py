@@ -53,6 +53,8 @@ _GAP = re.compile("[%s]+" % re.escape(_GAPS))
 _EDGES = ".,;:!?\"'()[]{}<>%&$#*@-_|/\\=+~^`…«»„“”’"
 _REPEATED = re.compile(r"(\w)\1\1|(\w)\2\w*(\w)\3")
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ \t][^\s])+(?!\S)|(?<!\S)[@$!|](?:[ \t]\S){2,}(?!\S)")
+#: Two single letters or signs side by side, as in all that _SPACED finds behind a blank.
+_PAIR = re.compile(r"\s\S[ \t]\S(?!\S)")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _INVISIBLE = re.compile("[\u200b\u200c\u200d\u2060\ufeff\xad]+")
 
@@ -139,7 +141,7 @@ def _tokens(text: str) -> set[str]:
 def words_of(token: str, model: CharModel | None) -> list[str]:
     """The words of a token: its letters, and if it is suspicious and there is a model, also its restored reading."""
     bare = token.strip(_EDGES)
-    if bare.isalpha() and (model is None or not (_REPEATED.search(bare) or token[0] in LEET or not _LOOKALIKE.isdisjoint(bare))):
+    if bare.isalpha() and (model is None or not (len(set(bare)) < len(bare) - 1 and _REPEATED.search(bare) or token[0] in LEET or not _LOOKALIKE.isdisjoint(bare))):
         return [bare]
     words = _LETTERS.findall(token)
     if model is not None:
@@ -160,39 +162,63 @@ _COUNTS = "kind string, key string, n long, n_2 long, n_all long"
 _COUNT_FIELDS = pa.schema([("kind", pa.string()), ("key", pa.string()), ("n", pa.int64()), ("n_2", pa.int64()), ("n_all", pa.int64())])
 
 
+def _wanted(word: str, wanted: Container[str] | None) -> list[str]:
+    """The features of a word that are wanted. With a longer one that begins with it, a beginning is wanted too."""
+    if wanted is None:
+        return features(word)
+    out = []
+    for k in PREFIXES:
+        if k > len(word) or (f := "^" + word[:k]) not in wanted:
+            break
+        out.append(f)
+    if (out or 1 < len(word) < PREFIXES[0]) and "=" + word in wanted:
+        out.append("=" + word)
+    return out
+
+
+def _trigrams(words: list[str], times: list[int]) -> tuple[list[str], list[int]]:
+    """The trigrams of words that occur so many times."""
+    x = np.frombuffer("".join([f"^^{w}$" for w in words]).encode("utf-32-le"), "<u4").astype(np.uint64)
+    times = np.repeat(times, [len(w) + 3 for w in words])
+    begins = np.flatnonzero((x[:-2] != ord("$")) & (x[1:-1] != ord("$"))) if words else np.zeros(0, int)
+    codes, which = np.unique(x[begins] << np.uint64(42) | x[begins + 1] << np.uint64(21) | x[begins + 2], return_inverse=True)
+    n = np.zeros(len(codes), np.int64)
+    np.add.at(n, which, times[begins])
+    low = (1 << 21) - 1
+    return [chr(c >> 42) + chr(c >> 21 & low) + chr(c & low) for c in codes.tolist()], n.tolist()
+
+
 def _count_rows(texts: Iterator[str], wanted: Container[str] | None) -> Iterator[tuple[str, list[str], list[list[int]]]]:
     """For each feature, or each that is wanted, the rows that have it, those that have it in two tokens or more, and the
     tokens that have it; for each trigram how often it is; and as a feature without a name all tokens."""
-    once, twice, every, seen = Counter(), Counter(), Counter(), Counter()
-    known: dict[str, tuple[str, ...]] = {}
+    once, twice, seen = Counter(), Counter(), Counter()
+    known: dict[str, list[str]] = {}
 
     def flush() -> Iterator[tuple[str, list[str], list[list[int]]]]:
-        tri = Counter()
+        every = Counter(chain.from_iterable([known[token] for token, n in seen.items() if n == 1]))
         for token, n in seen.items():
-            for w in words_of(token, None):
-                x = "^^" + w + "$"
-                for i in range(len(x) - 2):
-                    tri[x[i : i + 3]] += n
-        for kind, keys, columns in (("f", list(every), (once, twice, every)), ("t", list(tri), (tri, {}, {}))):
-            for at in range(0, len(keys), 50_000):
-                part = keys[at : at + 50_000]
-                yield kind, part, [[c.get(k, 0) for k in part] for c in columns]
-        for c in (once, twice, every, seen):
+            if n > 1:
+                for f in known[token]:
+                    every[f] += n
+        every[""] = seen.total()
+        keys = list(every)
+        yield "f", keys, [[c[k] for k in keys] for c in (once, twice, every)]
+        parts = [(w, n) for token, n in seen.items() for w in words_of(token, None)]
+        keys, times = _trigrams([w for w, _ in parts], [n for _, n in parts])
+        yield "t", keys, [times, [0] * len(keys), [0] * len(keys)]
+        for c in (once, twice, seen, known):
             c.clear()
 
     for text in texts:
-        if len(every) + len(seen) > _HELD:
+        if len(once) + len(seen) > _HELD:
             yield from flush()
         tokens = _tokens(text)
         seen.update(tokens)
-        if len(known) > _CACHE_TOKENS:
-            known.clear()
         for token in tokens:
             if token not in known:
-                known[token] = tuple({f for w in words_of(token, None) for f in features(w) if wanted is None or f in wanted})
+                words = words_of(token, None)
+                known[token] = _wanted(words[0], wanted) if len(words) == 1 else list({f for w in words for f in _wanted(w, wanted)})
         found = Counter(chain.from_iterable([known[token] for token in tokens]))
-        every.update(found)
-        every[""] += len(tokens)
         once.update(found.keys())
         twice.update([f for f, n in found.items() if n > 1])
     yield from flush()
@@ -203,7 +229,9 @@ def _count(wanted: Container[str] | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = (t.as_py() for batch in batches for t in batch.column("text"))
         for kind, keys, columns in _count_rows(texts, wanted):
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys, pa.string()), *[pa.array(c, pa.int64()) for c in columns]], schema=_COUNT_FIELDS)
+            found = pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys, pa.string()), *[pa.array(c, pa.int64()) for c in columns]], schema=_COUNT_FIELDS)
+            for at in range(0, len(keys), 50_000):
+                yield found.slice(at, 50_000)
 
     return run
 
@@ -227,7 +255,11 @@ class Lexicon:
 
     def weight(self, words: list[str]) -> float:
         """The best weight of a token's words. A word whose first letters begin no feature has none."""
-        return max((self.weights[f] for w in words if w[: PREFIXES[0]] in self.heads for f in features(w) if f in self.weights), default=0.0)
+        best = 0.0
+        for w in words:
+            if w[: PREFIXES[0]] in self.heads:
+                best = max([best, *[self.weights[f] for f in features(w) if f in self.weights]])
+        return best
 
     def weights_of(self, text: str, known: dict[str, float]) -> tuple[list[float], int]:
         """Weights of the tokens that have any, and the number of tokens. ``known`` keeps weights from text to text."""
@@ -240,7 +272,7 @@ class Lexicon:
                 w = known[token] = self.weight(words_of(token, self.model))
             if w:
                 found.append(w)
-        for m in _SPACED.finditer(text.lower()) if "  " in text or _SPACED.search(text) else ():
+        for m in _SPACED.finditer(lower) if _PAIR.search(" " + (lower := text.lower())) else ():
             if len(piece := m.group()) >= 5:
                 found += [w for one in set(restore(piece, self.model).split()) if (w := self.weight([one]))]
         return found, len(tokens)
@@ -276,14 +308,15 @@ _UNIT = 2.0**36
 
 
 def _totals(seen: DataFrame, values: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sums over all rows of the columns that ``values`` makes of evidence and labels: the same whatever the order of rows."""
+    """Sums over all rows, ``n`` times each, of the columns that ``values`` makes of evidence and labels: the same whatever the
+    order of rows."""
 
-    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.column_stack([batch.column(c).to_numpy() for c in EVIDENCE])
             units = np.rint(values(x, batch.column("label").to_numpy()) * _UNIT).astype(np.int64)
-            halves = [pa.array(h.sum(axis=0)) for h in (units >> 31, units & (1 << 31) - 1)]
+            n = batch.column("n").to_numpy()
+            halves = [pa.array(n @ h) for h in (units >> 31, units & (1 << 31) - 1)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(units.shape[1], dtype=np.int32)), *halves], ["i", "high", "low"])
 
     found = seen.mapInArrow(run, "i int, high long, low long").groupBy("i").agg(F.sum("high").alias("high"), F.sum("low").alias("low"))
@@ -292,8 +325,8 @@ def _totals(seen: DataFrame, values: Callable[[np.ndarray, np.ndarray], np.ndarr
 
 def fit(seen: DataFrame, ridge: float = RIDGE) -> tuple[float, np.ndarray]:
     """Intercept and slopes of a logistic model with a penalty, on standardised columns, by Newton's method. Each step is one
-    pass over all rows of EVIDENCE and label."""
-    total = seen.count()
+    pass over all rows of EVIDENCE, label and n."""
+    total = seen.agg(F.sum("n")).first()[0]
     middle = _totals(seen, lambda x, _: x) / total
     scale = np.maximum(np.sqrt(_totals(seen, lambda x, _: (x - middle) ** 2) / total), 1e-9)
     w = np.zeros(1 + len(EVIDENCE))
@@ -350,7 +383,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         rate = math.log((t["n_all"] + 0.5) / (toxic_all + 1)) - math.log((c["n_all"] + 0.5) / (clean_all + 1))
         if key and rate > 0 and max(excess(t["n"], c["n"], share), excess(t["n_2"], c["n_2"], share)) >= SIGNIFICANCE:
             weights[key] = rate
-    seen = freeze(rows.mapInArrow(_seen(Lexicon(weights, model)), ", ".join(f"{c} double" for c in EVIDENCE) + ", label int"), "toxicity-evidence")
+    seen = rows.mapInArrow(_seen(Lexicon(weights, model)), ", ".join(f"{c} double" for c in EVIDENCE) + ", label int")
+    seen = freeze(seen.groupBy(*EVIDENCE, "label").agg(F.count("*").alias("n")), "toxicity-evidence")
     base, slopes = fit(seen)
     drop_frozen(rows, toxic, clean, seen)
     return Lexicon(weights, model, base, dict(zip(EVIDENCE, slopes.tolist())))
