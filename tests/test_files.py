@@ -90,3 +90,27 @@ def test_arrays_and_lines_in_parts(spark, tmp_path):
     assert all(r["idx"] == r["id"] for r in files.read_questions(spark, str(tmp_path / "array")).collect())
     lines = files.read_lines(spark, str(tmp_path / "lines")).collect()
     assert sorted((r["line_no"], r["value"]) for r in lines) == [(i, f'say "}}{i} [') for i in range(5000)]
+
+
+def test_arrays_are_written_once_and_only_cut_records_are_shuffled(spark, tmp_path, monkeypatch):
+    """Ties at both ends; of all tables on the way only the records' parts are kept, and only cut ones meet."""
+    kept, frozen = [], json_array.frozen
+    monkeypatch.setattr(json_array, "frozen", lambda df, what, *a: kept.append((what, frozen(df, what, *a))) or kept[-1][1])
+    assert not hasattr(json_array, "numbered")
+    df = spark.range(900).select((F.col("id") % 30).alias("k"), F.concat(F.lit("} ["), F.col("id").cast("string"), F.lit('"')).alias("text")).repartition(5)
+    json_array.write_array(df, str(tmp_path / "array"), "k")
+    got = json.loads("".join(open(p).read() for p in files.part_files(str(tmp_path / "array"))))
+    assert [x["k"] for x in got] == sorted(x["k"] for x in got) and sorted(x["text"] for x in got) == sorted(r["text"] for r in df.collect())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = json_array.records(spark, str(tmp_path / "array")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [json.loads(r["value"]) for r in sorted(found)] == got
+    [(what, parts)] = kept
+    assert what == "json-parts" and 0 < parts.where("not whole").count() <= 2 * parts.select("file", "start").distinct().count()
+    json_array.write_array(df.limit(0), str(tmp_path / "none"), "k")
+    assert files.read_questions(spark, str(tmp_path / "none")).count() == 0
