@@ -2,7 +2,8 @@
 
 A column's key is its unit in the select list without the outer aggregate, foreign key columns by their group; of columns
 with one key the last counts, and ``*`` stands for the first column. Order counts only where the gold query has ORDER BY,
-since Spark promises none otherwise.
+since Spark promises none otherwise. Rows that a query's ORDER BY leaves tied go by the compared columns, in the order of the
+gold query's select list on both sides, before a LIMIT cuts them: which of them comes first would be chance, and no difference.
 
 Both comparisons stay in Spark, and as many pairs as a batch has are one job. Without order, the two sides are united with
 opposite signs, and the rows whose signs don't add up to zero are counted. In order, every part of a result gives its number
@@ -35,10 +36,10 @@ def _keys(q: Query) -> list:
     return [(v.left, None, None) if v.right is None else (v.op, v.left, v.right) for _, v in q.select]
 
 
-def run_sql(spark: SparkSession, text: str, tables: dict[str, list[str]]) -> DataFrame:
+def run_sql(spark: SparkSession, text: str, tables: dict[str, list[str]], ties: tuple[int, ...] = ()) -> DataFrame:
     names = {c for cs in tables.values() for c in cs}
     whole = {f.name for t in tables for f in spark.table(t).schema if f.dataType.typeName() in ("byte", "short", "integer", "long")}
-    first, plain = to_spark_sql(text, whole, names), to_spark_sql(text, whole, names, anti_joins=False)
+    first, plain = (to_spark_sql(text, whole, names, anti_joins, ties) for anti_joins in (True, False))
     if first != plain:
         try:
             out = spark.sql(first)
@@ -55,19 +56,20 @@ def _prepared(spark: SparkSession, gold: str, pred: str, tables: dict[str, list[
     want, got = try_parse(gold, schema), try_parse(pred, schema)
     if want is None:
         raise ValueError("the gold query isn't in the accepted subset")
-    right = run_sql(spark, gold, tables)
+    places = lambda q: {k: i for i, k in enumerate(_keys(C.canonical(q, C.usable_columns(q.tables, schema), keys)))}
+    b = places(want)
+    right = run_sql(spark, gold, tables, tuple(b[k] + 1 for k in b))
     right.schema  # noqa: B018  analysis; an error of the gold query is an error
     if got is None:
         return False
+    a = places(got)
+    if a.keys() != b.keys():
+        return False
     try:
-        left = run_sql(spark, pred, tables)
+        left = run_sql(spark, pred, tables, tuple(a[k] + 1 for k in b))
         left.schema  # noqa: B018
     except PySparkException:  # whatever is wrong with a prediction, it is no match
         return False
-    normal = lambda q: _keys(C.canonical(q, C.usable_columns(q.tables, schema), keys))
-    a, b = ({k: i for i, k in enumerate(normal(q))} for q in (got, want))
-    if a.keys() != b.keys():
-        return False
     pick = lambda df, at: df.toDF(*[f"x{i}" for i in range(len(df.columns))]).select(*[F.col(f"x{at[k]}").alias(f"c{j}") for j, k in enumerate(b)])
     left, right = pick(left, a), pick(right, b)
     kinds = [(x, y) for (_, x), (_, y) in zip(left.dtypes, right.dtypes)]

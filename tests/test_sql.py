@@ -146,6 +146,30 @@ def test_ordered_results_are_summed_once(spark, monkeypatch):
     assert dict(map(tuple, found.collect())) == {0: True, 1: False, 2: True, 3: False} and len(asked) == 3
 
 
+def test_rows_that_order_by_leaves_tied_are_no_difference(spark):
+    from querylume.operators.execution import matches
+
+    spark.range(400, numPartitions=1).selectExpr("id % 5 AS k", "cast(999 - id AS int) AS v", "nullif(id % 3, 0) AS w").createOrReplaceTempView("tied")
+    same = lambda a, b: matches(spark, a, b, {"tied": ["k", "v", "w"]})
+    for limit in ("", " LIMIT 7"):
+        gold = f"SELECT k, v, w FROM tied ORDER BY k{limit}"  # a GROUP BY of all columns gives the same rows in another order
+        assert same(gold, f"SELECT v, w, k FROM tied GROUP BY k, v, w ORDER BY k{limit}")
+        assert same(f"SELECT v FROM tied ORDER BY k DESC{limit}", f"SELECT v FROM tied GROUP BY v, k ORDER BY k DESC{limit}")
+        assert same(f"SELECT w, max(v) FROM tied GROUP BY w, k HAVING count(*) > 1 ORDER BY count(*){limit}", f"SELECT max(v), w FROM tied GROUP BY k, w HAVING count(*) > 1 ORDER BY count(*){limit}")
+        assert not same(gold, f"SELECT k, v, w FROM tied ORDER BY k DESC{limit}") and not same(gold, f"SELECT k, v, w FROM tied ORDER BY v{limit}")
+    assert not same("SELECT k, v FROM tied ORDER BY k LIMIT 7", "SELECT k, v FROM tied WHERE v > 610 ORDER BY k LIMIT 7")  # other rows of one key
+    assert not same("SELECT k, v FROM tied ORDER BY k", "SELECT k, v FROM tied ORDER BY k LIMIT 399")
+
+
+def test_ties_come_behind_the_keys():
+    rows = lambda text: to_spark_sql(text, ties=(2, 1))
+    assert rows("SELECT a, b FROM t") == "SELECT a, b FROM t"
+    assert rows("SELECT a, b FROM t WHERE a IN (SELECT c FROM u ORDER BY d LIMIT 1) ORDER BY a DESC LIMIT 2") == "SELECT a, b FROM t WHERE a IN (SELECT c FROM u ORDER BY d LIMIT 1) ORDER BY a DESC, 2 LIMIT 2"
+    assert rows("SELECT a, max(b) FROM t GROUP BY a ORDER BY max(b)") .endswith(" ORDER BY max (b), 2, 1")
+    assert rows("SELECT a, b FROM t UNION SELECT a, b FROM u ORDER BY a LIMIT 3").endswith("ORDER BY a, 2, 1 LIMIT 3")
+    assert rows("SELECT a, b FROM t GROUP BY a, b HAVING count(*) > 1 ORDER BY count(*) DESC LIMIT 3").endswith("ORDER BY o0 DESC, 2, 1 LIMIT 3")
+
+
 @pytest.mark.parametrize("place", [0, 1, 31, 32, 1025, (1 << 20) - 1, 1 << 20, (1 << 33) - 1])
 def test_powers_by_digits(spark, place):
     from querylume.operators import execution
