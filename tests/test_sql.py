@@ -157,6 +157,9 @@ def test_rows_that_order_by_leaves_tied_are_no_difference(spark):
         assert same(f"SELECT v FROM tied ORDER BY k DESC{limit}", f"SELECT v FROM tied GROUP BY v, k ORDER BY k DESC{limit}")
         assert same(f"SELECT w, max(v) FROM tied GROUP BY w, k HAVING count(*) > 1 ORDER BY count(*){limit}", f"SELECT max(v), w FROM tied GROUP BY k, w HAVING count(*) > 1 ORDER BY count(*){limit}")
         assert not same(gold, f"SELECT k, v, w FROM tied ORDER BY k DESC{limit}") and not same(gold, f"SELECT k, v, w FROM tied ORDER BY v{limit}")
+        assert same(f"SELECT k, count(*) FROM tied GROUP BY k ORDER BY count(*) DESC{limit}", f"SELECT count(*), k FROM tied WHERE v > 0 GROUP BY k ORDER BY count(*) DESC{limit}")
+        assert same(f"SELECT * FROM tied ORDER BY k{limit}", f"SELECT * FROM tied WHERE v > 0 ORDER BY k{limit}")
+        assert not same(gold, "SELECT k, v, w FROM tied ORDER BY k desc x,")  # the parser looks no further than DESC
     assert not same("SELECT k, v FROM tied ORDER BY k LIMIT 7", "SELECT k, v FROM tied WHERE v > 610 ORDER BY k LIMIT 7")  # other rows of one key
     assert not same("SELECT k, v FROM tied ORDER BY k", "SELECT k, v FROM tied ORDER BY k LIMIT 399")
 
